@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import line_dedup, packing, sharding, token_counts
+from tidewell.llm import ann, chat, language_id, line_dedup, minhash_forest, packing, progressive_jpeg, sharding, token_counts
 from tidewell.llm.common import table, text_or_empty
 
 N_SHARDS = 24
@@ -20,16 +20,58 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op2_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = progressive_jpeg.decode_media(progressive_jpeg.encode_payloads(table(spark, sf_dir, "documents")))
+    tail = F.expr("substring(payload, -64, 64)")
+    return media.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.concat_ws("x", "height", "width"), F.array_join(F.transform("rgb_sums", lambda x: x.cast("string")), ","), F.hex(F.crc32("rgb"))).alias("feature"))
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    model = language_id.train(docs, usable=fold != 0)
+    found = language_id.identify(docs, model, spans=False)
+    return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.lpt_shards(table(spark, sf_dir, "documents"), N_SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = r"</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT conv_id, turn, role, '{marked}' AS text FROM VALUES (-7L, 0L, 'user'), (-7L, 1L, 'assistant') AS t(conv_id, turn, role)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    windows = chat.format_windows(turns).select(
+        "conv_id", "window", chat.parse_window(F.col("formatted"), F.col("n_repeated")).alias("turns"),
+        chat.loss_text(F.col("formatted"), F.col("loss")).alias("loss"), F.char_length("formatted").alias("chars"))
+    ordered = F.sort_array(F.collect_list(F.struct("window", "turns", "loss")))
+    whole = windows.groupBy("conv_id").agg(ordered.alias("w"), F.sum("chars").alias("formatted_chars"))
+    turns = F.flatten(F.transform("w", lambda x: x["turns"]))
+    said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform("w", lambda x: x["loss"]), "")
+    return whole.select(
+        "conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("input_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_group")
