@@ -18,55 +18,74 @@ TIERS = (256, 512, 1024, 2048, 4096)
 ROUND_TOKENS = 1 << 20
 #: Tokens of a step group.
 STEP_TOKENS = 1 << 16
-#: Words whose ids a worker remembers.
-CACHED_WORDS = 300_000
+#: Blank-free strings whose ids a worker remembers, and words that the library encodes at once.
+CACHED_STRINGS, JOINED_WORDS = 600_000, 500
 
-#: Code points for which splitting and folding here are known to equal the library's: up to U+02FF, and common punctuation.
-UNUSUAL = re.compile("[^\x00-˿‐-‧‰-⁞€]")
+#: Code points for which splitting and folding here are known to equal the library's: up to U+02FF but for four separators, and common punctuation.
+UNUSUAL = re.compile("[^\x00-\x1b\x20-\u02ff\u2010-\u2027\u2030-\u205e\u20ac]")
 
 
 class WordEncoder:
-    """Ids of whole texts by a word-level BPE file of ``tokenizers``, each distinct word encoded once.
+    """Ids of whole texts by a word-level BPE file of ``tokenizers``, each distinct string between blanks encoded once.
 
-    The vocabulary's pre-tokenizer makes every word's ids independent of its neighbours.  Texts with
-    special strings or code points outside the compared ranges go through the library whole.
+    The vocabulary's pre-tokenizer makes every word's ids independent of its neighbours, and no word
+    holds a blank.  Texts with special strings or code points outside the compared ranges go through
+    the library whole.
     """
 
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
+    def __init__(self, path: str, cached: int = CACHED_STRINGS):
+        import numpy as np
         import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        # fixed values: the word pattern of the vocabulary file
+        # fixed values: the word pattern of the vocabulary file, and the mark of a word's last piece
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.closes = np.zeros(self.library.get_vocab_size(), bool)
+        self.closes[[i for piece, i in self.library.get_vocab().items() if piece.endswith("</w>")]] = True
         self.cached, self.known = cached, {}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def whole(self, text: str) -> bytes:
+        import numpy as np
+
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words, many joined by blanks at once; a word's last id closes it."""
         import numpy as np
 
+        out = {}
+        for start in range(0, len(words), JOINED_WORDS):
+            part = words[start:start + JOINED_WORDS]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(part):
+                out.update((w, self.whole(w)) for w in part)
+                continue
+            data, at = ids.tobytes(), 0
+            for word, end in zip(part, (ends * 4).tolist(), strict=True):
+                out[word] = data[at:end]
+                at = end
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
         known = self.known
         if len(known) > self.cached:
             known.clear()
-        split: list[list[str] | None] = []
-        fresh: set[str] = set()
-        for text in texts:
-            if (not text.isascii() and UNUSUAL.search(text)) or any(s in text for s in self.special):
-                split.append(None)
-                continue
-            words = self.words(text.lower())
-            split.append(words)
-            fresh.update(words)
-        fresh.difference_update(known)
-        todo = list(fresh)
-        for start in range(0, len(todo), 50_000):
-            part = todo[start:start + 50_000]
-            for word, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
+        split: list[list[str] | None] = [
+            None if (not text.isascii() and UNUSUAL.search(text)) or any(s in text for s in self.special) else text.lower().split() for text in texts]
+        distinct: set[str] = set()
+        for strings in split:
+            if strings is not None:
+                distinct.update(strings)
+        fresh = [s for s in distinct if s not in known]
+        words = [[s] if s.isalpha() else self.words(s) for s in fresh]
+        ids = self.encode_words(list({w for ws in words for w in ws})).__getitem__
+        known.update((s, b"".join(map(ids, ws))) for s, ws in zip(fresh, words, strict=True))
         of = known.__getitem__
-        return [np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(of, words))
-                for text, words in zip(texts, split, strict=True)]
+        return [self.whole(text) if strings is None else b"".join(map(of, strings)) for text, strings in zip(texts, split, strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
