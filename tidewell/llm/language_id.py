@@ -275,27 +275,34 @@ def identify_texts(texts: list[str], model: Model, penalty: float = SWITCH_PENAL
     return languages, score, spans
 
 
-def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", spans: bool = True, penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """``(<id_col>, lang_pred, score[, spans])`` of every whole text; only the text decides.
-
-    ``score`` is the part of the letters that Viterbi spans give to ``lang_pred``.  Null, empty and
-    letterless texts get ``und`` and 0; letters of scripts that no learned language has still get
-    the language that their neighbours or the order of languages suggest.  Repeated rows give
-    repeated results, an empty table none; other columns are ignored.  No shuffle; the model is
-    broadcast (its size is fixed by SLOTS and the number of languages).
+def with_language(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool = True, penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """``docs`` with ``lang_pred, score`` and ``lang_spans`` (replacing columns of these names); only the text decides.
+
+    ``score`` is the part of the letters that Viterbi spans give to ``lang_pred``; spans are in code
+    points.  Null, empty and letterless texts get ``und`` and 0; letters of scripts that no learned
+    language has still get the language that their neighbours or the order of languages suggest.  All
+    rows stay, repeated ones with repeated results.  No shuffle; the model is broadcast (its size is
+    fixed by SLOTS and the number of languages).
     """
-    source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    id_type = source.schema["id"].dataType.simpleString()
+    new = ("lang_pred", "score", *(("lang_spans",) if spans else ()))
+    source = docs.drop(*new)
+    kept = source.columns
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), "lang_pred string, score double"]
+                       + ["lang_spans array<struct<lang: string, first: int, end: int>>"] * spans)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_batches(batches, "text", BATCH_BYTES):
-            languages, score, found = identify_texts(batch.column("text").to_pylist(), shared.value, penalty)
-            columns = [batch.column("id"), pa.array(languages, pa.string()), pa.array(score, pa.float64())]
+        for batch in byte_batches(batches, text_col, BATCH_BYTES):
+            languages, score, found = identify_texts([t or "" for t in batch.column(text_col).to_pylist()], shared.value, penalty)
+            columns = [*(batch.column(c) for c in kept), pa.array(languages, pa.string()), pa.array(score, pa.float64())]
             if spans:
                 columns.append(pa.array([[{"lang": x, "first": a, "end": b} for x, a, b in s] for s in found], span_type))
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "lang_pred", "score", "spans"][:len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
+
+    return source.mapInArrow(run, schema)
+
 
-    more = ", spans array<struct<lang: string, first: int, end: int>>" if spans else ""
-    return source.mapInArrow(run, f"id {id_type}, lang_pred string, score double{more}").withColumnRenamed("id", id_col)
+def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
+    """``(<id_col>, lang_pred, score[, lang_spans])`` of every whole text, as ``with_language``; other columns are ignored."""
+    return with_language(docs.select(id_col, text_or_empty(text_col).alias("_text")), model, text_col="_text", spans=spans).drop("_text")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import ann, chat, language_id, line_dedup, minhash_forest, packing, progressive_jpeg, sharding, token_counts
+from tidewell.llm import ann, chat, language_id, line_dedup, minhash_forest, packing, piece_sampling, progressive_jpeg, sharding, token_counts
 from tidewell.llm.common import table, text_or_empty
 
 N_SHARDS = 24
@@ -84,6 +84,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(text_or_empty().cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    sampled = piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), model)
+    decoded = piece_sampling.decode_pieces(sampled, model)
+    return decoded.select("doc_id", "sample", "n_pieces", F.crc32("input_ids").alias("ids_crc32"), "log_prob", "perturbed", "log_inclusion",
+                          F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, pos, line,
