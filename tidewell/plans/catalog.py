@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import retrieval_queries
+from tidewell.plans import retrieval_queries, text_queries
 
-MODULES = (retrieval_queries,)
+MODULES = (retrieval_queries, text_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,11 +56,11 @@ def metadata_filtered_topk(spark, d):
 
 
 def distance_gate(spark, d):
-    return r.distance_gate(r.knn(_asked(spark, d, 20), _vectors(spark, d).where("chunk_id >= 20"), 20)).select("query_id", "chunk_id", "distance", "rank")
+    return r.distance_gate(r.knn(_asked(spark, d, 20), _vectors(spark, d), 20, exclude_self=True)).select("query_id", "chunk_id", "distance", "rank")
 
 
 def hard_gate(spark, d):
-    return r.hard_gate(r.knn(_asked(spark, d, 50), _vectors(spark, d).where("chunk_id >= 50"), 3)).select("query_id", "chunk_id", "distance", "rank")
+    return r.hard_gate(r.knn(_asked(spark, d, 50), _vectors(spark, d), 3, exclude_self=True)).select("query_id", "chunk_id", "distance", "rank")
 
 
 def similarity_display(spark, d):
@@ -74,7 +74,7 @@ def tokenize_counts(spark, d):
 
 
 def postings(spark, d):
-    return r.postings(_T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")).where("tf >= 5")
+    return r.postings(_T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
 def bm25_stats(spark, d):
@@ -183,11 +183,11 @@ QUERIES = {
     "vector_topk_cosine": (vector_topk_cosine, _knn_sql(1, 10, cosine=True)),
     "vector_topk_multi_query": (vector_topk_multi_query, _knn_sql(20, 6)),
     "metadata_filtered_topk": (metadata_filtered_topk, _knn_sql(5, 5, "e.label = 3")),
-    "distance_gate": (distance_gate, f"SELECT * FROM ({_knn_sql(20, 20, 'e.vec_id >= 20')}) WHERE distance <= 1.3 OR rank <= 1"),
-    "hard_gate": (hard_gate, f"SELECT * FROM ({_knn_sql(50, 3, 'e.vec_id >= 50')}) QUALIFY min(distance) OVER (PARTITION BY query_id) <= 1.55"),
+    "distance_gate": (distance_gate, f"SELECT * FROM ({_knn_sql(20, 20, 'e.vec_id <> q.vec_id')}) WHERE distance <= 1.3 OR rank <= 1"),
+    "hard_gate": (hard_gate, f"SELECT * FROM ({_knn_sql(50, 3, 'e.vec_id <> q.vec_id')}) QUALIFY min(distance) OVER (PARTITION BY query_id) <= 1.55"),
     "similarity_display": (similarity_display, f"SELECT query_id, chunk_id, round(1 / (1 + distance), 6) AS similarity FROM ({_knn_sql(3, 5)})"),
     "tokenize_counts": (tokenize_counts, f"SELECT doc_id, len({_W}) AS n_tokens, len(list_distinct({_W})) AS n_distinct FROM documents"),
-    "postings": (postings, f"SELECT doc_id AS chunk_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_W}) AS term FROM documents) GROUP BY ALL HAVING count(*) >= 5"),
+    "postings": (postings, f"SELECT doc_id AS chunk_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_W}) AS term FROM documents) GROUP BY ALL"),
     "bm25_stats": (bm25_stats, f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idfs"),
     "bm25_topk": (bm25_topk, f"WITH {_bm25_sql(5, 20)} SELECT query_id, chunk_id, round(bm25_score, 4) AS bm25_score FROM bm"),
     "minmax_normalize": (minmax_normalize, f"SELECT query_id, chunk_id, round((distance - min(distance) OVER p) / (max(distance) OVER p - min(distance) OVER p), 5) AS normalised FROM ({_knn_sql(5, 8)}) WINDOW p AS (PARTITION BY query_id)"),
