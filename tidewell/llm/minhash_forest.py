@@ -72,29 +72,26 @@ def floor_at(similarity: float, n_hashes: int = TREES * DEPTH) -> float:
 
 
 def node_links(sigs: np.ndarray, threshold: float = THRESHOLD) -> tuple[list[tuple[int, int]], list[int]]:
-    """Candidate links of a trie node's texts, and its leaders.
+    """Links that join the candidate components of a trie node's texts, fewer than texts; and the node's leaders.
 
     A small node compares all pairs.  In a large one, leaders are taken in turn: a text very near a
-    leader (NEAR) never leads; each leader is linked to everything within that
-    distance plus the join's own, so two texts closer than the threshold always end up linked
-    through the leader of one of them.  A node of near copies costs one pass.
+    leader (NEAR) never leads; each leader is joined to everything within that distance plus the
+    join's own, so two texts closer than the threshold always end up together through the leader of
+    one of them.  A node of near copies costs one pass.
     """
-    n, links = len(sigs), []
-    if n <= PAIRWISE:
-        low = floor_at(threshold)
-        for i in range(n - 1):
-            links += [(i, i + 1 + j) for j in np.flatnonzero(estimate(sigs[i], sigs[i + 1:]) >= low).tolist()]
-        return links, list(range(n))
-    far = floor_at(threshold - (1 - NEAR) - SPARE)
-    led, leaders = np.zeros(n, bool), []
+    n = len(sigs)
+    root, led, leaders = np.arange(n), np.zeros(n, bool), []
+    low = floor_at(threshold if n <= PAIRWISE else threshold - (1 - NEAR) - SPARE)
     for i in range(n):
         if led[i]:
             continue
         leaders.append(i)
         est = estimate(sigs[i], sigs)
-        led |= est >= NEAR
-        links += [(i, j) for j in np.flatnonzero(est >= far).tolist() if j != i]
-    return links, leaders
+        if n > PAIRWISE:
+            led |= est >= NEAR
+        met = np.unique([_root(root, j) for j in [i, *np.flatnonzero(est >= low).tolist()]])
+        root[met] = met[0]
+    return [(i, r) for i in range(n) if (r := _root(root, i)) != i], leaders
 
 
 def class_links(sets: list[np.ndarray], weights: np.ndarray, threshold: float, left: int | None = None):
@@ -191,7 +188,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     3. Each representative enters ``TREES`` tries by a path of ``DEPTH`` hashes.  Paths are sorted;
        matched prefixes are shortened from full depth until ``RECALL`` of the pairs at the threshold
        would meet.  Nodes propose candidate links from signature estimates, near copies through
-       leaders, so a node's links grow with its size and not with its square.
+       leaders, so that a node gives fewer links than it has texts.
     4. Components of the candidate links are the units of verification: only their texts are read
        again.  Exact similarities are counted block by block inside the function, never emitted.
     5. Components of the verified links are the classes.
@@ -244,9 +241,11 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             ids = group["id"].to_pylist()
             sigs = np.frombuffer(b"".join(group["bits"].to_pylist()), np.uint8).reshape(len(ids), -1)
             low = floor_at(max(0.1, threshold - 2 * (1 - NEAR) - SPARE))
-            for i in range(len(ids) - 1):
-                near = np.flatnonzero(estimate(sigs[i], sigs[i + 1:]) >= low).tolist()
-                yield _links_batch([(ids[i], ids[i + 1 + j], None) for j in near])
+            root = np.arange(len(ids))
+            for i in range(len(ids)):
+                met = np.unique([_root(root, j) for j in [i, *np.flatnonzero(estimate(sigs[i], sigs) >= low).tolist()]])
+                root[met] = met[0]
+            yield _links_batch([(ids[i], ids[r], None) for i in range(len(ids)) if (r := _root(root, i)) != i])
 
     candidates = proposed.where("node IS NULL").select("a", "b").unionByName(lead.mapInArrow(meet, "a long, b long, node long").select("a", "b"))
     units = staged(components(candidates), "units")
