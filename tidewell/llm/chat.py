@@ -108,7 +108,8 @@ def _assembled(parts: DataFrame) -> DataFrame:
 
 def parse_window(formatted: Column, n_repeated: Column) -> Column:
     """The window's own turns read back from its text: ``array<struct<role, text>>``."""
-    turns = F.slice(F.split(formatted, TURN.replace("|", r"\|"), -1), n_repeated + 2, F.lit(2**31 - 1))
+    parts = F.split(formatted, TURN.replace("|", r"\|"), -1)
+    turns = F.slice(parts, n_repeated + 2, F.greatest(F.size(parts) - 1 - n_repeated, F.lit(0)))
     half = lambda t, k: F.get(F.split(F.left(t, F.char_length(t) - len(END)), TEXT.replace("|", r"\|"), -1), k)
     return F.transform(turns, lambda t: F.struct(unescape(half(t, 0)).alias("role"), unescape(half(t, 1)).alias("text")))
 

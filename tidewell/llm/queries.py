@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +93,29 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def _op7_sql() -> str:
+    rest = "|".join(re.sub(r"([|\]])", r"\\\1", c[1:]) for c in chat.CONTROL)
+    escaped = lambda c: rf"regexp_replace(replace({c}, '\', '\\'), '([<\[])({rest})', '\1\\\2', 'g')"
+    marks = len(chat.TURN) + len(chat.TEXT) + len(chat.END)
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
+    (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+w AS (SELECT *, {escaped('role')} || {escaped('text')} AS body FROM t),
+s AS (SELECT *, length(body) + {marks} AS len, (strlen(body) + {marks} + 3) // 4 AS tok FROM w),
+o AS (SELECT *, row_number() OVER c AS pos, sum(tok) OVER c - tok AS start FROM s WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT *, start // {chat.STRIDE} AS win FROM o),
+b AS (SELECT conv_id, win, min(start) AS b_start, min(pos) AS b_pos FROM a GROUP BY 1, 2),
+y AS (SELECT conv_id, min(pos) AS s_pos, min_by(len, pos) AS s_len FROM a WHERE role = 'system' GROUP BY 1),
+again AS (SELECT a.conv_id, sum(len) AS n FROM a JOIN b ON a.conv_id IS NOT DISTINCT FROM b.conv_id AND a.win + 1 = b.win LEFT JOIN y ON a.conv_id IS NOT DISTINCT FROM y.conv_id
+    WHERE b_start - start <= {chat.HISTORY} AND NOT coalesce(pos = s_pos AND s_pos < b_pos, false) GROUP BY 1),
+sys AS (SELECT b.conv_id, sum(s_len) AS n FROM b JOIN y ON b.conv_id IS NOT DISTINCT FROM y.conv_id WHERE s_pos < b_pos GROUP BY 1),
+g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS loss, sum(len) AS n FROM a GROUP BY 1)
+SELECT g.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, (g.n + coalesce(again.n, 0) + coalesce(sys.n, 0))::BIGINT AS formatted_chars
+FROM g LEFT JOIN again ON g.conv_id IS NOT DISTINCT FROM again.conv_id LEFT JOIN sys ON g.conv_id IS NOT DISTINCT FROM sys.conv_id
+"""
+
+
 OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, pos, line,
@@ -111,4 +135,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL}
+    return {"op7_chat_windows": _op7_sql(), "op9_line_dedup": OP9_SQL}
