@@ -75,7 +75,7 @@ class WordEncoder:
         if len(known) > self.cached:
             known.clear()
         split: list[list[str] | None] = [
-            None if (not text.isascii() and UNUSUAL.search(text)) or any(s in text for s in self.special) else text.lower().split() for text in texts]
+            None if UNUSUAL.search(text) or any(s in text for s in self.special) else text.lower().split() for text in texts]
         distinct: set[str] = set()
         for strings in split:
             if strings is not None:
