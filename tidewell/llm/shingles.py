@@ -67,7 +67,7 @@ def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
     out = []
     with np.errstate(over="ignore"):
         rolled = np.zeros(n, np.uint64)
-        for j in range(size):
+        for j in range(min(size, n)):
             rolled[:n - j] += hashes[j:] * _M[j % len(_M)] * np.uint64(2 * (j // len(_M)) + 1)
         rolled = mix(rolled)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
