@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import byte_batches, text_or_empty
 
 #: The model is fitted on this many labelled documents of each language at most, those of the smallest id hash.
-TRAIN_DOCS_PER_LANGUAGE = 1500
+TRAIN_DOCS_PER_LANGUAGE = 1000
+#: Tasks that count the sample, each of which may give a row for every slot of the model.
+COUNTING_TASKS = 8
 #: Slots of each n-gram order, smoothing, and what a change of language costs (nats).
 SLOTS, SMOOTHING, SWITCH_PENALTY = 1 << 15, 0.5, 6.0
 #: n-grams overlap, so their evidence is scaled down.
@@ -133,7 +135,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     picked = named.select(F.col(id_col).alias("pick_id"), F.col(lang_col).alias("pick_lang"), F.row_number().over(
         Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)).alias("nth")).where(F.col("nth") <= docs_per_language)
     sample = named.join(F.broadcast(picked), (F.col(id_col) == F.col("pick_id")) & (F.col(lang_col) == F.col("pick_lang"))) \
-        .select(F.col(text_col).cast("string").alias("text"), F.col("pick_lang").cast("string").alias("lang"))
+        .select(F.col(text_col).cast("string").alias("text"), F.col("pick_lang").cast("string").alias("lang")).repartition(COUNTING_TASKS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
