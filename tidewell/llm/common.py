@@ -50,11 +50,25 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def release() -> None:
+    """Give memory that earlier tasks of this worker have freed back to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def byte_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in order, in slices whose ``column`` holds about ``most`` bytes (one longer value makes a slice)."""
     import numpy as np
     import pyarrow.compute as pc
 
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -31,7 +31,7 @@ SCRIPT_SHARE = 0.01
 #: Words that the Viterbi pass takes as one chunk.
 CHUNK = 128
 UNKNOWN = "und"
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 ORDERS = 3
 
 # fixed values: scripts and their code point ranges (letters of none of these are "other")
