@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import BATCH_BYTES, byte_batches, text_or_empty
+from tidewell.llm.common import byte_batches, text_or_empty
 
 #: Context sizes, short to long: powers of two.
 TIERS = (256, 512, 1024, 2048, 4096)
@@ -18,6 +18,7 @@ TIERS = (256, 512, 1024, 2048, 4096)
 ROUND_TOKENS = 1 << 20
 #: Tokens of a step group.
 STEP_TOKENS = 1 << 16
+BATCH_BYTES = 2 << 20
 #: Blank-free strings whose ids a worker remembers, and words that the library encodes at once.
 CACHED_STRINGS, JOINED_WORDS = 600_000, 500
 
@@ -76,16 +77,20 @@ class WordEncoder:
             known.clear()
         split: list[list[str] | None] = [
             None if UNUSUAL.search(text) or any(s in text for s in self.special) else text.lower().split() for text in texts]
-        distinct: set[str] = set()
-        for strings in split:
-            if strings is not None:
-                distinct.update(strings)
-        fresh = [s for s in distinct if s not in known]
+        got = [None if strings is None else list(map(known.get, strings)) for strings in split]
+        fresh = list({s for strings, found in zip(split, got, strict=True) if strings and None in found for s, x in zip(strings, found, strict=True) if x is None})
         words = [[s] if s.isalpha() else self.words(s) for s in fresh]
         ids = self.encode_words(list({w for ws in words for w in ws})).__getitem__
-        known.update((s, b"".join(map(ids, ws))) for s, ws in zip(fresh, words, strict=True))
-        of = known.__getitem__
-        return [self.whole(text) if strings is None else b"".join(map(of, strings)) for text, strings in zip(texts, split, strict=True)]
+        known.update((s, ids(ws[0]) if len(ws) == 1 else b"".join(map(ids, ws))) for s, ws in zip(fresh, words, strict=True))
+        out = []
+        for text, strings, found in zip(texts, split, got, strict=True):
+            if strings is None:
+                out.append(self.whole(text))
+            elif None in found:
+                out.append(b"".join([known[s] if x is None else x for s, x in zip(strings, found, strict=True)]))
+            else:
+                out.append(b"".join(found))
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
