@@ -24,7 +24,7 @@ from tidewell.llm.shingles import mix
 #: Segmentations a text, exponent on piece probabilities (lower: more even), seed.
 TOP_K, ALPHA, SEED = 2, 0.7, 11
 #: Bytes of text at once, and distinct units whose lattices a worker keeps.
-BATCH_BYTES, KEPT_UNITS = 1 << 21, 300_000
+BATCH_BYTES, KEPT_UNITS = 1 << 20, 120_000
 BLANK = "▁"
 _units = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall
 _STEP, _UNIT, _DRAW, _ROLL = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x100000001B3))
@@ -83,7 +83,7 @@ class Lattice:
 
 
 class Store:
-    """Lattices of the units that a worker has met lately, in arrays that grow by doubling."""
+    """Lattices of the units that a worker has met lately, in arrays that grow by a quarter."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
@@ -108,7 +108,7 @@ class Store:
     def _append(self, name: str, values: np.ndarray) -> None:
         had, now = getattr(self.lattice, name), self.sizes[name] + len(values)
         if now > len(had):
-            grown = np.empty(max(now, 2 * len(had)), had.dtype)
+            grown = np.empty(max(now, len(had) + len(had) // 4), had.dtype)
             grown[:self.sizes[name]] = had[:self.sizes[name]]
             setattr(self.lattice, name, grown)
             had = grown
@@ -176,7 +176,7 @@ def build(units: list[str], vocab: Vocabulary) -> Lattice:
     run -= np.where(begin > 0, run[begin - 1], 0.0)
     if len(run):
         run[first[node + 1] - 1] = 2.0
-    return Lattice(start, left.astype(np.int32), first, run.astype(np.float32), length.astype(np.int8), piece.astype(np.int32), log)
+    return Lattice(start, left.astype(np.int32), first.astype(np.int32), run.astype(np.float32), length.astype(np.int8), piece.astype(np.int32), log.astype(np.float32))
 
 
 def uniform(key: np.ndarray, draw: np.ndarray | int) -> np.ndarray:
@@ -197,7 +197,7 @@ def sample_paths(lattice: Lattice, units: np.ndarray, keys: np.ndarray) -> tuple
         while len(on):
             arc[on] += 1
             on = on[u[on] >= lattice.run[arc[on]]]
-        logs[live] += lattice.log[arc]
+        logs[live] += lattice.log[arc].astype(np.float64)
         counts[live] += 1
         owners.append(live)
         chosen.append(arc)
