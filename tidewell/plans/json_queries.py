@@ -86,6 +86,26 @@ def embedded_chunks(spark, d):
     return models.embedded(_R(spark, d, "benchmark"), models.hash_embedder).select("item_id", F.size("embedding").alias("dimension"))
 
 
+def gap_clusters(spark, d):
+    """Every vector is an open question of one of eight tenants."""
+    from tidewell.operators.learning import gap_clusters as fold
+
+    e = _R(spark, d, "embeddings").select(F.concat(F.lit("t"), F.col("vec_id") % 8).alias("client_slug"), F.col("vec_id").alias("recency_key"), F.concat(F.lit("Question "), F.col("label")).alias("question"),
+                                          F.col("embedding").cast("array<double>").alias("vec"))
+    return fold(e, 0.3).select("client_slug", "position", "representative", "n")
+
+
+def webhook_messages(spark, d):
+    """Conversations wrapped as webhook envelopes and taken apart again."""
+    from tidewell.sources.files import webhook_messages as parse
+
+    c = _R(spark, d, "conversations").where("role = 'user'")
+    message = F.struct(F.lit("text").alias("type"), F.col("conv_id").cast("string").alias("from"), F.col("turn").cast("string").alias("id"), F.struct(F.col("text").alias("body")).alias("text"))
+    value = F.struct(F.struct(F.lit("77").alias("phone_number_id")).alias("metadata"), F.array(message).alias("messages"))
+    payload = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(value.alias("value"))).alias("changes"))).alias("entry")))
+    return parse(c.select(payload.alias("payload"))).select("phone_number_id", "sender", "message_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
 def page_texts(spark, d):
     from tidewell.sources.html import page_text
 
@@ -115,5 +135,7 @@ QUERIES = {
     "topic_chunk_stats": (topic_chunk_stats, None),
     "parent_child_chunks": (parent_child_chunks, None),
     "embedded_chunks": (embedded_chunks, "SELECT item_id, 384 AS dimension FROM benchmark"),
+    "gap_clusters": (gap_clusters, None),
+    "webhook_messages": (webhook_messages, "SELECT '77' AS phone_number_id, conv_id::VARCHAR AS sender, turn::VARCHAR AS message_id, md5(text) AS body_md5 FROM conversations WHERE role = 'user' AND text <> ''"),
     "page_texts": (page_texts, None),
 }

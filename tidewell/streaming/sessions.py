@@ -60,8 +60,11 @@ def rate_limited(requests: DataFrame, *, key: str = "user_id", window: float = 6
     return requests.select(key, "event_id", seconds.alias("seconds"), "limit").groupBy(key).applyInPandas(fold, f"{key} {kind}, event_id long, allowed boolean")
 
 
-def rate_limited_stream(requests: DataFrame, limit: int, window: float = 60.0) -> DataFrame:
-    """The same on a stream of ``(user_id, event_id, ts)``: the state is the accepted times of the last window, and it expires."""
+def rate_limited_stream(requests: DataFrame, limit: int, window: float = 60.0, late: str = "1 hour") -> DataFrame:
+    """The same on a stream of ``(user_id, event_id, ts)``: the state is the accepted times of the last window, and expires in event time.
+
+    Requests that come later than ``late`` are dropped.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,14 +74,14 @@ def rate_limited_stream(requests: DataFrame, limit: int, window: float = 60.0) -
         rows = pd.concat(list(parts)).sort_values(["seconds", "event_id"])
         ok, log = accepted(rows["seconds"].tolist(), limit, window, list(state.get[0]) if state.exists else [])
         state.update((log,))
-        state.setTimeoutDuration(int(window * 2000))
+        state.setTimeoutTimestamp(max(int((rows["seconds"].iloc[-1] + window) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "allowed": ok})
 
-    source = timed(requests).select("user_id", "event_id", (F.unix_micros("ts") / 1e6).alias("seconds"))
-    return source.groupBy("user_id").applyInPandasWithState(fold, "user_id long, event_id long, allowed boolean", "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    source = timed(requests).withWatermark("ts", late).select("user_id", "event_id", "ts", (F.unix_micros("ts") / 1e6).alias("seconds"))
+    return source.groupBy("user_id").applyInPandasWithState(fold, "user_id long, event_id long, allowed boolean", "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def history_stream(messages: DataFrame, kept: int = DEFAULT.history_kept, minutes: int = DEFAULT.session_minutes) -> DataFrame:
+def history_stream(messages: DataFrame, kept: int = DEFAULT.history_kept, minutes: int = DEFAULT.session_minutes, late: str = "1 hour") -> DataFrame:
     """A stream of ``(conv_id, ts, role, text)``: after each batch, every touched conversation's last messages; silent ones expire."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -95,8 +98,8 @@ def history_stream(messages: DataFrame, kept: int = DEFAULT.history_kept, minute
             lines.append(f"{role}: {text}")
         seconds, lines = seconds[-kept:], lines[-kept:]
         state.update((seconds, lines))
-        state.setTimeoutDuration(minutes * 60_000)
+        state.setTimeoutTimestamp(max(int((seconds[-1] + minutes * 60) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"conv_id": [key[0]], "n_kept": [len(lines)], "history": ["\n".join(lines)]})
 
-    source = timed(messages).select("conv_id", (F.unix_micros("ts") / 1e6).alias("seconds"), "role", "text")
-    return source.groupBy("conv_id").applyInPandasWithState(fold, "conv_id long, n_kept int, history string", "seconds array<double>, lines array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    source = timed(messages).withWatermark("ts", late).select("conv_id", "ts", (F.unix_micros("ts") / 1e6).alias("seconds"), "role", "text")
+    return source.groupBy("conv_id").applyInPandasWithState(fold, "conv_id long, n_kept int, history string", "seconds array<double>, lines array<string>", "append", GroupStateTimeout.EventTimeTimeout)
