@@ -9,9 +9,9 @@ are a sample of k distinct segmentations without replacement, each with its incl
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,10 @@ from tidewell.llm.shingles import mix
 #: Segmentations a text, exponent on piece probabilities (lower: more even), seed.
 TOP_K, ALPHA, SEED = 2, 0.7, 11
 #: Bytes of text at once, and distinct units whose lattices a worker keeps.
-BATCH_BYTES, KEPT_UNITS = 1 << 20, 120_000
+BATCH_BYTES, KEPT_UNITS = 1 << 20, 200_000
+#: Units whose lattices are built at once, few enough to stay in cache.
+BUILT_UNITS = 6000
 BLANK = "▁"
-_units = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall
 _STEP, _UNIT, _DRAW, _ROLL = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x100000001B3))
 
 
@@ -34,6 +35,7 @@ class Vocabulary:
     """Pieces of a SentencePiece model as prefix hashes; a character without a piece falls back to its bytes."""
 
     def __init__(self, path: str, alpha: float = ALPHA):
+        import regex
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -59,6 +61,14 @@ class Vocabulary:
                 h = (h * int(_ROLL) + ord(c) + 1) & (1 << 64) - 1
                 prefixes.setdefault(h, -1)
             prefixes[h] = i
+        # where letters meet other characters, units end, if no piece spans such a place
+        mixed = False
+        for i in range(n):
+            piece = self.model.id_to_piece(i).lstrip(BLANK)
+            if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i)):
+                mixed |= any(a.isalpha() != b.isalpha() for a, b in zip(piece, piece[1:], strict=False))
+        whole = f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+"
+        self.units = regex.compile(whole if mixed else rf"{BLANK}*\p{{L}}+|{BLANK}*[^\p{{L}}{BLANK}]+|{BLANK}+").findall
         order = sorted(prefixes)
         self.hashes = np.array(order, np.uint64)
         self.ids = np.array([prefixes[h] for h in order], np.int32)
@@ -91,19 +101,22 @@ class Store:
 
     def kinds(self, units: list[str]) -> np.ndarray:
         """The number of each unit, which stays the same until ``renew``."""
-        found = list(map(self.known.get, units))
-        if None in found:
-            fresh = list(dict.fromkeys(u for u, i in zip(units, found, strict=True) if i is None))
-            more = build(fresh, self.vocab)
-            nodes, arcs = self.sizes["left"], self.sizes["run"]
-            more.start += nodes
-            more.first += arcs
-            self.sizes["first"] = nodes  # the entry after the last node is written anew
-            for name, values in vars(more).items():
-                self._append(name, values)
-            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-            found = list(map(self.known.__getitem__, units))
-        return np.array(found, np.int64)
+        found = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        unknown = np.flatnonzero(found < 0).tolist()
+        if unknown:
+            fresh = list(dict.fromkeys([units[i] for i in unknown]))
+            for start in range(0, len(fresh), BUILT_UNITS):
+                part = fresh[start:start + BUILT_UNITS]
+                more = build(part, self.vocab)
+                nodes, arcs = self.sizes["left"], self.sizes["run"]
+                more.start += nodes
+                more.first += arcs
+                self.sizes["first"] = nodes  # the entry after the last node is written anew
+                for name, values in vars(more).items():
+                    self._append(name, values)
+                self.known.update(zip(part, range(len(self.known), len(self.known) + len(part)), strict=True))
+            found[unknown] = [self.known[units[i]] for i in unknown]
+        return found
 
     def _append(self, name: str, values: np.ndarray) -> None:
         had, now = getattr(self.lattice, name), self.sizes[name] + len(values)
@@ -154,12 +167,12 @@ def build(units: list[str], vocab: Vocabulary) -> Lattice:
     width = 1 + (codes[bare] > 0x7F).astype(np.int64) + (codes[bare] > 0x7FF) + (codes[bare] > 0xFFFF)
     parts.append((bare, np.ones(len(bare), np.int64), -1 - codes[bare].astype(np.int32), width * vocab.byte_log))
     src, length, piece, log = (np.concatenate(x) for x in zip(*parts[::-1], strict=True))
-    order = np.argsort(src, kind="stable")
+    order = np.argsort(_narrow(src), kind="stable")
     src, length, piece, log = src[order], length[order], piece[order], log[order]
     node = node_of[src]
 
     total = np.zeros(n_nodes)  # log of the sum over all ways from a node to the unit's end
-    by_left = np.argsort(left_char[src], kind="stable")
+    by_left = np.argsort(_narrow(left_char[src]), kind="stable")
     levels = left_char[src][by_left]
     cuts = np.concatenate([np.flatnonzero(np.diff(levels, prepend=-1)), [len(levels)]]) if len(levels) else np.zeros(1, np.int64)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -179,6 +192,11 @@ def build(units: list[str], vocab: Vocabulary) -> Lattice:
     return Lattice(start, left.astype(np.int32), first.astype(np.int32), run.astype(np.float32), length.astype(np.int8), piece.astype(np.int32), log.astype(np.float32))
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """In 16 bits where they fit: those are sorted by radix."""
+    return x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x
+
+
 def uniform(key: np.ndarray, draw: np.ndarray | int) -> np.ndarray:
     """Numbers in (0, 1) from a key and a counter: the same for the same row, wherever it is handled."""
     with np.errstate(over="ignore"):
@@ -216,13 +234,15 @@ def sample_other(lattice: Lattice, unit: int, excluded: list[tuple[int, ...]], k
     inside = excluded
     while lattice.left[node]:
         a, b = int(lattice.first[node]), int(lattice.first[node + 1])
-        share = np.exp(lattice.log[a:b])
+        share = np.exp(lattice.log[a:b].astype(np.float64))
+        full = share.copy()
         for e in inside:  # what an excluded path takes from its arc
-            share[e[step] - a] -= np.exp(lattice.log[list(e[step:])].sum())
-        share = np.maximum(share, 0)
+            share[e[step] - a] -= np.exp(lattice.log[list(e[step:])].astype(np.float64).sum())
         for e in inside:
-            if len(e) == step + 1 or all(lattice.first[n + 1] - lattice.first[n] == 1 for n in _nodes_after(lattice, e, step, node)):
-                share[e[step] - a] = 0 if sum(x[step] == e[step] for x in inside) == 1 else share[e[step] - a]
+            at = e[step] - a
+            if share[at] < 1e-4 * full[at]:  # perhaps rounding is all that is left: is it the arc's only way on?
+                only = len(e) == step + 1 or all(lattice.first[n + 1] - lattice.first[n] == 1 for n in _nodes_after(lattice, e, step, node))
+                share[at] = 0.0 if only or share[at] < 0 else share[at]
         run = np.cumsum(share)
         arc = a + min(int(np.searchsorted(run, float(uniform(np.array([key]), step)[0]) * run[-1], side="right")), b - a - 1)
         inside = [e for e in inside if e[step] == arc]
@@ -268,7 +288,7 @@ def top_k(texts: list[str], keys: list[int], store: Store, k: int) -> list[list[
 
     The inclusion score is the probability to exceed the (k+1)-th perturbed value: 1 - exp(-exp(log p - that)); 1 where there is none.
     """
-    split = [_units((BLANK + t.replace(" ", BLANK)) if t else "") for t in texts]
+    split = [store.vocab.units((BLANK + t.replace(" ", BLANK)) if t else "") for t in texts]
     store.renew()
     all_kinds = store.kinds([u for units in split for u in units])
     kinds = np.split(all_kinds, np.cumsum([len(units) for units in split])[:-1]) if split else []
@@ -282,9 +302,12 @@ def top_k(texts: list[str], keys: list[int], store: Store, k: int) -> list[list[
         for s in range(k):
             tails = [kinds[d][i + 1:] for d, i, _, _ in jobs] if s else [kinds[d] for d, *_ in jobs]
             froms = [i + 1 if s else 0 for _, i, _, _ in jobs]
-            tail_keys = [salt(d, s, np.arange(f, f + len(t))) for (d, *_), f, t in zip(jobs, froms, tails, strict=True)]
-            arcs, counts, logs = sample_paths(lattice, np.concatenate(tails) if tails else np.zeros(0, np.int64), np.concatenate(tail_keys) if tails else np.zeros(0, np.uint64))
-            arc_at, unit_at = np.concatenate([[0], np.cumsum(counts)]), np.cumsum([0, *map(len, tails)])
+            spread = np.array([len(t) for t in tails], np.int64)
+            unit_at = np.concatenate([[0], np.cumsum(spread)])
+            which = np.arange(unit_at[-1]) + np.repeat(np.array(froms, np.int64) - unit_at[:-1], spread)  # place in its text
+            owners = np.repeat(np.array([d for d, *_ in jobs], np.int64), spread)
+            arcs, counts, logs = sample_paths(lattice, np.concatenate(tails) if tails else np.zeros(0, np.int64), salt(owners, s, which))
+            arc_at = np.concatenate([[0], np.cumsum(counts)])
             for j, (d, i, source, cell) in enumerate(jobs):
                 a, b = int(unit_at[j]), int(unit_at[j + 1])
                 new_arcs, new_counts, new_logs = arcs[arc_at[a]:arc_at[b]], counts[a:b], logs[a:b]
