@@ -314,3 +314,25 @@ def test_decoding_is_the_library():
     for text in ["Hello world", "  two  blanks ", "tab\tnewline\n\n", "東京 é 👋", "x"]:
         ids = v.model.encode(text)
         assert ps.decode_ids(np.array(ids, "<u4").tobytes(), v) == v.model.decode(ids) == text
+
+
+def test_every_word_token_merges_to_itself():
+    """Then merging by ranks equals merging by the vocabulary's list of pairs, in any context."""
+    import json
+
+    from tidewell.llm import packing
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        model = json.load(f)["model"]
+    pairs = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
+    merge, id_of = packing.merger(public_tokenizers.path("word_bpe_49k.json"))
+    of = packing.alphabet()
+    for token, number in model["vocab"].items():
+        bare = token.removesuffix("</w>")
+        parts = [*bare[:-1], bare[-1] + token[len(bare):]]
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: pairs.get((parts[i], parts[i + 1]), 1 << 30))
+            assert (parts[best], parts[best + 1]) in pairs, token
+            parts[best:best + 2] = [parts[best] + parts[best + 1]]
+        assert parts == [token]
+        assert id_of[merge(packing.token_bytes(token, of))].tolist() == [number]

@@ -19,13 +19,50 @@ ROUND_TOKENS = 1 << 20
 #: Tokens of a step group.
 STEP_TOKENS = 1 << 16
 BATCH_BYTES = 2 << 20
-#: Blank-free strings whose ids a worker remembers, and words that the library encodes at once.
-CACHED_STRINGS, JOINED_WORDS = 600_000, 500
+#: Blank-free strings whose ids a worker remembers.
+CACHED_STRINGS = 600_000
+#: Stands for the end of a word; no UTF-8 holds this byte.
+WORD_END = b"\xff"
 
 #: Code points for which splitting and folding here are known to equal the library's: up to U+02FF but for four separators, and common punctuation.
 UNUSUAL = re.compile("[^\x00-\x1b\x20-\u02ff\u2010-\u2027\u2030-\u205e\u20ac]")
 
 
+def alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others in order from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def token_bytes(token: str, of: dict[str, int]) -> bytes:
+    end = token.endswith("</w>")
+    return bytes(of[c] for c in (token[:-4] if end else token)) + WORD_END * end
+
+
+def merger(path: str):
+    """A merging function for whole words (bytes and ``WORD_END``) to ranks, and the id of each rank.
+
+    A rank merger joins whatever adjacent parts make a known token, the vocabulary only pairs of its
+    list.  The two agree if every token, taken alone, merges to itself by the list; a test shows that.
+    """
+    import json
+
+    import numpy as np
+    import tiktoken
+
+    with open(path) as f:
+        model = json.load(f)["model"]
+    of, vocab = alphabet(), model["vocab"]
+    singles = [t for t in vocab if len(t) == 1]
+    ends = [t for t in vocab if len(t) == 5 and t.endswith("</w>")]
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    order = list(dict.fromkeys([*singles, *ends, *merged]))
+    ranks = {token_bytes(t, of): i for i, t in enumerate(order)}
+    same = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})
+    return same._core_bpe.encode_single_piece, np.array([vocab[t] for t in order], "<u4")
+
+
 class WordEncoder:
     """Ids of whole texts by a word-level BPE file of ``tokenizers``, each distinct string between blanks encoded once.
 
@@ -35,16 +72,15 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, cached: int = CACHED_STRINGS):
-        import numpy as np
         import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        # fixed values: the word pattern of the vocabulary file, and the mark of a word's last piece
+        # fixed values: the word pattern of the vocabulary file
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.closes = np.zeros(self.library.get_vocab_size(), bool)
-        self.closes[[i for piece, i in self.library.get_vocab().items() if piece.endswith("</w>")]] = True
+        self.merge, id_of = merger(path)
+        self.coded = [int(i).to_bytes(4, "little") for i in id_of]  # by rank
         self.cached, self.known = cached, {}
 
     def whole(self, text: str) -> bytes:
@@ -52,23 +88,10 @@ class WordEncoder:
 
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words, many joined by blanks at once; a word's last id closes it."""
-        import numpy as np
-
-        out = {}
-        for start in range(0, len(words), JOINED_WORDS):
-            part = words[start:start + JOINED_WORDS]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(part):
-                out.update((w, self.whole(w)) for w in part)
-                continue
-            data, at = ids.tobytes(), 0
-            for word, end in zip(part, (ends * 4).tolist(), strict=True):
-                out[word] = data[at:end]
-                at = end
-        return out
+    def encode_word(self, word: str) -> bytes:
+        """Ids of one word by merging its bytes, the end of the word among them."""
+        coded = self.coded
+        return b"".join([coded[rank] for rank in self.merge(word.encode() + WORD_END)])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -79,9 +102,9 @@ class WordEncoder:
             None if UNUSUAL.search(text) or any(s in text for s in self.special) else text.lower().split() for text in texts]
         got = [None if strings is None else list(map(known.get, strings)) for strings in split]
         fresh = list({s for strings, found in zip(split, got, strict=True) if strings and None in found for s, x in zip(strings, found, strict=True) if x is None})
-        words = [[s] if s.isalpha() else self.words(s) for s in fresh]
-        ids = self.encode_words(list({w for ws in words for w in ws})).__getitem__
-        known.update((s, ids(ws[0]) if len(ws) == 1 else b"".join(map(ids, ws))) for s, ws in zip(fresh, words, strict=True))
+        word, get = self.encode_word, known.get
+        for s in fresh:
+            known[s] = word(s) if s.isalpha() else b"".join([get(w) or word(w) for w in self.words(s)])
         out = []
         for text, strings, found in zip(texts, split, got, strict=True):
             if strings is None:
