@@ -24,7 +24,7 @@ from tidewell.llm.shingles import mix
 #: Segmentations a text, exponent on piece probabilities (lower: more even), seed.
 TOP_K, ALPHA, SEED = 2, 0.7, 11
 #: Bytes of text at once, and distinct units whose lattices a worker keeps.
-BATCH_BYTES, KEPT_UNITS = 1 << 20, 200_000
+BATCH_BYTES, KEPT_UNITS = 1 << 20, 160_000
 #: Units whose lattices are built at once, few enough to stay in cache.
 BUILT_UNITS = 6000
 BLANK = "▁"
@@ -118,6 +118,37 @@ class Store:
             found[unknown] = [self.known[units[i]] for i in unknown]
         return found
 
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text's units.  Strings between blanks are looked up whole; odd blanks are split by the pattern."""
+        out: list[np.ndarray | None] = []
+        strings: list[str] = []
+        sizes: list[int] = []
+        for t in texts:
+            if t and "  " not in t and t[0] != " " and t[-1] != " " and BLANK not in t:
+                found = t.split(" ")
+                strings += found
+                sizes.append(len(found))
+                out.append(None)
+            else:
+                out.append(self.kinds(self.vocab.units((BLANK + t.replace(" ", BLANK)) if t else "")))
+        ids = np.fromiter(map(self.words.get, strings, repeat(-1)), np.int64, len(strings))
+        unknown = np.flatnonzero(ids < 0).tolist()
+        if unknown:
+            fresh = list(dict.fromkeys([strings[i] for i in unknown]))
+            units = [self.vocab.units(BLANK + s) for s in fresh]
+            counts = np.fromiter(map(len, units), np.int64, len(units))
+            had = len(self.word_kinds)
+            self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh)), strict=True))
+            self.word_kinds = np.concatenate([self.word_kinds, self.kinds([u for us in units for u in us]).astype(np.int32)])
+            self.word_first = np.concatenate([self.word_first, had + np.cumsum(counts)])
+            ids[unknown] = [self.words[strings[i]] for i in unknown]
+        first, counts = self.word_first[ids], self.word_first[ids + 1] - self.word_first[ids]
+        ends = np.cumsum(counts)
+        flat = self.word_kinds[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + counts, counts)].astype(np.int64)
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *sizes])]
+        parts = iter([flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        return [next(parts) if x is None else x for x in out]
+
     def _append(self, name: str, values: np.ndarray) -> None:
         had, now = getattr(self.lattice, name), self.sizes[name] + len(values)
         if now > len(had):
@@ -129,8 +160,9 @@ class Store:
         self.sizes[name] = now
 
     def renew(self, most: int = KEPT_UNITS) -> None:
-        if most < 0 or len(self.known) > most:
+        if most < 0 or len(self.known) > most or len(self.words) > 2 * most:
             self.known, self.lattice = {}, build([], self.vocab)
+            self.words, self.word_first, self.word_kinds = {}, np.zeros(1, np.int64), np.zeros(0, np.int32)
             self.sizes = {name: len(values) for name, values in vars(self.lattice).items()}
 
 
@@ -268,7 +300,7 @@ def _log_rest(p: np.ndarray) -> np.ndarray:
         return np.where(p < 0, np.where(p > -0.7, np.log(-np.expm1(p)), np.log1p(-np.exp(p))), -np.inf)
 
 
-def truncated(mass: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
+def truncated(mass: np.ndarray, top: np.ndarray | float, u: np.ndarray) -> np.ndarray:
     """Gumbel values with log mass ``mass``, given that they don't exceed ``top``."""
     with np.errstate(over="ignore", invalid="ignore"):
         return np.where(np.isneginf(mass), -np.inf, mass - np.log(np.exp(mass - top) - np.log(u)))
@@ -280,7 +312,6 @@ class Drawn:
     counts: np.ndarray
     logs: np.ndarray
     value: float
-    before: np.ndarray  # log probability of the units before each
 
 
 def top_k(texts: list[str], keys: list[int], store: Store, k: int) -> list[list[tuple[bytes, int, float, float, float]]]:
@@ -288,12 +319,11 @@ def top_k(texts: list[str], keys: list[int], store: Store, k: int) -> list[list[
 
     The inclusion score is the probability to exceed the (k+1)-th perturbed value: 1 - exp(-exp(log p - that)); 1 where there is none.
     """
-    split = [store.vocab.units((BLANK + t.replace(" ", BLANK)) if t else "") for t in texts]
     store.renew()
-    all_kinds = store.kinds([u for units in split for u in units])
-    kinds = np.split(all_kinds, np.cumsum([len(units) for units in split])[:-1]) if split else []
+    kinds = store.texts(texts)
     lattice, vocab, n = store.lattice, store.vocab, len(texts)
     base = mix(np.array([x & (1 << 64) - 1 for x in keys], np.uint64))
+    roots = -np.log(-np.log(uniform(base, 1 << 40)))
     drawn: list[list[Drawn]] = [[] for _ in range(n)]
     heaps: list[list] = [[] for _ in range(n)]
     with np.errstate(over="ignore"):
@@ -308,34 +338,42 @@ def top_k(texts: list[str], keys: list[int], store: Store, k: int) -> list[list[
             owners = np.repeat(np.array([d for d, *_ in jobs], np.int64), spread)
             arcs, counts, logs = sample_paths(lattice, np.concatenate(tails) if tails else np.zeros(0, np.int64), salt(owners, s, which))
             arc_at = np.concatenate([[0], np.cumsum(counts)])
+            # what comes before each tail, and the value that all its cells stay below
+            heads: list[tuple] = []
+            for d, i, source, cell in jobs:
+                if s == 0:
+                    heads.append((0.0, float(roots[d]), None, None))
+                    continue
+                old, excluded = drawn[d][source], cell[1]
+                path, log = sample_other(lattice, int(kinds[d][i]), excluded, salt(d, s, np.array([i]))[0])
+                heads.append((float(old.logs[:i].sum()) + log, cell[0], path, log))
+            base_log, top = (np.repeat(np.array([h[x] for h in heads]), spread) for x in (0, 1))
+            # cells of what is left: same units before, another segmentation of this unit, any after
+            run = np.cumsum(logs) - logs
+            begins = np.minimum(unit_at[:-1], max(len(logs) - 1, 0))
+            mass = base_log + run - np.repeat(run[begins] if len(logs) else np.zeros(len(jobs)), spread) + _log_rest(logs)
+            values = truncated(mass, top, uniform(salt(owners, s, which), 1 << 41))
             for j, (d, i, source, cell) in enumerate(jobs):
                 a, b = int(unit_at[j]), int(unit_at[j + 1])
                 new_arcs, new_counts, new_logs = arcs[arc_at[a]:arc_at[b]], counts[a:b], logs[a:b]
-                if s == 0:
-                    value = float(-np.log(-np.log(uniform(base[d:d + 1], 1 << 40)[0])))
-                else:
-                    old, excluded, value = drawn[d][source], cell[1], cell[0]
-                    path, log = sample_other(lattice, int(kinds[d][i]), excluded, salt(d, s, np.array([i]))[0])
+                _, value, path, log = heads[j]
+                if s:
+                    old = drawn[d][source]
                     cut = int(old.counts[:i].sum())
                     new_arcs = np.concatenate([old.arcs[:cut], np.array(path, np.int64), new_arcs])
                     new_counts = np.concatenate([old.counts[:i], [len(path)], new_counts])
                     new_logs = np.concatenate([old.logs[:i], [log], new_logs])
-                before = np.concatenate([[0.0], np.cumsum(new_logs)])
-                drawn[d].append(Drawn(new_arcs, new_counts, new_logs, value, before))
-                mine = len(drawn[d]) - 1
-                # cells of what is left: same units before, another segmentation of this unit, any after
-                where = np.arange(i + 1 if s else 0, len(new_logs))
-                mass = before[where] + _log_rest(new_logs[where])
-                values = truncated(mass, value, uniform(salt(d, s, where), 1 << 41))
-                best = np.argpartition(-values, k - 1)[:k] if len(values) > k else np.arange(len(values))
+                drawn[d].append(Drawn(new_arcs, new_counts, new_logs, value))
+                mine, cells = len(drawn[d]) - 1, values[a:b]
+                best = np.argpartition(-cells, k - 1)[:k] if b - a > k else np.arange(b - a)
                 for c in best.tolist():
-                    if values[c] > -np.inf:
-                        heapq.heappush(heaps[d], (-float(values[c]), s, int(where[c]), mine, None))
+                    if cells[c] > -np.inf:
+                        heapq.heappush(heaps[d], (-float(cells[c]), s, froms[j] + c, mine, None))
                 if s:
-                    excluded = [*excluded, path]
+                    excluded = [*cell[1], path]
                     rest = -np.expm1(_log_sum([float(lattice.log[list(e)].sum()) for e in excluded]))
                     if rest > 1e-12:
-                        value_here = truncated(np.array([before[i] + np.log(rest)]), value, uniform(salt(d, s, np.array([i])), 1 << 42))[0]
+                        value_here = truncated(np.array([new_logs[:i].sum() + np.log(rest)]), value, uniform(salt(d, s, np.array([i])), 1 << 42))[0]
                         heapq.heappush(heaps[d], (-float(value_here), s, i, mine, excluded))
             jobs = []
             for d in range(n):
@@ -351,7 +389,7 @@ def top_k(texts: list[str], keys: list[int], store: Store, k: int) -> list[list[
         rows = []
         beyond = -heaps[d][0][0] if heaps[d] else -np.inf
         for x in drawn[d]:
-            log = float(x.before[-1])
+            log = float(x.logs.sum())
             gap = log - beyond
             inclusion = 0.0 if np.isinf(gap) or gap > 30 else float(gap if gap < -30 else np.log(-np.expm1(-np.exp(gap))))
             ids = ids_of(lattice, x.arcs, vocab)
