@@ -150,7 +150,7 @@ def test_pipeline_stage_by_stage(spark, sf, docs):
     model = language_id.train(table, usable=fold != 0)
     keys = list(now)
     langs, scores, _ = language_id.identify_texts([now[k] or "" for k in keys], model)
-    now = {k: now[k] for k, lang, s in zip(keys, langs, scores, strict=True) if lang != "und" and s >= 0.5}
+    now = {k: now[k] for k, lang, s in zip(keys, langs, scores, strict=True) if lang != "und" and s >= corpus_pipeline.LEAST_SCORE}
     assert df.columns == table.columns and {r.doc_id: r.text for r in df.collect()} == now and now.keys() == docs.keys()
 
     df = corpus_pipeline.without_repeated_lines(spark, df, sf)
