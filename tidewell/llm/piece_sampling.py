@@ -216,9 +216,11 @@ def build(units: list[str], vocab: Vocabulary) -> Lattice:
         total[node[arcs[heads]]] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, spread)), heads))
     log = np.minimum(log + total[node + length] - total[node], 0.0)
     first = np.searchsorted(node, np.arange(n_nodes + 1)).astype(np.int64)
-    run = np.cumsum(np.exp(log))
-    begin = first[node]
-    run -= np.where(begin > 0, run[begin - 1], 0.0)
+    run = np.exp(log)
+    nth = np.arange(len(node)) - first[node]
+    for j in range(1, int(nth.max()) + 1 if len(nth) else 0):  # node by node, so that sums don't depend on other units
+        at = np.flatnonzero(nth == j)
+        run[at] += run[at - 1]
     if len(run):
         run[first[node + 1] - 1] = 2.0
     return Lattice(start, left.astype(np.int32), first.astype(np.int32), run.astype(np.float32), length.astype(np.int8), piece.astype(np.int32), log.astype(np.float32))
@@ -349,9 +351,10 @@ def top_k(texts: list[str], keys: list[int], store: Store, k: int) -> list[list[
                 heads.append((float(old.logs[:i].sum()) + log, cell[0], path, log))
             base_log, top = (np.repeat(np.array([h[x] for h in heads]), spread) for x in (0, 1))
             # cells of what is left: same units before, another segmentation of this unit, any after
-            run = np.cumsum(logs) - logs
-            begins = np.minimum(unit_at[:-1], max(len(logs) - 1, 0))
-            mass = base_log + run - np.repeat(run[begins] if len(logs) else np.zeros(len(jobs)), spread) + _log_rest(logs)
+            run = np.empty_like(logs)  # summed text by text, so that values don't depend on the batch
+            for a, b in zip(unit_at[:-1].tolist(), unit_at[1:].tolist(), strict=True):
+                run[a:b] = np.cumsum(logs[a:b]) - logs[a:b]
+            mass = base_log + run + _log_rest(logs)
             values = truncated(mass, top, uniform(salt(owners, s, which), 1 << 41))
             for j, (d, i, source, cell) in enumerate(jobs):
                 a, b = int(unit_at[j]), int(unit_at[j + 1])
