@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import retrieval as r
@@ -14,8 +16,13 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return _T(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"), "label")
 
 
-def _asked(spark: SparkSession, d: str, n: int) -> DataFrame:
-    return _T(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+def _of(column: str, n: int | None) -> Column:
+    """Is it asked: the first ``n``, or for None the whole query set, every id divisible by 100."""
+    return F.col(column) % 100 == 0 if n is None else F.col(column) < n
+
+
+def _asked(spark: SparkSession, d: str, n: int | None) -> DataFrame:
+    return _T(spark, d, "embeddings").where(_of("vec_id", n)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -25,8 +32,14 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(vec, F.col("chunk_id") == F.col("v_id"), "left").drop("v_id")
 
 
-def _questions(spark: SparkSession, d: str, n: int) -> DataFrame:
-    """The first eight distinct tokens of each of the first ``n`` documents, with the vector of that number."""
+def _questions(spark: SparkSession, d: str, n: int | None) -> DataFrame:
+    """The first eight distinct tokens of each of the first ``n`` documents, with the vector of that number.
+
+    For None, the whole text of every document of the whole query set, with its vector if it has one.
+    """
+    if n is None:
+        asked = _T(spark, d, "documents").where(_of("doc_id", n)).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
+        return asked.join(_asked(spark, d, n), "query_id", "left")
     text = F.array_join(F.slice(F.array_distinct(r.tokens(F.col("text"))), 1, 8), " ")
     return _T(spark, d, "documents").where(F.col("doc_id") < n).select(F.col("doc_id").alias("query_id"), text.alias("query_text")).join(_asked(spark, d, n), "query_id")
 
@@ -39,32 +52,32 @@ def _knn_sql(n: int, k: int, where: str = "TRUE", cosine: bool = False) -> str:
         FROM embeddings e, embeddings q WHERE q.vec_id < {n} AND {where} QUALIFY rank <= {k}"""
 
 
-def vector_topk_l2(spark, d):
-    return r.knn(_asked(spark, d, 1), _vectors(spark, d), 10).select("query_id", "chunk_id", "distance", "rank")
+def vector_topk_l2(spark, d, n=1):
+    return r.knn(_asked(spark, d, n), _vectors(spark, d), 10).select("query_id", "chunk_id", "distance", "rank")
 
 
-def vector_topk_cosine(spark, d):
-    return r.knn(_asked(spark, d, 1), _vectors(spark, d), 10, metric="cosine").select("query_id", "chunk_id", "score", "rank")
+def vector_topk_cosine(spark, d, n=1):
+    return r.knn(_asked(spark, d, n), _vectors(spark, d), 10, metric="cosine").select("query_id", "chunk_id", "score", "rank")
 
 
-def vector_topk_multi_query(spark, d):
-    return r.knn(_asked(spark, d, 20), _vectors(spark, d), 6).select("query_id", "chunk_id", "distance", "rank")
+def vector_topk_multi_query(spark, d, n=20):
+    return r.knn(_asked(spark, d, n), _vectors(spark, d), 6).select("query_id", "chunk_id", "distance", "rank")
 
 
-def metadata_filtered_topk(spark, d):
-    return r.knn(_asked(spark, d, 5), _vectors(spark, d), 5, keep=F.col("label") == 3).select("query_id", "chunk_id", "distance", "rank")
+def metadata_filtered_topk(spark, d, n=5):
+    return r.knn(_asked(spark, d, n), _vectors(spark, d), 5, keep=F.col("label") == 3).select("query_id", "chunk_id", "distance", "rank")
 
 
-def distance_gate(spark, d):
-    return r.distance_gate(r.knn(_asked(spark, d, 20), _vectors(spark, d), 20, exclude_self=True)).select("query_id", "chunk_id", "distance", "rank")
+def distance_gate(spark, d, n=20):
+    return r.distance_gate(r.knn(_asked(spark, d, n), _vectors(spark, d), 20, exclude_self=True)).select("query_id", "chunk_id", "distance", "rank")
 
 
-def hard_gate(spark, d):
-    return r.hard_gate(r.knn(_asked(spark, d, 50), _vectors(spark, d), 3, exclude_self=True)).select("query_id", "chunk_id", "distance", "rank")
+def hard_gate(spark, d, n=50):
+    return r.hard_gate(r.knn(_asked(spark, d, n), _vectors(spark, d), 3, exclude_self=True)).select("query_id", "chunk_id", "distance", "rank")
 
 
-def similarity_display(spark, d):
-    hits = r.knn(_asked(spark, d, 3), _vectors(spark, d), 5)
+def similarity_display(spark, d, n=3):
+    hits = r.knn(_asked(spark, d, n), _vectors(spark, d), 5)
     return hits.select("query_id", "chunk_id", F.round(1 / (1 + F.col("distance")), 6).alias("similarity"))
 
 
@@ -82,63 +95,64 @@ def bm25_stats(spark, d):
     return terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def bm25_topk(spark, d):
-    return r.bm25(_questions(spark, d, 5), _chunks(spark, d), 20).select("query_id", "chunk_id", F.round("bm25_score", 4).alias("bm25_score"))
+def bm25_topk(spark, d, n=5):
+    return r.bm25(_questions(spark, d, n), _chunks(spark, d), 20).select("query_id", "chunk_id", F.round("bm25_score", 4).alias("bm25_score"))
 
 
-def minmax_normalize(spark, d):
+def minmax_normalize(spark, d, n=5):
     from pyspark.sql import Window
 
-    hits = r.knn(_asked(spark, d, 5), _vectors(spark, d), 8)
+    hits = r.knn(_asked(spark, d, n), _vectors(spark, d), 8)
     per = Window.partitionBy("query_id")
     from tidewell.functions.scores import min_max
 
     return hits.select("query_id", "chunk_id", F.round(min_max(F.col("distance"), F.min("distance").over(per), F.max("distance").over(per)), 5).alias("normalised"))
 
 
-def weighted_rrf_fusion(spark, d):
-    near = r.knn(_asked(spark, d, 5), _vectors(spark, d), 30)
-    found = r.bm25(_questions(spark, d, 5), _chunks(spark, d), 30)
+def weighted_rrf_fusion(spark, d, n=5):
+    near = r.knn(_asked(spark, d, n), _vectors(spark, d), 30)
+    found = r.bm25(_questions(spark, d, n), _chunks(spark, d), 30)
     return r.fuse(near, found).select("query_id", "chunk_id", "vector_rank", "bm25_rank", "hybrid_score")
 
 
-def hybrid_topk(spark, d):
+def hybrid_topk(spark, d, n=3):
     """Question text and vector to the ten best documents with confidence and relevance."""
-    hits = r.hybrid(_questions(spark, d, 3), _chunks(spark, d), 10)
+    hits = r.hybrid(_questions(spark, d, n), _chunks(spark, d), 10)
     sure = r.confidence(hits)
     from tidewell.functions.scores import relevance
 
     return hits.join(sure, "query_id").select("query_id", "chunk_id", "rank", F.round("hybrid_score", 4).alias("hybrid_score"), "confidence", relevance(F.col("distance")).alias("relevance"))
 
 
-def multi_query_rrf(spark, d):
+def multi_query_rrf(spark, d, n=15):
     """Vectors 3i, 3i+1 and 3i+2 stand for the variations of question i; the first is the original."""
-    hits = r.knn(_asked(spark, d, 15), _vectors(spark, d), 10)
+    asked = _asked(spark, d, n) if n is not None else _vectors(spark, d).where(F.floor(F.col("chunk_id") / 3) % 100 == 0).select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("query_vec"))
+    hits = r.knn(asked, _vectors(spark, d), 10)
     ranked = hits.select(F.floor(F.col("query_id") / 3).cast("long").alias("query_id"), "chunk_id", (F.col("rank") - 1).alias("rank0"),
                          F.when(F.col("query_id") % 3 == 0, 1.5).otherwise(1.0).alias("weight"))
     return r.multi_query_rrf(ranked, 6).select("query_id", "chunk_id", "rrf_score", "appearances", F.round("avg_rank", 4).alias("avg_rank"), "best_rank")
 
 
-def confidence_score(spark, d):
-    return r.confidence(r.knn(_asked(spark, d, 50), _vectors(spark, d), 3))
+def confidence_score(spark, d, n=50):
+    return r.confidence(r.knn(_asked(spark, d, n), _vectors(spark, d), 3))
 
 
-def relevance_labels(spark, d):
+def relevance_labels(spark, d, n=20):
     from tidewell.functions.scores import relevance
 
-    return r.knn(_asked(spark, d, 20), _vectors(spark, d), 5).select("query_id", "chunk_id", relevance(F.col("distance")).alias("relevance"))
+    return r.knn(_asked(spark, d, n), _vectors(spark, d), 5).select("query_id", "chunk_id", relevance(F.col("distance")).alias("relevance"))
 
 
-def citations(spark, d):
+def citations(spark, d, n=10):
     docs = _T(spark, d, "documents").select(F.col("doc_id").alias("c_id"), "source", "lang")
-    hits = r.knn(_asked(spark, d, 10), _vectors(spark, d), 4).join(docs, F.col("chunk_id") == F.col("c_id"), "left")
+    hits = r.knn(_asked(spark, d, n), _vectors(spark, d), 4).join(docs, F.col("chunk_id") == F.col("c_id"), "left")
     return r.citations(hits.select("query_id", "chunk_id", "rank", "distance", F.lit(None).cast("string").alias("filename"), "source",
                                    F.when(F.col("lang") != "en", F.col("lang")).alias("section"), F.lit(None).cast("string").alias("chunk_type")))
 
 
-def parent_swap(spark, d):
+def parent_swap(spark, d, n=10):
     """Vectors of one label and tens group are children of one parent; groups divisible by four have none stored."""
-    hits = r.knn(_asked(spark, d, 10), _vectors(spark, d), 12)
+    hits = r.knn(_asked(spark, d, n), _vectors(spark, d), 12)
     members = _vectors(spark, d).where((F.floor(F.col("chunk_id") / 10) % 4) != 0).select(
         "chunk_id", F.concat_ws("-", F.lit("p"), F.floor(F.col("chunk_id") / 10).cast("string")).alias("parent_id"))
     parents = members.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n_children"))
@@ -208,3 +222,8 @@ QUERIES = {
         SELECT query_id, chunk_id, parent_id, n_children, distance FROM h LEFT JOIN m ON chunk_id = vec_id LEFT JOIN p USING (parent_id)
         QUALIFY row_number() OVER (PARTITION BY query_id, coalesce(parent_id, 'child:' || chunk_id) ORDER BY rank) = 1"""),
 }
+
+#: The searches whose SQL asks the first few ids; each is also registered with the whole query set, without SQL (the tests hold these against brute force).
+SEARCHES = ("vector_topk_l2", "vector_topk_cosine", "vector_topk_multi_query", "metadata_filtered_topk", "distance_gate", "hard_gate", "similarity_display", "bm25_topk", "minmax_normalize",
+            "weighted_rrf_fusion", "hybrid_topk", "multi_query_rrf", "confidence_score", "relevance_labels", "citations", "parent_swap")
+QUERIES |= {f"{name}_whole": (partial(QUERIES[name][0], n=None), None) for name in SEARCHES}
