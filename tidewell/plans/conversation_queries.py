@@ -98,14 +98,19 @@ def transcript_snippet(spark, d):
     return r.transcript(_messages(spark, d)).select("conv_id", F.md5(F.col("transcript").cast("binary")).alias("transcript_md5"))
 
 
-def action_reference(spark, d):
-    """Orders as actions, asked for in another spelling."""
+def action_reference(spark, d, asked_for="id % 50 = 0"):
+    """Orders as actions, asked for in another spelling: every fiftieth."""
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, "ticket").when(F.col("o_orderkey") % 3 == 1, "callback").otherwise("account_change").alias("kind"))
     actions = r.with_references(o)
-    asked = actions.where("id % 50 = 0").select(F.col("id").alias("ask_id"), F.lower(F.replace("reference", F.lit("-"), F.lit(" "))).alias("text"))
+    asked = actions.where(asked_for).select(F.col("id").alias("ask_id"), F.lower(F.replace("reference", F.lit("-"), F.lit(" "))).alias("text"))
     return r.find_by_reference(asked, actions).select("ask_id", "id", "kind", "reference")
 
 
+def action_reference_whole(spark, d):
+    """Every order as an action, asked for in another spelling."""
+    return action_reference(spark, d, "TRUE")
+
+
 def account_match(spark, d):
     """Customers' phones, asked for exactly, in digits only, and for another tenant."""
     c = spark.read.parquet(f"{d}/customer.parquet")
@@ -184,6 +189,8 @@ QUERIES = {
     "transcript_snippet": (transcript_snippet, f"SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS transcript_md5 FROM (SELECT * FROM {_MSG} QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8) GROUP BY 1"),
     "action_reference": (action_reference, """WITH a AS (SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'ticket' WHEN 1 THEN 'callback' ELSE 'account_change' END AS kind, CASE o_orderkey % 3 WHEN 0 THEN 'TKT-' WHEN 1 THEN 'CB-' ELSE 'CHG-' END || (o_orderkey + 1000) AS reference FROM orders)
         SELECT q.id AS ask_id, a.id, a.kind, a.reference FROM a JOIN a q ON upper(replace(q.reference, '-', '')) = upper(replace(a.reference, '-', '')) WHERE q.id % 50 = 0"""),
+    "action_reference_whole": (action_reference_whole, """WITH a AS (SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'ticket' WHEN 1 THEN 'callback' ELSE 'account_change' END AS kind, CASE o_orderkey % 3 WHEN 0 THEN 'TKT-' WHEN 1 THEN 'CB-' ELSE 'CHG-' END || (o_orderkey + 1000) AS reference FROM orders)
+        SELECT q.id AS ask_id, a.id, a.kind, a.reference FROM a JOIN a q ON upper(replace(q.reference, '-', '')) = upper(replace(a.reference, '-', ''))"""),
     "account_match": (account_match, """WITH a AS (SELECT c_custkey AS account_id, 't' || (c_nationkey % 3) AS slug, 'Acct-' || (c_custkey + 770000) || ' x' AS identifier, (c_custkey + 770000)::VARCHAR AS dg FROM customer),
         q AS (SELECT account_id AS ask_id, CASE WHEN account_id % 7 = 0 THEN 't0' ELSE slug END AS slug, CASE account_id % 3 WHEN 0 THEN upper(identifier) WHEN 1 THEN 'no. ' || dg ELSE '12345' END AS asked FROM a),
         h AS (SELECT ask_id, account_id, 1 AS way FROM q JOIN a ON q.slug = a.slug AND lower(asked) = lower(identifier) UNION ALL SELECT ask_id, account_id, 2 FROM q JOIN a ON q.slug = a.slug AND regexp_replace(asked, '[^0-9]', '', 'g') = dg)
