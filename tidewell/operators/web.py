@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,17 +22,18 @@ def link_table(pages: DataFrame) -> DataFrame:
     return full.where("dst <> ''").distinct().withColumn("kind", kind)
 
 
-def depths(edges: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame:
+def depths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(node, depth)`` from ``seeds(node)`` along ``edges(src, dst)``: breadth first, one join a level.
 
-    The frontier loses visited nodes by an anti join; lineage is cut every level.
+    The frontier loses visited nodes by an anti join; lineage is cut every level.  The search ends when
+    a level finds no new node, or after ``max_depth`` levels if that is given.
     """
     from pyspark.sql import SparkSession
 
     spark: SparkSession = edges.sparkSession
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         following = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         following = _cut(spark, following.withColumn("depth", F.lit(depth)))
         if following.isEmpty():

@@ -35,14 +35,19 @@ def pdf_found_on(spark, d):
     return web.found_on(web.link_table(_pages(spark, d))).select("dst", F.array_join("found_on", " ").alias("found_on"))
 
 
-def link_bfs_depth(spark, d):
+def link_bfs_depth(spark, d, n_pages=250):
     """Hosts and pages as one graph: a page leads to its host, a host to the pages whose number it owns by remainder."""
     p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", u.domain(F.col("url")).alias("host"))
     edges = p.select(F.concat(F.lit("p"), F.col("page_id")).alias("src"), F.col("host").alias("dst")).unionByName(
-        p.select(F.col("host").alias("src"), F.concat(F.lit("p"), (F.col("page_id") * 7 + 3) % 250).alias("dst"))).distinct()
+        p.select(F.col("host").alias("src"), F.concat(F.lit("p"), (F.col("page_id") * 7 + 3) % n_pages).alias("dst"))).distinct()
     return web.depths(edges, spark.sql("SELECT 'p0' AS node"))
 
 
+def link_bfs_depth_whole(spark, d):
+    """The graph of ``link_bfs_depth`` with as many pages as the table has."""
+    return link_bfs_depth(spark, d, spark.read.parquet(f"{d}/pages.parquet").count())
+
+
 def curation_status(spark, d):
     text = F.regexp_replace("html", "<[^>]*>", "")
     return web.curation(_pages(spark, d).select("page_id", "url", text.alias("text"))).select("page_id", "status", "category", "slug")
@@ -83,6 +88,7 @@ QUERIES = {
     "pdf_found_on": (pdf_found_on, f"WITH {_LINKS} SELECT dst, array_to_string(list_sort(list(DISTINCT src)), ' ') AS found_on FROM kin WHERE kind = 'pdf' GROUP BY 1"),
     "link_bfs_depth": (link_bfs_depth, f"""WITH RECURSIVE p AS (SELECT page_id, {_DOM.format('url')} AS host FROM pages), e AS (SELECT 'p' || page_id AS src, host AS dst FROM p UNION SELECT host, 'p' || ((page_id * 7 + 3) % 250) FROM p),
         r AS (SELECT 'p0' AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 50) SELECT node, min(depth)::INT AS depth FROM r GROUP BY 1"""),
+    "link_bfs_depth_whole": (link_bfs_depth_whole, None),
     "curation_status": (curation_status, f"SELECT page_id, {_STATUS} AS status, {_CAT} AS category, left(sha1(url), 16) AS slug FROM {_PAGES}"),
     "curation_counts": (curation_counts, f"SELECT status, count(*) AS n, count(DISTINCT category) AS n_categories FROM (SELECT {_STATUS} AS status, {_CAT} AS category FROM {_PAGES}) GROUP BY 1"),
 }
