@@ -6,8 +6,9 @@ a Viterbi pass with a switching penalty labels spans; a text's language is that
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -31,6 +32,9 @@ SCRIPT_SHARE = 0.01
 #: Words that the Viterbi pass takes as one chunk.
 CHUNK = 128
 UNKNOWN = "und"
+#: Notices of a licence or copyright, often in another language than their text's; longer lines are text.
+LICENCE = re.compile(r"licen[sc]|copyright|\u00a9|all rights reserved|public domain|creative commons", re.IGNORECASE)
+LICENCE_CHARS = 200
 BATCH_BYTES = 1 << 20
 ORDERS = 3
 
@@ -84,6 +88,7 @@ class Words:
     ends: np.ndarray
     doc: np.ndarray
     script: np.ndarray  # of the first letter
+    letters: np.ndarray  # script of each letter, marks and other letters have their word's
     first: np.ndarray  # the word's first place among the letters
     grams: list[np.ndarray]  # by order, the slot of each letter
     offsets: np.ndarray  # where each text starts
@@ -110,7 +115,9 @@ def split_words(texts: list[str]) -> Words:
     grams = [((g ^ (g >> np.uint32(15))) * m3 >> shift).astype(np.int32) for g in (pair, triple, wide)]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     offsets = 2 + np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) if len(texts) else np.zeros(0, np.int64)
-    return Words(starts, ends, np.searchsorted(offsets, starts, side="right") - 1, script[starts],
+    letters = script[at]
+    letters = np.where(letters == OTHER, np.repeat(script[starts], ends - starts), letters)
+    return Words(starts, ends, np.searchsorted(offsets, starts, side="right") - 1, script[starts], letters,
                  np.concatenate([[0], np.cumsum(ends - starts)[:-1]]).astype(np.int64) if len(starts) else np.zeros(0, np.int64), grams, offsets)
 
 
@@ -263,11 +270,12 @@ def identify_texts(texts: list[str], model: Model, penalty: float = SWITCH_PENAL
     if not k:
         return [UNKNOWN] * n, np.zeros(n), [[] for _ in texts]
     labels = viterbi(word_scores(words, model), words.doc, penalty)
-    letters = np.bincount(words.doc * k + labels, words.ends - words.starts, minlength=n * k).reshape(n, k)
-    total = letters.sum(1)
+    known = np.add.reduceat(model.scripts.any(1)[words.letters], words.first, dtype=np.int64) if len(labels) else labels
+    letters = np.bincount(words.doc * k + labels, known, minlength=n * k).reshape(n, k)
+    total = np.bincount(words.doc, words.ends - words.starts, minlength=n)
     top = letters.argmax(1)
     score = np.where(total > 0, letters[np.arange(n), top] / np.maximum(total, 1), 0.0)
-    languages = [model.languages[t] if s else UNKNOWN for t, s in zip(top.tolist(), (total > 0).tolist(), strict=True)]
+    languages = [model.languages[t] if s else UNKNOWN for t, s in zip(top.tolist(), (letters.sum(1) > 0).tolist(), strict=True)]
     new = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (words.doc[1:] != words.doc[:-1])])) if len(labels) else np.zeros(0, np.int64)
     last = np.concatenate([new[1:], [len(labels)]]) - 1 if len(new) else new
     spans: list[list[tuple[str, int, int]]] = [[] for _ in texts]
@@ -277,12 +285,22 @@ def identify_texts(texts: list[str], model: Model, penalty: float = SWITCH_PENAL
     return languages, score, spans
 
 
-def with_language(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool = True, penalty: float = SWITCH_PENALTY) -> DataFrame:
+def without_licence_lines(text: str) -> str:
+    """``text`` without its short lines of licence or copyright; the whole text if they hold all its letters."""
+    if not LICENCE.search(text):
+        return text
+    rest = "\n".join(x for x in text.split("\n") if len(x) > LICENCE_CHARS or not LICENCE.search(x))
+    return rest if any(map(str.isalpha, rest)) else text
+
+
+def with_language(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool = True, penalty: float = SWITCH_PENALTY, prepare: Callable[[str], str] | None = None) -> DataFrame:
     """``docs`` with ``lang_pred, score`` and ``lang_spans`` (replacing columns of these names); only the text decides.
 
-    ``score`` is the part of the letters that Viterbi spans give to ``lang_pred``; spans are in code
-    points.  Null, empty and letterless texts get ``und`` and 0; letters of scripts that no learned
-    language has still get the language that their neighbours or the order of languages suggest.  All
+    ``score`` is the part of all letters that Viterbi spans give to ``lang_pred``; spans are in code
+    points.  Null, empty and letterless texts get ``und`` and 0.  Letters of scripts that no learned
+    language has count for no language but in the whole, so a text of such letters alone gets ``und`` and
+    0 too (its spans name the language that neighbours or the order of languages suggest).  With
+    ``prepare``, what it makes of a text is looked at (spans are then places in that).  All
     rows stay, repeated ones with repeated results.  No shuffle; the model is broadcast (its size is
     fixed by SLOTS and the number of languages).
     """
@@ -296,7 +314,8 @@ def with_language(docs: DataFrame, model: Model, *, text_col: str = "text", span
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, text_col, BATCH_BYTES):
-            languages, score, found = identify_texts([t or "" for t in batch.column(text_col).to_pylist()], shared.value, penalty)
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            languages, score, found = identify_texts(texts if prepare is None else list(map(prepare, texts)), shared.value, penalty)
             columns = [*(batch.column(c) for c in kept), pa.array(languages, pa.string()), pa.array(score, pa.float64())]
             if spans:
                 columns.append(pa.array([[{"lang": x, "first": a, "end": b} for x, a, b in s] for s in found], span_type))
