@@ -185,9 +185,9 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     1. One pass over the texts writes a set fingerprint and a signature a document.
     2. Copies (equal sets) collapse, pre-aggregated, to their smallest id and a count.
-    3. Each representative enters ``TREES`` tries by a path of ``DEPTH`` hashes.  Paths are sorted;
-       matched prefixes are shortened from full depth until ``RECALL`` of the pairs at the threshold
-       would meet.  Nodes propose candidate links from signature estimates, near copies through
+    3. Each representative enters a node in each of ``TREES`` bands, by the first hashes of the band's
+       ``DEPTH``: as many as let ``RECALL`` of the pairs at the threshold meet (``prefix_length``), the
+       same for all nodes; the others serve estimates only.  Nodes propose candidate links from signature estimates, near copies through
        leaders, so that a node gives fewer links than it has texts.
     4. Components of the candidate links are the units of verification: only their texts are read
        again.  Exact similarities are counted block by block inside the function, never emitted.
