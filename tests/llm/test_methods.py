@@ -311,9 +311,36 @@ def test_samples_without_replacement():
 
 def test_decoding_is_the_library():
     v = ps.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
-    for text in ["Hello world", "  two  blanks ", "tab\tnewline\n\n", "東京 é 👋", "x"]:
-        ids = v.model.encode(text)
-        assert ps.decode_ids(np.array(ids, "<u4").tobytes(), v) == v.model.decode(ids) == text
+    texts = ["Hello world", "  two  blanks ", "tab\tnewline\n\n", "東京 é 👋", "", "x"]
+    ids = [v.model.encode(t) for t in texts]
+    assert ps.decode_ids([np.array(i, "<u4").tobytes() for i in ids], v) == [v.model.decode(i) for i in ids] == texts
+
+
+def test_a_full_store_gives_the_same_samples(monkeypatch):
+    """Whatever units a worker has met before or dropped, and whether hashes collide: draws don't change."""
+    v = ps.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [f"word{i} other{i % 7}  again, it's\n{'x' * (i % 5)} 東京{i}" for i in range(60)] + ["", " ", "a▁b"]
+    fresh, worn = ps.Store(v), ps.Store(v)
+    want = [ps.top_k([t], [i], fresh, 2)[0] for i, t in enumerate(texts)]
+    renew = worn.renew
+    monkeypatch.setattr(worn, "renew", lambda: renew(20))
+    got = [ps.top_k([t], [i], worn, 2)[0] for i, t in enumerate(texts)]
+    assert got == want and worn.sizes["start"] < 60
+    assert ps.top_k(texts, list(range(len(texts))), worn, 2) == want
+    monkeypatch.setattr(ps, "mix", lambda x, real=ps.mix: real(x) % np.uint64(1 << 14))  # hashes of few bits collide
+    assert [len(rows) for rows in ps.top_k(texts, list(range(len(texts))), ps.Store(v), 2)] == [len(rows) for rows in want]
+
+
+def test_units():
+    v = ps.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    import regex
+
+    texts = ["a cat's  nap", "", "  x ", "12ab,é \n\n東京x", "▁▁ y▁z "]
+    codes, starts, before = ps.split_units(texts, v.letters_apart)
+    got = ["".join(map(chr, codes[a:b])) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    pattern = rf"{ps.BLANK}*\p{{L}}+|{ps.BLANK}*[^\p{{L}}{ps.BLANK}]+|{ps.BLANK}+" if v.letters_apart else f"{ps.BLANK}+[^{ps.BLANK}]*|[^{ps.BLANK}]+"
+    want = [regex.findall(pattern, ps.BLANK + t.replace(" ", ps.BLANK) if t else "") for t in texts]
+    assert [got[a:b] for a, b in zip(before[:-1], before[1:], strict=True)] == want
 
 
 def test_every_word_token_merges_to_itself():

@@ -262,8 +262,8 @@ def test_segmentations(docs, empty):
         assert len({(bytes(r.input_ids), r.decoded) for r in got[key]}) == len(got[key]) and (len(got[key]) == 1) == (not text)
     again = by_id(piece_sampling.sample_segmentations(docs.repartition(3), PIECES, k=3))
     assert {k: sorted((bytes(r.input_ids), r.perturbed) for r in v) for k, v in got.items()} == {k: sorted((bytes(r.input_ids), r.perturbed) for r in v) for k, v in again.items()}
+    at_once = piece_sampling.sample_segmentations(docs, PIECES, k=3, decode=True)
+    assert at_once.columns == [*piece_sampling.sample_segmentations(docs, PIECES).columns, "decoded"]
+    key = lambda r: str((r.doc_id, bytes(r.input_ids), r.decoded))
+    assert sorted(map(key, at_once.collect())) == sorted(map(key, out.collect()))
     assert piece_sampling.sample_segmentations(empty, PIECES).count() == 0
-
-
-def test_hashes_are_of_the_kept_text():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")

@@ -9,9 +9,10 @@ are a sample of k distinct segmentations without replacement, each with its incl
 from __future__ import annotations
 
 import heapq
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from tidewell.llm.shingles import mix
 #: Segmentations a text, exponent on piece probabilities (lower: more even), seed.
 TOP_K, ALPHA, SEED = 2, 0.7, 11
 #: Bytes of text at once, and distinct units whose lattices a worker keeps.
-BATCH_BYTES, KEPT_UNITS = 1 << 20, 160_000
+BATCH_BYTES, KEPT_UNITS = 1 << 20, 260_000
 #: Units whose lattices are built at once, few enough to stay in cache.
 BUILT_UNITS = 6000
 BLANK = "▁"
@@ -35,7 +36,6 @@ class Vocabulary:
     """Pieces of a SentencePiece model as prefix hashes; a character without a piece falls back to its bytes."""
 
     def __init__(self, path: str, alpha: float = ALPHA):
-        import regex
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -62,18 +62,18 @@ class Vocabulary:
                 prefixes.setdefault(h, -1)
             prefixes[h] = i
         # where letters meet other characters, units end, if no piece spans such a place
-        mixed = False
+        self.letters_apart = True
         for i in range(n):
             piece = self.model.id_to_piece(i).lstrip(BLANK)
             if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i)):
-                mixed |= any(a.isalpha() != b.isalpha() for a, b in zip(piece, piece[1:], strict=False))
-        whole = f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+"
-        self.units = regex.compile(whole if mixed else rf"{BLANK}*\p{{L}}+|{BLANK}*[^\p{{L}}{BLANK}]+|{BLANK}+").findall
+                self.letters_apart &= all(a.isalpha() == b.isalpha() for a, b in zip(piece, piece[1:], strict=False))
         order = sorted(prefixes)
         self.hashes = np.array(order, np.uint64)
         self.ids = np.array([prefixes[h] for h in order], np.int32)
         self.logs = logs
         self.longest = max(len(self.model.id_to_piece(i)) for i in range(n))
+        self.flat_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.byte_ends = np.cumsum([len(x) for x in self.bytes_of])
 
 
 @dataclass
@@ -85,6 +85,7 @@ class Lattice:
 
     start: np.ndarray  # first node of each unit
     left: np.ndarray  # characters from a node to the unit's end
+    code: np.ndarray  # the character after each node
     first: np.ndarray  # first arc of each node, plus the number of arcs
     run: np.ndarray  # of each arc: the probability of it and its node's arcs before it; over 1 for the last
     length: np.ndarray
@@ -92,91 +93,136 @@ class Lattice:
     log: np.ndarray  # conditional log probability, given the node
 
 
+@lru_cache(1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: 64 random-looking bits, and whether it is a letter."""
+    with np.errstate(over="ignore"):
+        return mix(np.arange(sys.maxunicode + 1, dtype=np.uint64) + _UNIT), np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def split_units(texts: list[str], letters_apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts with their blanks written out and one in front, where each unit starts (and the end), and the units before each text (and all).
+
+    A unit is led by its blanks and ends before the next one; with ``letters_apart`` also where letters meet other characters.
+    """
+    sizes = np.fromiter((len(t) + 1 if t else 0 for t in texts), np.int64, len(texts))
+    codes = np.frombuffer("".join([BLANK + t for t in texts if t]).encode("utf-32-le", "replace"), "<u4").copy()
+    codes[codes == 0x20] = ord(BLANK)
+    kind = (_characters()[1][codes].view(np.uint8) if letters_apart else np.zeros(len(codes), np.uint8)) + np.uint8(1)
+    kind[codes == ord(BLANK)] = 0
+    begins = np.zeros(len(codes), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] > 0)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    begins[at[:-1][sizes > 0]] = True
+    starts = np.append(np.flatnonzero(begins), len(codes))
+    return codes, starts, np.searchsorted(starts, at)
+
+
 class Store:
-    """Lattices of the units that a worker has met lately, in arrays that grow by a quarter."""
+    """Lattices of the units that a worker has met lately, in arrays that grow by a quarter.
+
+    Units are found by 64-bit hashes of their characters, and the characters themselves are compared
+    with the kept ones: should hashes ever collide, the store starts anew with another salt.
+    """
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
-        self.renew(-1)
-
-    def kinds(self, units: list[str]) -> np.ndarray:
-        """The number of each unit, which stays the same until ``renew``."""
-        found = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
-        unknown = np.flatnonzero(found < 0).tolist()
-        if unknown:
-            fresh = list(dict.fromkeys([units[i] for i in unknown]))
+        self.vocab, self.salt = vocab, 0
+        self._clear()
+
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' units, which hold until ``renew``, and the units before each text (and all)."""
+        codes, starts, before = split_units(texts, self.vocab.letters_apart)
+        while (found := self._kinds(codes, starts)) is None:
+            self.salt += 1
+            self._clear()
+        return found, before
+
+    def _kinds(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray | None:
+        if len(starts) < 2:
+            return np.zeros(0, np.int64)
+        sizes = np.diff(starts)
+        place = np.arange(len(codes), dtype=np.int32) - np.repeat(starts[:-1].astype(np.int32), sizes)
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.full(int(sizes.max()), _ROLL + np.uint64(2 * self.salt), np.uint64), dtype=np.uint64)
+            hashes = mix(np.add.reduceat(_characters()[0][codes] * powers[place], starts[:-1]))
+        distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        slot = np.searchsorted(self.hashes, distinct)
+        known = self.hashes[np.minimum(slot, len(self.hashes) - 1)] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
+        kinds = np.empty(len(distinct), np.int64)
+        kinds[known] = self.kind[slot[known]]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            kinds[fresh] = self.sizes["start"] + np.arange(len(fresh))
             for start in range(0, len(fresh), BUILT_UNITS):
-                part = fresh[start:start + BUILT_UNITS]
-                more = build(part, self.vocab)
-                nodes, arcs = self.sizes["left"], self.sizes["run"]
-                more.start += nodes
-                more.first += arcs
-                self.sizes["first"] = nodes  # the entry after the last node is written anew
-                for name, values in vars(more).items():
-                    self._append(name, values)
-                self.known.update(zip(part, range(len(self.known), len(self.known) + len(part)), strict=True))
-            found[unknown] = [self.known[units[i]] for i in unknown]
-        return found
-
-    def texts(self, texts: list[str]) -> list[np.ndarray]:
-        """The numbers of each text's units.  Strings between blanks are looked up whole; odd blanks are split by the pattern."""
-        out: list[np.ndarray | None] = []
-        strings: list[str] = []
-        sizes: list[int] = []
-        for t in texts:
-            if t and "  " not in t and t[0] != " " and t[-1] != " " and BLANK not in t:
-                found = t.split(" ")
-                strings += found
-                sizes.append(len(found))
-                out.append(None)
-            else:
-                out.append(self.kinds(self.vocab.units((BLANK + t.replace(" ", BLANK)) if t else "")))
-        ids = np.fromiter(map(self.words.get, strings, repeat(-1)), np.int64, len(strings))
-        unknown = np.flatnonzero(ids < 0).tolist()
-        if unknown:
-            fresh = list(dict.fromkeys([strings[i] for i in unknown]))
-            units = [self.vocab.units(BLANK + s) for s in fresh]
-            counts = np.fromiter(map(len, units), np.int64, len(units))
-            had = len(self.word_kinds)
-            self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh)), strict=True))
-            self.word_kinds = np.concatenate([self.word_kinds, self.kinds([u for us in units for u in us]).astype(np.int32)])
-            self.word_first = np.concatenate([self.word_first, had + np.cumsum(counts)])
-            ids[unknown] = [self.words[strings[i]] for i in unknown]
-        first, counts = self.word_first[ids], self.word_first[ids + 1] - self.word_first[ids]
-        ends = np.cumsum(counts)
-        flat = self.word_kinds[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + counts, counts)].astype(np.int64)
-        cuts = np.concatenate([[0], ends])[np.cumsum([0, *sizes])]
-        parts = iter([flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-        return [next(parts) if x is None else x for x in out]
-
-    def _append(self, name: str, values: np.ndarray) -> None:
-        had, now = getattr(self.lattice, name), self.sizes[name] + len(values)
-        if now > len(had):
-            grown = np.empty(max(now, len(had) + len(had) // 4), had.dtype)
-            grown[:self.sizes[name]] = had[:self.sizes[name]]
-            setattr(self.lattice, name, grown)
-            had = grown
-        had[self.sizes[name]:now] = values
-        self.sizes[name] = now
+                part = where[fresh[start:start + BUILT_UNITS]]
+                self._add(build(codes[_ranges(starts[part], sizes[part])], sizes[part], self.vocab))
+            self.hashes, self.kind = np.insert(self.hashes, slot[fresh], distinct[fresh]), np.insert(self.kind, slot[fresh], kinds[fresh])
+            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+        self.uses[kinds] += np.bincount(inverse, minlength=len(distinct))
+        out = kinds[inverse]
+        first = self.lattice.start[out]
+        same = (self.lattice.left[first] == sizes).all() and (self.lattice.code[_ranges(first, sizes)] == codes).all()
+        return out if same else None
+
+    def _add(self, more: Lattice) -> None:
+        nodes, arcs = self.sizes["left"], self.sizes["run"]
+        more.start += nodes
+        more.first += arcs
+        self.sizes["first"] = nodes  # the entry after the last node is written anew
+        for name, values in vars(more).items():
+            had, now = getattr(self.lattice, name), self.sizes[name] + len(values)
+            if now > len(had):
+                grown = np.empty(max(now, len(had) + len(had) // 4), had.dtype)
+                grown[:self.sizes[name]] = had[:self.sizes[name]]
+                setattr(self.lattice, name, grown)
+                had = grown
+            had[self.sizes[name]:now] = values
+            self.sizes[name] = now
+
+    def _clear(self) -> None:
+        self.lattice = build(np.zeros(0, np.uint32), np.zeros(0, np.int64), self.vocab)
+        self.sizes = {name: len(values) for name, values in vars(self.lattice).items()}
+        self.hashes, self.kind, self.uses = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def renew(self, most: int = KEPT_UNITS) -> None:
-        if most < 0 or len(self.known) > most or len(self.words) > 2 * most:
-            self.known, self.lattice = {}, build([], self.vocab)
-            self.words, self.word_first, self.word_kinds = {}, np.zeros(1, np.int64), np.zeros(0, np.int32)
-            self.sizes = {name: len(values) for name, values in vars(self.lattice).items()}
-
-
-def build(units: list[str], vocab: Vocabulary) -> Lattice:
-    sizes = np.fromiter(map(len, units), np.int64, len(units))
-    codes = np.frombuffer("".join(units).encode("utf-32-le", "replace"), "<u4")
-    unit = np.repeat(np.arange(len(units)), sizes)
+        """Of more than ``most`` units, the most used half stays (those used once go)."""
+        n = self.sizes["start"]
+        if n <= most:
+            return
+        had, start = self.lattice, self.lattice.start[:n]
+        stay = np.sort(np.argpartition(-self.uses, most // 2)[:most // 2])
+        stay = stay[self.uses[stay] > 1]
+        nodes = had.left[start[stay]] + 1
+        at_node = _ranges(start[stay], nodes)
+        arcs = had.first[at_node + 1] - had.first[at_node]
+        at_arc = _ranges(had.first[at_node], arcs)
+        number = np.full(n, -1, np.int64)
+        number[stay] = np.arange(len(stay))
+        self.lattice = Lattice(np.cumsum(nodes, dtype=np.int64) - nodes, had.left[at_node], had.code[at_node], np.concatenate([[0], np.cumsum(arcs)]).astype(np.int32),
+                               had.run[at_arc], had.length[at_arc], had.piece[at_arc], had.log[at_arc])
+        self.sizes = {name: len(values) for name, values in vars(self.lattice).items()}
+        kept = number[self.kind] >= 0
+        self.hashes, self.kind, self.uses = self.hashes[kept], number[self.kind[kept]], self.uses[stay] // 2
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers from each start on, as many as its size says."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def build(codes: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> Lattice:
+    """The lattices of units, given by the code points of all and the length of each."""
+    unit = np.repeat(np.arange(len(sizes)), sizes)
     ends = np.cumsum(sizes)
-    start = ends - sizes + np.arange(len(units))
+    start = ends - sizes + np.arange(len(sizes))
     left_char = ends[unit] - np.arange(len(codes))
-    n_nodes = len(codes) + len(units)
+    n_nodes = len(codes) + len(sizes)
     node_of = np.arange(len(codes)) + unit
     left = np.zeros(n_nodes, np.int64)
     left[node_of] = left_char
+    code = np.zeros(n_nodes, np.uint32)
+    code[node_of] = codes
 
     at, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
     covered = np.zeros(len(codes), bool)
@@ -223,7 +269,7 @@ def build(units: list[str], vocab: Vocabulary) -> Lattice:
         run[at] += run[at - 1]
     if len(run):
         run[first[node + 1] - 1] = 2.0
-    return Lattice(start, left.astype(np.int32), first.astype(np.int32), run.astype(np.float32), length.astype(np.int8), piece.astype(np.int32), log.astype(np.float32))
+    return Lattice(start, left.astype(np.int32), code, first.astype(np.int32), run.astype(np.float32), length.astype(np.int8), piece.astype(np.int32), log.astype(np.float32))
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -322,7 +368,8 @@ def top_k(texts: list[str], keys: list[int], store: Store, k: int) -> list[list[
     The inclusion score is the probability to exceed the (k+1)-th perturbed value: 1 - exp(-exp(log p - that)); 1 where there is none.
     """
     store.renew()
-    kinds = store.texts(texts)
+    flat, before = store.texts(texts)
+    kinds = [flat[a:b] for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
     lattice, vocab, n = store.lattice, store.vocab, len(texts)
     base = mix(np.array([x & (1 << 64) - 1 for x in keys], np.uint64))
     roots = -np.log(-np.log(uniform(base, 1 << 40)))
@@ -429,8 +476,8 @@ def store_of(path: str, alpha: float) -> Store:
     return _loaded[path, alpha]
 
 
-def sample_segmentations(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", k: int = TOP_K, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """``(<id_col>, sample, input_ids, n_pieces, log_prob, perturbed, log_inclusion)``: ``k`` distinct segmentations of every whole text.
+def sample_segmentations(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", k: int = TOP_K, alpha: float = ALPHA, seed: int = SEED, decode: bool = False) -> DataFrame:
+    """``(<id_col>, sample, input_ids, n_pieces, log_prob, perturbed, log_inclusion)``: ``k`` distinct segmentations of every whole text; with ``decode`` also ``decoded``, the text of the ids as ``decode_pieces`` gives it.
 
     ``input_ids`` are little-endian unsigned 32-bit ids of the SentencePiece ``model``; samples are
     numbered from 0 by falling perturbed value.  A segmentation's probability is the product of its
@@ -453,17 +500,24 @@ def sample_segmentations(docs: DataFrame, model: str, *, id_col: str = "doc_id",
             at = [i for i, rows in enumerate(found) for _ in rows]
             nth = [s for rows in found for s in range(len(rows))]
             ids, pieces, logs, values, scores = zip(*(r for rows in found for r in rows), strict=True)
+            more = [pa.array(decode_ids(list(ids), store.vocab), pa.string())] if decode else []
             yield pa.RecordBatch.from_arrays([
                 batch.column("id").take(pa.array(at)), pa.array(nth, pa.int32()), pa.array(ids, pa.binary()), pa.array(pieces, pa.int64()),
-                pa.array(logs, pa.float64()), pa.array(values, pa.float64()), pa.array(scores, pa.float64())],
-                names=["id", "sample", "input_ids", "n_pieces", "log_prob", "perturbed", "log_inclusion"])
+                pa.array(logs, pa.float64()), pa.array(values, pa.float64()), pa.array(scores, pa.float64()), *more],
+                names=["id", "sample", "input_ids", "n_pieces", "log_prob", "perturbed", "log_inclusion", *["decoded"] * decode])
 
-    return source.mapInArrow(run, f"id {id_type}, sample int, input_ids binary, n_pieces long, log_prob double, perturbed double, log_inclusion double").withColumnRenamed("id", id_col)
+    schema = f"id {id_type}, sample int, input_ids binary, n_pieces long, log_prob double, perturbed double, log_inclusion double" + ", decoded string" * decode
+    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def decode_ids(ids: bytes, vocab: Vocabulary) -> str:
-    data = b"".join(map(vocab.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-    return (data[1:] if data[:1] == b" " else data).decode(errors="replace")
+def decode_ids(rows: list[bytes], vocab: Vocabulary) -> list[str]:
+    """The text of each row of ids."""
+    ids = np.frombuffer(b"".join(rows), "<u4")
+    ends = vocab.byte_ends[ids]
+    sizes = np.diff(vocab.byte_ends, prepend=0)[ids]
+    data = vocab.flat_bytes[_ranges(ends - sizes, sizes)].tobytes()
+    at = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *(len(r) // 4 for r in rows)])].tolist()
+    return [data[a + (data[a:a + 1] == b" " and a < b):b].decode(errors="replace") for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def decode_pieces(encoded: DataFrame, model: str, *, ids_col: str = "input_ids", alpha: float = ALPHA) -> DataFrame:
@@ -478,7 +532,9 @@ def decode_pieces(encoded: DataFrame, model: str, *, ids_col: str = "input_ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = store_of(model, alpha).vocab
         for batch in byte_batches(batches, ids_col, 4 * BATCH_BYTES):
-            texts = [None if x is None else decode_ids(x, vocab) for x in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, "decoded"])
+            rows = batch.column(ids_col).to_pylist()
+            texts = iter(decode_ids([x for x in rows if x is not None], vocab))
+            decoded = pa.array([None if x is None else next(texts) for x in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), decoded], names=[*kept, "decoded"])
 
     return source.mapInArrow(run, schema)

@@ -86,9 +86,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = vocabulary("piece_bpe_32k.model")
-    sampled = piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), model)
-    decoded = piece_sampling.decode_pieces(sampled, model)
+    decoded = piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), decode=True)
     return decoded.select("doc_id", "sample", "n_pieces", F.crc32("input_ids").alias("ids_crc32"), "log_prob", "perturbed", "log_inclusion",
                           F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
