@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewell import models
 from tidewell.config import EngineConfig
 from tidewell.functions import text as t
-from tidewell.operators import chunking as c, json_records as j, learning
+from tidewell.operators import chunking as c, folds, json_records as j, learning
 from tidewell.sources import files, html
 from tidewell.streaming import sessions as s
 
@@ -68,50 +68,83 @@ def test_history_stream(spark, tmp_path):
     assert got[1].n_kept == 20 and got[1].history.startswith("user: m5") and got[2].history == "user: new"
 
 
+FIELDS = [x.split()[0] for x in c.CHUNK_SCHEMA.split(", ")]
+
+
+def chunks(key, text, config=EngineConfig()):
+    return [dict(zip(FIELDS, row, strict=True)) for row in c.chunk_document(key, text, config)]
+
+
 def test_faq_chunks():
     text = "\n\n".join(f"Q: Question {i}?\nA: Answer {i}." for i in range(3))
-    got = c.chunk_document("d", text)
+    got = chunks("d", text)
     assert [x["section_title"] for x in got] == ["FAQ"] * 3 and got[0]["text"] == "Q: Question 0?\n\nA: Answer 0." and got[2]["total_chunks"] == 3
 
 
 def test_blank_and_long_documents():
-    assert c.chunk_document("d", "") == c.chunk_document("d", "   ") == []
+    assert chunks("d", "") == chunks("d", "   ") == chunks("d", None) == []
     text = " ".join(f"Sentence number {i} talks about network coverage." for i in range(300))
-    got = c.chunk_document("d", text)
+    got = chunks("d", text)
     assert len(got) > 3 and all(x["text"].startswith("[...] ") for x in got[1:]) and got[1]["subsection_title"] == " (continued)"
-    plain = c.chunk_document("d", text, EngineConfig(overlap_tokens=0))
+    plain = chunks("d", text, EngineConfig(overlap_tokens=0))
     assert " ".join(x["text"].split("]\n")[-1] for x in plain).split() == text.split()
     assert all(x["token_count"] <= 650 for x in plain) and len({x["chunk_id"] for x in plain}) == len(plain)
 
 
-def test_merging_small_chunks():
-    part = lambda n, h="": c.Part("x" * 4 * n, h)
-    sizes = lambda got: [c.tokens(p.content) for p in got]
-    config = EngineConfig()
-    assert len(c.merge_small([part(10), part(10), part(10)], config)) == 1
-    assert sizes(c.merge_small([part(10, "a"), part(200, "a"), part(10, "b"), part(200, "c")], config)) == [210, 10, 200]
-    assert sizes(c.merge_small([part(795), part(10)], config)) == [795, 10]
+def test_packing_fold():
+    assert folds.packed([3, 3, 3, 10, 1], 7) == [0, 0, 1, 2, 3] and folds.packed([0, 5, 5], 10) == [0, 0, 0] and folds.packed([], 1) == []
+    assert folds.packed([4, 4, 1], 9, joins=[1, 1, 1]) == [0, 0, 1] and folds.packed([1, 1, 1], 9, breaks=[False, False, True]) == [0, 0, 1]
+    assert folds.packed([1, 1, 1, 1], 9, alone=1) == [0, 1, 1, 1] and folds.packed([0, 4], 9, joins=[2, 2]) == [0, 1]
+    assert folds.filled([10, 500, 5, 30, 9], 40, 240) == [0, 0, 1, 1, 1] and folds.filled([500, 7, 50, 1], 40, 240) == [0, 0, 0, 1]
+    assert folds.together("abcd", [0, 0, 1, 2]) == [["a", "b"], ["c"], ["d"]]
+
+
+def test_merging_small_pieces():
+    groups = lambda *pieces: folds.merged([4 * n for n, _ in pieces], [h for _, h in pieces], 150, 800)
+    assert groups((10, ""), (10, ""), (10, "")) == [0, 0, 0]
+    assert groups((10, "a"), (200, "a"), (10, "b"), (200, "c")) == [0, 0, 1, 2]
+    assert groups((795, ""), (10, "")) == [0, 1] and groups((780, ""), (10, "")) == [0, 0]
+    assert groups((140, "a"), (140, "a"), (140, "a"), (200, "a")) == [0, 0, 0, 1] and groups() == []
+    pieces = [c.Piece("x" * 40, "a", "s"), c.Piece("y" * 800, "a", "t"), c.Piece("z" * 40, "b")]
+    assert [(len(p.content), p.heading, p.subheading) for p in c.merged(pieces, EngineConfig())] == [(40 + 2 + 800 + 2 + 40, "a", "t")]
 
 
 def test_topics_part_at_headings():
-    parts = c.parts_of("# One\ncats chase mice daily\n\ncats chase mice nightly\n\n# Two\ncats chase mice daily\n\nwholly different words here", r"\n\s*\n")
-    assert [len(run) for run in c.topic_runs(parts, 0.1)] == [2, 1, 1]
+    parts = c.segmented("# One\ncats chase mice daily\n\ncats chase mice nightly\n\n# Two\ncats chase mice daily\n\nwholly different words here", r"\n\s*\n")
+    assert [(p.heading, p.subheading) for p in parts] == [("One", ""), ("One", ""), ("Two", ""), ("Two", "")]
+    assert [p.content.count("\n\n") + 1 for p in c.topics(parts, EngineConfig())] == [2, 1, 1]
+    assert folds.alike(["", "", ""], [["a", "b"], ["b", "c"], ["x", "a"]], 0.2) == [0, 0, 0]  # like the run, not like the one before
+    assert folds.alike(["", "", ""], [["a", "b"], ["b", "c"], ["x", "a"]], 0.25) == [0, 0, 1] and folds.alike(["", ""], [[], []], 0.1) == [0, 1]
 
 
 def test_python_and_jvm_rules_agree(spark, sf):
-    docs = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + ["Table of Contents\nIntro .... 3\nPage 2 of 3\nA – b\n\n\n\nDr. Who?  Yes. no", "## Head\n- x\n1. y\n| a | b |"]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(docs)], "i int, x string")
-    for r in df.select("x", t.clean(F.col("x")).alias("clean"), t.sentences(F.col("x")).alias("sents"), t.heading(F.split("x", "\n")[0]).alias("head")).collect():
-        assert r.clean == c.cleaned(r.x) and r.sents == c.sentence_list(r.x) and r.head == c.heading_of(r.x.split("\n")[0])
+    from tidewell.operators.structure import segments
+
+    docs = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + ["Table of Contents\nIntro .... 3\nPage 2 of 3\nA – b\n\n\n\nDr. Who?  Yes. no", "## Head\n- x\n1. y\n| a | b |", "TOP\n\ncode `x`\n\nSub Title\nwords here\n\n# Great\n\nend", "Ääh. École. i.e. Fine! OK"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(docs)], "doc_id int, text string")
+    for r in df.select("text", t.clean(F.col("text")).alias("clean"), t.sentences(F.col("text")).alias("sents"), t.heading(F.split("text", "\n")[0]).alias("head"), t.words(F.col("text")).alias("ws"))\
+            .select("*", t.keywords(F.col("ws")).alias("keys")).collect():
+        assert r.clean == c.cleaned(r.text) and r.sents == c.sentences(r.text) and r.head == c.heading(r.text.split("\n")[0]) and set(r["keys"]) == c.keywords(r.text)
+    for separator in (r"\n", r"\n\s*\n"):
+        got = {}
+        for r in segments(df, separator=separator).orderBy("doc_id", "pos").collect():
+            got.setdefault(r.doc_id, []).append((r.content, r.heading, r.subheading, r.type))
+        assert got == {i: found for i, x in enumerate(docs) if (found := [(p.content, p.heading, p.subheading, p.kind) for p in c.segmented(x, separator)])}
 
 
-def test_speech_and_messages():
-    assert c.speech_chunks("Short one.") == ["Short one."] and c.speech_chunks(" ") == []
+def test_speech_and_messages(spark):
     long = " ".join(f"This is sentence number {i} of the answer, and it is long enough." for i in range(20))
-    got = c.speech_chunks(long)
-    assert len(got[0]) < 180 and all(len(x) <= 400 for x in got) and " ".join(got).split() == long.split()
-    parts = c.message_parts("para one. " * 300 + "\n\n" + "para two. " * 300)
-    assert len(parts) == 2 and parts[0].startswith("*[Part 1/2]*\n\n") and c.message_parts("x") == ["x"]
+    texts = {1: "Short one.", 2: " ", 3: long, 4: "para one. " * 300 + "\n\n" + "para two. " * 300, 5: None, 6: "a\n\n\n\nb" * 3000, 7: "q" * 5000 + ". r \n\nend", 8: "Hi. " + "z" * 500 + "\nab. cd."}
+    df = spark.createDataFrame(list(texts.items()), "k int, text string")
+    got = {r.k: r for r in c.message_parts(c.speech_chunks(c.speech_sentences(df))).collect()}
+    assert got[1].spoken == ["Short one."] and got[2].spoken == got[5].spoken == got[2].sentences == []
+    assert len(got[3].spoken[0]) < 180 and all(len(x) <= 400 for x in got[3].spoken) and " ".join(got[3].spoken).split() == long.split()
+    assert [len(x) for x in got[8].sentences] == [504, 7]
+    assert got[1].parts == ["Short one."] and len(got[4].parts) == 2 and got[4].parts[0].startswith("*[Part 1/2]*\n\n")
+    for k in (4, 6, 7):
+        bare = [p.split("]*\n\n", 1)[1] for p in got[k].parts]
+        assert "".join(bare).split() == "".join(texts[k]).split() or "".join("".join(bare).split()) == "".join(texts[k].split())
+        assert sum(len(p) > 4096 for p in bare) == (k == 7)
 
 
 def test_gap_clusters(spark):

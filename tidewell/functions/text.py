@@ -44,36 +44,46 @@ ABBREVIATIONS = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "vs", "etc", "i.e"
 QUESTIONS = ["What is {}?", "How does {} work?", "Tell me about {}", "Explain {}", "What are the details of {}?"]
 
 
+# fixed values: the cleaning steps, in order; flags, pattern, replacement ({1}: first group)
+OCR = [("", rf"({W}+)-\s*\n\s*({W}+)", "{1}{2}"), ("", "  +", " "), ("", rf"({W})\n({W})", "{1} {2}"), ("", "[–—]", "-"), ("", "…", "...")]
+SPACES = [("", r"\n{3,}", "\n\n"), ("", r"[ \t]+", " "), ("", r" *\n *", "\n")]
+PAGE_NUMBERS = [("i", r"\n\s*(?:Page\s*)?\d+\s*(?:of\s*\d+)?\s*\n", "\n"), ("m", r"^\s*\d{1,3}\s*$", "")]
+CONTENTS = [("im", r"^Table\s+of\s+Contents?\s*\n", ""), ("m", r"^.+\.{3,}\s*\d+\s*$", "")]
+
+#: A sentence's last word (group 1), before a capitalised one, in a text of single blanks.
+SENTENCE_END = rf"(?<=^| )(?!(?:{'|'.join(a.replace('.', chr(92) + '.') for a in ABBREVIATIONS)})[.!?]+ )([^ ]*[.!?]) (?=\p{{Lu}})"
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def replaced(text: Column, steps: list[tuple[str, str, str]]) -> Column:
+    for flags, pattern, to in steps:
+        text = F.regexp_replace(text, f"(?d{flags}){pattern}", to.format("$0", "$1", "$2"))
+    return text
+
+
 def fix_ocr(text: Column) -> Column:
     """Joins words broken at line ends, collapses blanks, joins lines broken inside a sentence, plain dashes."""
-    t = F.regexp_replace(text, rf"({W}+)-\s*\n\s*({W}+)", "$1$2")
-    t = F.regexp_replace(t, "  +", " ")
-    t = F.regexp_replace(t, rf"({W})\n({W})", "$1 $2")
-    return F.replace(F.translate(t, "–—", "--"), F.lit("…"), F.lit("..."))
+    return replaced(text, OCR)
 
 
 def normalize_whitespace(text: Column) -> Column:
-    t = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" *\n *", "\n")
+    return replaced(text, SPACES)
 
 
 def remove_page_numbers(text: Column) -> Column:
-    t = F.regexp_replace(text, r"(?i)\n\s*(?:Page\s*)?\d+\s*(?:of\s*\d+)?\s*\n", "\n")
-    return F.regexp_replace(t, r"(?md)^\s*\d{1,3}\s*$", "")
+    return replaced(text, PAGE_NUMBERS)
 
 
 def remove_contents(text: Column) -> Column:
-    t = F.regexp_replace(text, r"(?imd)^Table\s+of\s+Contents?\s*\n", "")
-    return F.regexp_replace(t, r"(?md)^.+\.{3,}\s*\d+\s*$", "")
+    return replaced(text, CONTENTS)
 
 
 def clean(text: Column) -> Column:
     """All cleaning steps in order; text must be in NFKC already (``models.nfkc`` does that)."""
-    return strip(remove_contents(remove_page_numbers(normalize_whitespace(fix_ocr(F.coalesce(text, F.lit("")))))))
+    return strip(replaced(F.coalesce(text, F.lit("")), [*OCR, *SPACES, *PAGE_NUMBERS, *CONTENTS]))
 
 
 def token_count(text: Column) -> Column:
@@ -116,9 +126,8 @@ def is_code(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case words of three or more ASCII letters that aren't stopwords, in order."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"{W}+"), F.lit(0))
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(runs, lambda w: w.rlike("^[a-z]{3,}$") & ~F.array_contains(stop, w))
+    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<!{W})[a-z]{{3,}}+(?!{W})"), F.lit(0))
+    return F.filter(runs, lambda w: ~w.isin(STOPWORDS))
 
 
 def keywords(word_list: Column, most: int = 15) -> Column:
@@ -167,8 +176,7 @@ def sentences(text: Column) -> Column:
     One pass of a pattern over the row, no exploding into words.
     """
     flat = F.regexp_replace(strip(F.coalesce(text, F.lit(""))), r"\s+", " ")
-    short = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-    marked = F.regexp_replace(flat, rf"(?<=^| )(?!(?:{short})[.!?]+ )([^ ]*[.!?]) (?=\p{{Lu}})", "$1\n")
+    marked = F.regexp_replace(flat, SENTENCE_END, "$1\n")
     return F.filter(F.split(marked, "\n"), lambda s: s != "")
 
 

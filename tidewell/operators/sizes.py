@@ -1,7 +1,12 @@
-"""Broadcasts whose size is checked first."""
+"""Bounds: broadcasts whose size is checked first, Arrow batches of bounded bytes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,3 +16,24 @@ from tidewell.config import DEFAULT
 def small(df: DataFrame, most: int = DEFAULT.broadcast_rows) -> DataFrame:
     """``df`` marked for broadcast if it has ``most`` rows at most; else left to a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+#: A table of fewer bytes is spread over all cores before a costly map: small files are often one row group, hence one task.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` with its rows dealt out over all cores if it is small (so that moving it costs little); else as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
+def byte_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in order, in slices whose ``column`` holds ``most`` bytes at most (a longer value is a slice of its own)."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start = 0
+        while start < batch.num_rows:
+            stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), most, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
