@@ -1,13 +1,15 @@
-"""Bounds: broadcasts whose size is checked first, Arrow batches of bounded bytes."""
+"""Broadcasts whose size is checked first, Arrow batches of bounded bytes, the folder for intermediate tables."""
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.config import DEFAULT
@@ -37,3 +39,14 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 <<
             stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``.  Where it is unset, a session on one machine gets a folder of its own; on a cluster that's an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='tidewell-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

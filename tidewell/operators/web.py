@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import urls as u
+from tidewell.operators.sizes import checkpoint_folder
 
 #: Characters that a curated page has at least.
 MIN_CHARS = 200
@@ -44,10 +45,8 @@ def depths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
 
 
 def _cut(spark, df: DataFrame) -> DataFrame:
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
     return df.checkpoint()
 
 
