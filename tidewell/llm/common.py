@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.operators.sizes import checkpoint_folder
+
 #: UTF-8 bytes of text that a Python worker handles at once.
 BATCH_BYTES = 4 << 20
 
@@ -23,44 +24,51 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a local one only where none is named (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tidewell-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder that the cluster names for checkpoints, which all executors share; a session on one machine that names none gets its own."""
+    return checkpoint_folder(spark)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here, and any executor can reread it."""
+    """``df`` written to the shared folder and read again: lineage ends here, and any executor can reread it.
+
+    The application owns the files: ``discard`` removes them, and what is left goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a staged table that nothing reads any longer."""
-    path = getattr(df, "staged_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+def carried(docs: DataFrame, **more: Column) -> DataFrame:
+    """``(_row, **more)``: whole rows in one column, so that no name among theirs clashes with what an operator adds."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(c.alias(n) for n, c in more.items()))
+
+
+def restored(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The ``carried`` rows' columns again, some replaced by ``new`` values."""
+    return df.select(*(new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in columns))
+
+
+def few(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A staged table as the small side of a join: broadcast if it has ``most`` rows at most, else hashed by its shuffled parts."""
+    return F.broadcast(df) if df.count() <= most else df.hint("shuffle_hash")
+
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
-def release() -> None:
-    """Give memory that earlier tasks of this worker have freed back to the system."""
-    import ctypes
-    import gc
 
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not glibc
-        pass
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any longer."""
+    for df in tables:
+        if path := getattr(df, "staged_path", None):
+            fs, at = _file_system(df.sparkSession, path)
+            fs.delete(at, True)
 
 
 def byte_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -68,7 +76,6 @@ def byte_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = BAT
     import numpy as np
     import pyarrow.compute as pc
 
-    release()
     for batch in batches:
         if not batch.num_rows:
             continue
