@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import shuffle_partitions, staged, text_or_empty
+from tidewell.llm.common import carried, few, restored, shuffle_partitions, staged, text_or_empty
 
 #: Keys of this many code points or more count, if this many documents hold them.
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -26,7 +26,7 @@ def line_key(line: Column) -> Column:
 
 def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                  min_docs: int = MIN_DOCS, hot_keys: int = HOT_KEYS) -> DataFrame:
-    """Which lines of each document stay, as ``(<id_col>, drop_runs)`` for the documents that lose any.
+    """Which lines of each row stay, as ``(<id_col>, text_hash, drop_runs)`` for the rows that lose any.
 
     ``drop_runs`` is the complement of the document's keep bitmap, run-length compressed:
     ``array<struct<first: int, n: int>>``, ascending; all other lines are kept.  No text is returned.
@@ -40,18 +40,19 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
        streamed off; firsts are summed per task before they meet, so a key costs one row a task.
     3. The ``hot_keys`` commonest keys are decided by a broadcast of at most that many rows, the
        others by a join on the hash, where none can hold more than one in ``hot_keys`` of all lines.
-    4. Dropped positions are gathered by document and closed up to runs.
+    4. Dropped positions are gathered by row and closed up to runs.
 
     Null and empty texts are one empty line, never dropped.  Rows with the same id are one document
-    for counting, and lose the same positions; a null id never counts nor loses lines.  An empty
+    for counting, so the largest id keeps a line in all of its rows; each row loses lines of its own
+    text (``text_hash`` is its 64-bit hash).  A null id never counts nor loses lines.  An empty
     table gives no rows.  Other columns are ignored.
     """
     spark = docs.sparkSession
     text = text_or_empty(text_col)
-    line = docs.select(F.col(id_col).alias("id"), F.posexplode(lines_of(text)).alias("pos", "line")) \
+    line = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), F.posexplode(lines_of(text)).alias("pos", "line")) \
         .where(F.col("id").isNotNull() & (F.char_length("line") >= min_chars)) \
-        .select("id", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    hashed = staged(line.select("id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "lines")
+        .select("id", "row", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    hashed = staged(line.select("id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "lines")
 
     ranged = hashed.repartitionByRange(max(2, shuffle_partitions(spark)), "h1", "h2", "id").sortWithinPartitions("h1", "h2", "id", "pos")
     first = F.row_number().over(Window.partitionBy("h1", "h2", "id").orderBy("pos"))
@@ -63,14 +64,14 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     hot = F.broadcast(hot.select("h1", "h2", F.col("keeper").alias("hot_keeper")))
     rest = common.join(hot, ["h1", "h2"], "left_anti").select("h1", "h2", "keeper")
     marked = hashed.join(hot, ["h1", "h2"], "left")
-    dropped = marked.where("hot_keeper <> id").select("id", "pos").unionByName(
-        marked.where("hot_keeper IS NULL").join(rest, ["h1", "h2"]).where("keeper <> id").select("id", "pos"))
+    dropped = marked.where("hot_keeper <> id").select("id", "row", "pos").unionByName(
+        marked.where("hot_keeper IS NULL").join(rest, ["h1", "h2"]).where("keeper <> id").select("id", "row", "pos"))
 
     at = F.col("at")
-    gathered = dropped.groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    gathered = dropped.groupBy("id", "row").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     starts = F.filter(at, lambda p, i: (i == 0) | (F.get(at, i - 1) != p - 1))
     ends = F.filter(at, lambda p, i: (i == F.size(at) - 1) | (F.get(at, i + 1) != p + 1))
-    return gathered.select(F.col("id").alias(id_col), F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), (b - a + 1).alias("n"))).alias("drop_runs"))
+    return gathered.select(F.col("id").alias(id_col), F.col("row").alias("text_hash"), F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), (b - a + 1).alias("n"))).alias("drop_runs"))
 
 
 def kept_lines(lines: Column, drop_runs: Column) -> Column:
@@ -89,12 +90,15 @@ def _from(drop_runs: Column, i: Column) -> Column:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the dropped lines gone from ``text_col``, plus ``_n_lines`` (before) and ``_n_dropped``; all rows and columns stay.
 
-    Texts without dropped lines are returned as they are (null stays null).  Bitmaps are joined by
-    id and built as the hash side, so texts are moved but never sorted.
+    Texts without dropped lines are returned as they are (null stays null).  Columns of the two new
+    names are replaced.  Bitmaps are joined by id and hash of the text: broadcast where they are few,
+    else built as the hash side, so texts are moved at most once and never sorted.
     """
-    runs = bitmaps.select(F.col(id_col).alias("_bm_id"), F.col("drop_runs").alias("_bm_runs")).hint("shuffle_hash")
-    lines = lines_of(text_or_empty(text_col))
-    joined = docs.join(runs, docs[id_col] == F.col("_bm_id"), "left")
-    kept = F.when(F.col("_bm_runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept_lines(lines, F.col("_bm_runs")), "\n"))
-    n = F.coalesce(F.aggregate("_bm_runs", F.lit(0).cast("long"), lambda acc, r: acc + r["n"]), F.lit(0).cast("long"))
-    return joined.withColumns({"_n_lines": F.size(lines).cast("long"), "_n_dropped": n, text_col: kept}).drop("_bm_id", "_bm_runs")
+    marks = staged(bitmaps.select(F.col(id_col).alias("m_id"), F.col("text_hash").alias("m_hash"), F.col("drop_runs").alias("runs")), "drops")
+    body = text_or_empty(text_col)
+    rows = carried(docs, t_id=F.col(id_col), t_hash=F.xxhash64(body), lines=lines_of(body))
+    joined = rows.join(few(marks), (F.col("t_id") == F.col("m_id")) & (F.col("t_hash") == F.col("m_hash")), "left")
+    kept = F.when(F.col("runs").isNull(), F.col("_row").getField(text_col)).otherwise(F.array_join(kept_lines(F.col("lines"), F.col("runs")), "\n"))
+    n = F.coalesce(F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["n"]), F.lit(0).cast("long"))
+    columns = [c for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
+    return restored(joined, [*columns, "_n_lines", "_n_dropped"], **{text_col: kept, "_n_lines": F.size("lines").cast("long"), "_n_dropped": n})
