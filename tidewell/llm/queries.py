@@ -96,19 +96,24 @@ def _op7_sql() -> str:
     escaped = lambda c: rf"regexp_replace(replace({c}, '\', '\\'), '([<\[])({rest})', '\1\\\2', 'g')"
     marks = len(chat.TURN) + len(chat.TEXT) + len(chat.END)
     return f"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
     (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 w AS (SELECT *, {escaped('role')} || {escaped('text')} AS body FROM t),
 s AS (SELECT *, length(body) + {marks} AS len, (strlen(body) + {marks} + 3) // 4 AS tok FROM w),
 o AS (SELECT *, row_number() OVER c AS pos, sum(tok) OVER c - tok AS start FROM s WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
-a AS (SELECT *, start // {chat.STRIDE} AS win FROM o),
-b AS (SELECT conv_id, win, min(start) AS b_start, min(pos) AS b_pos FROM a GROUP BY 1, 2),
-y AS (SELECT conv_id, min(pos) AS s_pos, min_by(len, pos) AS s_len FROM a WHERE role = 'system' GROUP BY 1),
-again AS (SELECT a.conv_id, sum(len) AS n FROM a JOIN b ON a.conv_id IS NOT DISTINCT FROM b.conv_id AND a.win + 1 = b.win LEFT JOIN y ON a.conv_id IS NOT DISTINCT FROM y.conv_id
-    WHERE b_start - start <= {chat.HISTORY} AND NOT coalesce(pos = s_pos AND s_pos < b_pos, false) GROUP BY 1),
-sys AS (SELECT b.conv_id, sum(s_len) AS n FROM b JOIN y ON b.conv_id IS NOT DISTINCT FROM y.conv_id WHERE s_pos < b_pos GROUP BY 1),
+y AS (SELECT conv_id, min(pos) AS s_pos, min_by(len, pos) AS s_len, min_by(tok, pos) AS s_tok FROM o WHERE role = 'system' GROUP BY 1),
+a AS MATERIALIZED (SELECT o.conv_id, pos, start, tok, len, start // {chat.BLOCK_BUDGETS * chat.BUDGET} AS block, greatest({chat.BUDGET - chat.HISTORY} - coalesce(s_tok, 0), 0) AS room, s_pos, s_len
+    FROM o LEFT JOIN y ON o.conv_id IS NOT DISTINCT FROM y.conv_id),
+r AS (SELECT conv_id, pos, block, pos AS win, start AS w_start, tok AS used FROM a WHERE pos = 1
+    UNION ALL SELECT a.conv_id, a.pos, a.block, CASE WHEN fits THEN r.win ELSE a.pos END, CASE WHEN fits THEN r.w_start ELSE a.start END, CASE WHEN fits THEN r.used + a.tok ELSE a.tok END
+    FROM r JOIN (SELECT * FROM a) a ON a.conv_id IS NOT DISTINCT FROM r.conv_id AND a.pos = r.pos + 1, LATERAL (SELECT a.block = r.block AND r.used > 0 AND r.used + a.tok <= a.room AS fits)),
+b AS (SELECT conv_id, win, any_value(w_start) AS w_start, max(used) AS own FROM r GROUP BY 1, 2),
+v AS (SELECT b.*, room, s_pos, s_len FROM b JOIN a ON a.conv_id IS NOT DISTINCT FROM b.conv_id AND a.pos = b.win),
+again AS (SELECT v.conv_id, sum(a.len) AS n FROM v JOIN a ON a.conv_id IS NOT DISTINCT FROM v.conv_id AND a.pos < v.win AND v.w_start - a.start <= {chat.HISTORY}
+    WHERE own <= v.room AND NOT coalesce(a.pos = v.s_pos, false) GROUP BY 1),
+sys AS (SELECT conv_id, sum(s_len) AS n FROM v WHERE s_pos < win GROUP BY 1),
 g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
-    coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS loss, sum(len) AS n FROM a GROUP BY 1)
+    coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS loss, sum(len) AS n FROM o GROUP BY 1)
 SELECT g.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, (g.n + coalesce(again.n, 0) + coalesce(sys.n, 0))::BIGINT AS formatted_chars
 FROM g LEFT JOIN again ON g.conv_id IS NOT DISTINCT FROM again.conv_id LEFT JOIN sys ON g.conv_id IS NOT DISTINCT FROM sys.conv_id
 """
