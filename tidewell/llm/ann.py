@@ -17,6 +17,8 @@ PROJECTED, CONFIDENCE = 10, 0.97
 SAMPLE, CELL_ROWS, MOST_CELLS = 1 << 16, 4096, 4096
 #: Vectors of a leaf of a cell's own kd-tree; queries that share a copy of a cell.
 LEAF_ROWS, QUERY_BLOCK = 128, 20_000
+#: Points that are verified before the test is made again; from there on the steps double.
+STEP = 32
 SEED = 20_240_601
 
 
@@ -97,31 +99,50 @@ class Tree:
 
 
 def search_cell(vectors: np.ndarray, projected: np.ndarray, queries: np.ndarray, query_projected: np.ndarray, radius2: np.ndarray, k: int, stop: float):
-    """For each query the ``k`` nearest of a cell: leaves by growing projected distance, verified until the test holds.
+    """For each query the ``k`` nearest of a cell, and how many vectors were verified for it.
 
-    ``vectors`` and ``queries`` have unit length.  ``radius2`` is the squared distance of the k-th
-    neighbour known so far.  The search ends when the next leaf's projected distance makes a nearer
-    vector improbable: projected² > stop x radius², ``stop`` a chi-square quantile.
+    ``vectors`` and ``queries`` have unit length.  The kd-tree gives the cell's points one after
+    another by growing projected distance: a leaf is opened when its box is the next nearest, and a
+    point is due once no unopened box is nearer.  Due points are verified by true distance until the
+    next one's makes a nearer vector improbable: projected² > stop x radius², ``stop`` a chi-square
+    quantile and ``radius2`` the squared distance of the k-th neighbour known so far.
     """
     tree = Tree(projected, LEAF_ROWS)
-    packed = [vectors[rows] for rows in tree.leaves]
+    lows = [projected[rows] for rows in tree.leaves]
     for start in range(0, len(queries), 256):
         gaps = tree.distances(query_projected[start:start + 256])
         for i, gap in enumerate(gaps, start):
-            best_d, best_at, radius = np.zeros(0), np.zeros(0, np.int64), float(radius2[i])
-            for leaf in np.argsort(gap, kind="stable"):
-                if gap[leaf] > stop * radius:
+            best_d, best_at, radius, verified = np.zeros(0), np.zeros(0, np.int64), float(radius2[i]), 0
+            wait_d, wait_at = np.zeros(0), np.zeros(0, np.int64)  # opened, not yet due
+            order = np.argsort(gap, kind="stable")
+            bounds = np.append(gap[order[1:]], np.inf)
+            for leaf, near, bound in zip(order.tolist(), gap[order].tolist(), bounds.tolist(), strict=True):
+                if min(near, wait_d.min(initial=np.inf)) > stop * radius:
                     break
-                d = 2 - 2 * (packed[leaf] @ queries[i])
-                near = np.flatnonzero(d <= radius + 1e-12)
-                if len(near):
-                    best_d, best_at = np.concatenate([best_d, d[near]]), np.concatenate([best_at, tree.leaves[leaf][near]])
-                    if len(best_d) > k:
-                        # equal distances stay, for the ids to decide
-                        cut = np.partition(best_d, k - 1)[k - 1] + 1e-12
-                        keep = best_d <= cut
-                        best_d, best_at, radius = best_d[keep], best_at[keep], min(radius, float(cut))
-            yield i, best_at
+                away = lows[leaf] - query_projected[i]
+                wait_d, wait_at = np.concatenate([wait_d, (away * away).sum(1)]), np.concatenate([wait_at, tree.leaves[leaf]])
+                due = wait_d <= bound
+                if not due.any():
+                    continue
+                now_d, now_at = wait_d[due], wait_at[due]
+                wait_d, wait_at = wait_d[~due], wait_at[~due]
+                by_distance = np.argsort(now_d, kind="stable")
+                now_d, now_at = now_d[by_distance], now_at[by_distance]
+                at, step = 0, STEP
+                while at < len(now_d) and now_d[at] <= stop * radius:
+                    rows = now_at[at:at + step][now_d[at:at + step] <= stop * radius]
+                    d = 2 - 2 * (vectors[rows] @ queries[i])
+                    verified += len(rows)
+                    close = d <= radius + 1e-12
+                    if close.any():
+                        best_d, best_at = np.concatenate([best_d, d[close]]), np.concatenate([best_at, rows[close]])
+                        if len(best_d) > k:
+                            # equal distances stay, for the ids to decide
+                            cut = np.partition(best_d, k - 1)[k - 1] + 1e-12
+                            keep = best_d <= cut
+                            best_d, best_at, radius = best_d[keep], best_at[keep], min(radius, float(cut))
+                    at, step = at + step, 2 * step
+            yield i, best_at, verified
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -148,7 +169,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "
 
     Equal vectors are one entry of the index that keeps their ``k + 1`` smallest ids: ties go to
     smaller ids, so no query can need more.  That also keeps a vector of a third of all rows from
-    heating a cell.  Queries of a cell are dealt out in blocks, each with a copy of the cell.
+    heating a cell.  A cell of more than ``2 * cell_rows`` entries is dealt out in parts with kd-trees
+    of their own, and one that more than ``query_block`` queries visit meets them in blocks, so no
+    task grows with the table, and copies of a cell with its own queries only.
 
     Null, empty and zero vectors, vectors with null or non-finite components, vectors whose length
     isn't the commonest one, and null ids take no part.  Repeated rows count once.  A query's own id
@@ -191,9 +214,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "
     celled = entries.mapInArrow(cell_of, "h1 long, h2 long, ids array<long>, vec array<double>, low array<double>, cell int")
     asking = rows.where("asks").select(F.col("id").alias("query_id"), "h1", "h2").distinct()
     asked = staged(celled.join(asking.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").withColumn("radius2", F.lit(4.0 + 1e-9)), "ann-queries")
-    blocks = max(1, math.ceil(asking.count() / query_block))
-    block = F.pmod(F.xxhash64("h1"), F.lit(blocks)).cast("int")
-    copies = celled.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # at most MOST_CELLS rows
+    sizes = staged(celled.groupBy(F.col("cell").alias("s_cell")).agg(F.ceil(F.count(F.lit(1)) / (2 * cell_rows)).cast("int").alias("parts")), "ann-cells")
 
     def visit(points: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple] = []
@@ -202,7 +224,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "
             ids = points["ids"].to_pylist()
             qk = list(zip(queries["h1"].to_pylist(), queries["h2"].to_pylist(), strict=True))
             norms = np.sqrt((p * p).sum(1))
-            for i, at in search_cell(_unit(p), _matrix(points["low"]), _unit(q), _matrix(queries["low"]), queries["radius2"].to_numpy(), k + 1, stop):
+            for i, at, _ in search_cell(_unit(p), _matrix(points["low"]), _unit(q), _matrix(queries["low"]), queries["radius2"].to_numpy(), k + 1, stop):
                 if len(at):
                     scores = (p[at] * q[i]).sum(1) / (norms[at] * np.sqrt((q[i] * q[i]).sum()))
                     first = np.array([ids[a][0] for a in at])
@@ -212,11 +234,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "
         return pa.table({"h1": pa.array(h1, pa.int64()), "h2": pa.array(h2, pa.int64()), "ids": pa.array(who, pa.list_(pa.int64())), "score": pa.array(score, pa.float64())})
 
     def visited(queries: DataFrame) -> DataFrame:
-        return copies.groupBy("cell", "block").cogroup(queries.groupBy("cell", "block")).applyInArrow(visit, "h1 long, h2 long, ids array<long>, score double")
-
-    home = staged(visited(asked.withColumn("block", block)), "ann-home")
-    radius = home.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("worst")) \
-        .select("h1", "h2", F.when(F.col("n") > k, 2 - 2 * F.col("worst") + 1e-9).otherwise(F.lit(4.0 + 1e-9)).alias("radius2"))
+        each = F.broadcast(sizes.join(queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("blocks")), F.col("s_cell") == F.col("cell")).select("s_cell", "parts", "blocks"))
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        mine = celled.join(each, F.col("cell") == F.col("s_cell")).withColumn("part", F.pmod(F.xxhash64("h2"), F.col("parts"))).withColumn("block", numbers("blocks"))
+        theirs = queries.join(each, F.col("cell") == F.col("s_cell")).withColumn("block", F.pmod(F.xxhash64("h1"), F.col("blocks"))).withColumn("part", numbers("parts"))
+        keys = [F.col("cell"), F.col("part").cast("long").alias("part"), F.col("block").cast("long").alias("block")]
+        mine, theirs = mine.select("h1", "h2", "ids", "vec", "low", *keys), theirs.select("h1", "h2", "vec", "low", "radius2", *keys)
+        return mine.groupBy("cell", "part", "block").cogroup(theirs.groupBy("cell", "part", "block")).applyInArrow(visit, "h1 long, h2 long, ids array<long>, score double")
+
+    home = staged(visited(asked), "ann-home")
+    radius = home.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("score"), asc=False).alias("best")) \
+        .select("h1", "h2", F.when(F.size("best") > k, 2 - 2 * F.get("best", F.lit(k)) + 1e-9).otherwise(F.lit(4.0 + 1e-9)).alias("radius2"))
 
     def cells_to_visit(batches):
         for batch in batches:
@@ -229,7 +257,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "
     fields = "h1 long, h2 long, vec array<double>, low array<double>, cell int, radius2 double"
     out = asked.select("h1", "h2", "vec", "low", "cell").join(radius, ["h1", "h2"], "left").fillna(4.0 + 1e-9, ["radius2"]) \
         .select("h1", "h2", "vec", "low", "cell", "radius2").mapInArrow(cells_to_visit, fields + ", cells array<int>")
-    away = visited(out.select("h1", "h2", "vec", "low", "radius2", F.explode("cells").alias("cell")).withColumn("block", block))
+    away = visited(out.select("h1", "h2", "vec", "low", "radius2", F.explode("cells").alias("cell")))
 
     best = F.row_number().over(Window.partitionBy("h1", "h2").orderBy(F.desc("score"), F.col("ids")[0]))
     lists = home.unionByName(away).withColumn("nth", best).where(F.col("nth") <= k + 1).select("h1", "h2", F.explode("ids").alias("vec_id"), "score")
