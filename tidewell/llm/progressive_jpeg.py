@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import byte_batches, text_or_empty
+from tidewell.operators.sizes import spread
 
 BLOCK = 64
 #: Bytes of media that a worker decodes before it hands results on.
@@ -440,7 +441,7 @@ def encode_payloads(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Null and empty texts become a block of zeros.  Repeated rows give repeated results, a null id stays
     null, an empty table gives no rows, other columns are ignored.  No shuffle; batches by bytes.
     """
-    source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    source = spread(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")))
     id_type = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
