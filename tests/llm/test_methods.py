@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 
 from tidewell.llm import ann, language_id, minhash_forest, piece_sampling as ps, progressive_jpeg as pj
 from tidewell.llm.shingles import shingle_sets
@@ -32,9 +33,27 @@ def test_tree_distances_bound_all_points():
             assert (leaf[rows] == k).all()
 
 
-def test_recall_on_clusters(spark):
+def test_points_come_by_projected_distance_until_the_test_holds():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(50, 48))[rng.integers(0, 50, 2000)] + 0.25 * rng.normal(size=(2000, 48))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    low = u @ ann.projection(48, 10)
+    stop = ann.chi2_quantile(0.97, 10)
+    hit = seen = 0
+    for i, at, verified in ann.search_cell(u, low, u[:60], low[:60], np.full(60, 4.0), 6, stop):
+        want = np.argsort(-(u @ u[i]), kind="stable")[:6]
+        hit += len(set(want.tolist()) & set(at.tolist()))
+        seen += verified
+    assert hit / 360 >= 0.95 and seen / (60 * 2000) < 0.5
+    whole = {i: (set(at.tolist()), n) for i, at, n in ann.search_cell(u, low, u[:9], low[:9], np.full(9, 4.0), 6, np.inf)}
+    assert all(n == 2000 and set(np.argsort(-(u @ u[i]), kind="stable")[:6].tolist()) <= at for i, (at, n) in whole.items())
+
+
+@pytest.mark.parametrize("most_cells", [4096, 2])
+def test_recall_on_clusters(spark, monkeypatch, most_cells):
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(ann, "MOST_CELLS", most_cells)  # beyond them, cells are dealt out in parts
     rng = np.random.default_rng(3)
     x = (rng.normal(size=(40, 32))[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 32))).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
@@ -236,14 +255,63 @@ def test_exact_links():
     assert links.tolist() == [10, 101, 10, 0] and star == [(0, 0), (1, 0), (2, 0), (3, 3)]
 
 
-def test_large_nodes_stay_together(monkeypatch):
-    monkeypatch.setattr(minhash_forest, "PAIRWISE", 4)
+def test_prefixes_are_shortened_by_measured_recall():
+    assert minhash_forest.shortened(5, {}) == 5 and minhash_forest.shortened(5, {8: 900, 5: 100}) == 5
+    assert minhash_forest.shortened(5, {8: 970, 4: 30}) == 4 and minhash_forest.shortened(5, {8: 900, 4: 50, 2: 50}) == 2 and minhash_forest.shortened(5, {0: 9}) == 1
+    sig = np.arange(128, dtype=np.uint32)
+    other = np.stack([sig, np.where(np.arange(128) % 8 == 5, 999, sig), np.where(np.arange(128) == 127, 999, sig), sig + 1000])
+    assert minhash_forest.meeting_depths(sig, other).tolist() == [8, 5, 8, 0]
+
+
+def parts_of(n, links):
+    root = list(range(n))
+    for a, b in links:
+        ra, rb = root[a], root[b]
+        root = [min(ra, rb) if x in (ra, rb) else x for x in root]
+    return root
+
+
+def test_near_copies_leave_a_node_by_their_leader():
     rng = np.random.default_rng(0)
     centre = rng.integers(0, 256, (2, 128), dtype=np.uint8)
-    sigs = np.array([np.where(rng.random(128) < 0.05, rng.integers(0, 256, 128, dtype=np.uint8), centre[i % 2]) for i in range(60)])
-    links, leaders = minhash_forest.node_links(sigs)
-    parts = {i: i for i in range(60)} | dict(links)
-    assert len({parts[i] for i in range(60)}) == 2 and len(links) < 60 and len(leaders) < 30
+    bits = np.array([np.where(rng.random(128) < 0.05, rng.integers(0, 256, 128, dtype=np.uint8), centre[i % 2]) for i in range(60)])
+    links: list = []
+    radius = np.zeros(60)
+    leaders = minhash_forest.lead(np.arange(60), bits, radius, 0.8, links)
+    assert parts_of(60, links) == [i % 2 for i in range(60)] and len(leaders) < 30
+    assert radius.max() <= 1 - minhash_forest.NEAR + 1e-9 and (radius > 0).any()
+    few = minhash_forest.spanning(60, links)
+    assert len(few) == 58 and parts_of(60, few) == [i % 2 for i in range(60)]
+
+
+def test_tries_climb_from_full_depth():
+    """Nodes of any prefix are joined as brute force over the last prefix joins them, wherever ranges of sorted paths end."""
+    rng = np.random.default_rng(4)
+    n = 120
+    family = rng.integers(0, 12, n)
+    centre = rng.integers(0, 256, (12, 128), dtype=np.uint8)
+    bits = np.where(rng.random((n, 128)) < 0.04, rng.integers(0, 256, (n, 128)), centre[family]).astype(np.uint8)
+    paths = np.where(rng.random((n, 8)) < 0.05, rng.integers(0, 50, (n, 8)), family[:, None] // 4).astype(np.uint32)
+    order = np.lexsort(paths.T[::-1])
+    paths, bits, family = paths[order], bits[order], family[order]
+    length = 3
+    links, leaders, radius = minhash_forest.climb(paths, bits, length)
+    assert all((paths[a, :length] == paths[b, :length]).all() and minhash_forest.estimate(bits[a], bits[b:b + 1])[0] > 0.4 for a, b in links)
+    want = parts_of(n, [(i, j) for i in range(n) for j in range(i) if (paths[i, :length] == paths[j, :length]).all() and family[i] == family[j]])
+    assert parts_of(n, links) == want and len(leaders) < n
+
+
+def test_a_node_over_many_ranges_stays_together(spark):
+    """One class of near copies that is most of the table, in more sorted ranges than it has tries."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(words[:200] + [f"x{i}"] + words[201:])) for i in range(150)] + [(1000 + i, " ".join(f"y{i}z{j}" for j in range(60))) for i in range(40)] + [(2000, None), (2001, "y3z1 y3z2")]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 37)
+    try:
+        got = {r.doc_id: (r.class_id, r.n_links) for r in minhash_forest.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {i: (0, 149) if i < 150 else (i, 0) for i, _ in rows}
 
 
 def test_components(spark):

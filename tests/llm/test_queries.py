@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_small_cases import brute_lines
+from tests.llm.test_small_cases import brute_lines, brute_shards
 from tidewell.llm import language_id, queries as q
 
 
@@ -98,6 +98,34 @@ def test_near_duplicates(spark, sf, docs):
     assert {k: (r.class_id, r.n_links) for k, r in got.items()} == want
 
 
+def test_near_duplicates_have_recall():
+    """Against an index of all shingles, ten times the data."""
+    import pyarrow.parquet as pq
+
+    from tidewell.llm.shingles import shingle_sets
+    from pyspark.sql import SparkSession
+
+    sf = "/root/testdata/sf0.01"
+    t = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"])
+    ids, sets = t["doc_id"].to_pylist(), shingle_sets([x or "" for x in t["text"].to_pylist()])
+    at = {}
+    for i, s in enumerate(sets):
+        for h in s.tolist():
+            at.setdefault(h, []).append(i)
+    common = {}
+    for who in at.values():
+        if len(who) > 1:
+            for a, b in combinations(who, 2):
+                common[a, b] = common.get((a, b), 0) + 1
+    links = dict.fromkeys(ids, 0)
+    for (a, b), n in common.items():
+        if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+            links[ids[a]] += 1
+            links[ids[b]] += 1
+    got = {r.doc_id: r.n_links for r in q.op3_ngram_jaccard(SparkSession.getActiveSession(), sf).collect()}
+    assert all(got[k] <= n for k, n in links.items()) and sum(got.values()) >= 0.99 * sum(links.values()) > 0
+
+
 def test_languages(spark, sf, docs):
     got = rows(q.op5_language_id(spark, sf))
     held = [k for k in docs if zlib.crc32(str(k).encode()) % 5 == 0]
@@ -122,7 +150,7 @@ def test_shards(spark, sf, docs):
     groups = {}
     for k, d in docs.items():
         groups.setdefault(d.text, set()).add(got[k].shard)
-    assert all(len(s) == 1 for s in groups.values()) and max(loads) < 1.2 * sum(loads) / 24
+    assert all(len(s) == 1 for s in groups.values()) and loads == brute_shards([d.text for d in docs.values()], 24)[1]
 
 
 def test_segmentations(spark, sf, docs):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import re
 import zlib
 
 import public_tokenizers
@@ -52,22 +52,32 @@ def test_token_pieces_add_up():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(BYTE)
-    text = "word, other 'tis  two   blanks\n\nline x " * 50
-    parts = list(token_counts.pieces(text, 37))
-    assert "".join(parts) == text and len(parts) > 10
-    assert sum(len(library.encode(p).ids) for p in parts) == len(library.encode(text).ids)
+    for text in ["word, other 'tis  two   blanks\n\nline x " * 50, "слово, it's  don't\n\n 12абв34 e\u0301te\u0301 " * 50, "汉字，没有空格。\n\n 第二行！" * 60, "مرحبا بالعالم، هذا نص " * 50, "'s'S 'll a'd b'rex \t\n c " * 60]:
+        for most in (1, 37):
+            parts = list(token_counts.pieces(text, most))
+            assert "".join(parts) == text and len(parts) > 10
+            assert sum(len(library.encode(p).ids) for p in parts) == len(library.encode(text).ids)
     assert list(token_counts.pieces("a" * 100, 10)) == ["a" * 100]
 
 
+def test_small_batches_are_filled_up():
+    import pyarrow as pa
+
+    batches = [pa.record_batch({"text": ["x" * 10] * n}) for n in (3, 1, 40, 2, 2)]
+    got = list(token_counts.filled(iter(batches), 100))
+    assert [b.num_rows for b in got] == [4, 40, 4] and not list(token_counts.filled(iter([]), 9))
+
+
 def test_byte_vocabularies_agree_on_every_kind_of_character():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(BYTE)
     _, fast, _ = token_counts._load(BYTE, RANKS)
-    codes = [c for c in range(0x30000) if not 0xD800 <= c <= 0xDFFF][::7]
+    codes = [c for c in range(0x323B0) if not 0xD800 <= c <= 0xDFFF]
     texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)} .{chr(c)}\n {chr(c)}" for c in codes]
-    for text, want in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-        assert fast.encode_ordinary(text) == want.ids
+    for start in range(0, len(texts), 5000):
+        part = texts[start:start + 5000]
+        assert fast.encode_ordinary_batch(part, num_threads=2) == [e.ids for e in library.encode_batch_fast(part, add_special_tokens=False)]
 
 
 def test_word_encoder_is_the_library():
@@ -112,43 +122,63 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, WORD).count() == 0
 
 
+def brute_shards(texts, n):
+    """Shard of each distinct text: longest first, ties in any order, to the least-loaded shard."""
+    sizes = {}
+    for t in texts:
+        sizes[t or ""] = sizes.get(t or "", 0) + len((t or "").encode()) + 8
+    loads = [0] * n
+    for size in sorted(sizes.values(), reverse=True):
+        loads[loads.index(min(loads))] += size
+    return sizes, loads
+
+
+def check_shards(got, texts, n):
+    sizes, want = brute_shards(texts, n)
+    assert [sum(r["size"] for r in got if r.shard == s) for s in range(n)] == want
+    where = {}
+    for r in got:
+        where.setdefault(r.text_crc32, set()).add(r.shard)
+    assert len(where) == len(sizes) and all(len(s) == 1 for s in where.values())
+    for s in range(n):
+        mine = sorted(r.slot for r in got if r.shard == s)
+        assert mine == list(range(len(mine)))
+
+
 def test_sharding_is_brute_force_lpt(spark, docs, empty):
     got = sharding.lpt_shards(docs, 3).collect()
     assert len(got) == len(ROWS)
-    groups, n = {}, 3
-    for r in got:
-        groups.setdefault(r.text_crc32, []).append(r)
-    loads = [0] * n
-    placed = {}
-    for crc, rows in sorted(groups.items(), key=lambda g: -sum(r["size"] for r in g[1])):
-        assert len({r.shard for r in rows}) == 1
-    for shard in range(n):
-        loads[shard] = sum(r["size"] for r in got if r.shard == shard)
-        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
-    sizes = [sum(r["size"] for r in rows) for rows in groups.values()]
-    assert sorted(loads) == sorted(_lpt_loads(sizes, n))
+    check_shards(got, [t for _, t in ROWS], 3)
     for r, text in ((r, dict(ROWS[:6]).get(r.doc_id)) for r in got if r.doc_id in range(1, 7)):
         raw = (text or "").encode()
         assert (r["size"], r.text_crc32) == (len(raw) + 8, zlib.crc32(raw))
-    assert placed == {} and sharding.lpt_shards(empty, 3).count() == 0
+    assert sharding.lpt_shards(empty, 3).count() == 0
 
 
-def _lpt_loads(sizes, n):
-    loads = [0] * n
-    for s in sorted(sizes, reverse=True):
-        loads[loads.index(min(loads))] += s
-    return loads
+def test_sharding_of_many_groups(spark):
+    """6,000 groups of many sizes, one of a third of all rows; ranks and slots over several runs."""
+    text = lambda i: "hot" if i % 3 == 0 else f"{i % 9000:05d}" + "x" * (i % 9000 % 41 % 7 * 3)
+    rows = spark.createDataFrame([(i, text(i)) for i in range(12000)], "doc_id long, text string")
+    for n, settings in ((5, {}), (7, {"hot_groups": 2, "run_rows": 100})):
+        check_shards(sharding.lpt_shards(rows, n, **settings).collect(), [text(i) for i in range(12000)], n)
+
 
+def test_a_class_is_dealt_as_the_heap_deals_it():
+    import heapq
+    import random
 
-def test_sharding_bundles_keep_groups_and_slots(spark):
-    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 700).cast("string")).alias("text"))
-    got = sharding.lpt_shards(rows, 5, heavy_groups=10, bundles=64).collect()
-    assert len({(r.text_crc32, r.shard) for r in got}) == 700 and len(got) == 3000
-    for shard in range(5):
-        mine = [r.slot for r in got if r.shard == shard]
-        assert sorted(mine) == list(range(len(mine)))
-    loads = [sum(r["size"] for r in got if r.shard == s) for s in range(5)]
-    assert max(loads) - min(loads) < 0.1 * max(loads)
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(300):
+        loads = [rng.randint(0, 60) for _ in range(rng.randint(1, 6))]
+        size, count = rng.randint(1, 20), rng.randint(1, 40)
+        heap, want = sorted((load, s) for s, load in enumerate(loads)), [0] * len(loads)
+        for _ in range(count):
+            load, s = heap[0]
+            want[s] += 1
+            heapq.heapreplace(heap, (load + size, s))
+        assert sharding.deal(np.array(loads), size, count).tolist() == want
 
 
 def brute_lines(rows, least=5):
@@ -208,6 +238,8 @@ def test_language(spark, docs, empty):
     spans = language_id.identify(mixed, model).first().lang_spans
     assert [s.lang for s in spans] == ["en", "de"]
     assert sum(map(len, got.values())) == len(ROWS) and language_id.identify(empty, model).count() == 0
+    marks = spark.createDataFrame([(1, "\u0301\u0302 \u0301"), (2, "\u0301 the cat\u0301")], "doc_id long, text string")
+    assert {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(marks, model).collect()} == {1: ("und", 0.0), 2: ("en", 1.0)}
     none = language_id.train(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in language_id.identify(docs, none).collect()} == {"und"}
     assert language_id.with_language(docs, model).columns == [*(c for c in docs.columns if c not in ("lang_pred", "score")), "lang_pred", "score", "lang_spans"]
@@ -240,18 +272,48 @@ def test_chat_windows(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", marked), (1, 2, "assistant", "a\\<|end|>\\\\" + "x" * 50), (1, 3, "user", None), (1, 4, "assistant", ""), (1, 4, "assistant", "tie"), (1, None, "user", "first"),
             (2, 0, "user", "<|turn|>" * 3), (None, 0, None, "stray"), (3, 0, "assistant", "dup"), (3, 0, "assistant", "dup"), *((4, t, ["user", "assistant"][t % 2], "word " * 60) for t in range(40))]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("win", F.lit(1)).withColumn("window", F.lit(1)).withColumn("pos", F.lit(1))
-    for stride, history in ((40, 20), (200, 100), (1536, 256), (1, 0)):
-        out = chat.format_windows(df, stride=stride, history=history)
-        got = out.select("conv_id", "window", "n_turns", "n_repeated", chat.parse_window(F.col("formatted"), F.col("n_repeated")).alias("t"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("loss")).collect()
+    for budget, history in ((60, 20), (300, 100), (2048, 256), (1, 0), (40, 40)):
+        out = chat.format_windows(df, budget=budget, history=history)
+        got = out.select("conv_id", "window", "n_turns", "n_repeated", "n_tokens", "formatted", chat.parse_window(F.col("formatted"), F.col("n_repeated")).alias("t"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("loss")).collect()
         for conv in (1, 2, 3, 4, None):
             mine = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.window)
             order = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
             assert [(t.role, t.text) for r in mine for t in r.t] == [(r[2] or "", r[3] or "") for r in order]
             assert "".join(r.loss for r in mine) == "".join(r[3] or "" for r in order if r[2] == "assistant")
             assert all(len(r.t) == r.n_turns - r.n_repeated for r in mine)
+            assert all(r.n_tokens <= budget or len(r.t) == 1 for r in mine)
+            assert [(r.window, r.n_turns, r.n_repeated) for r in mine] == brute_windows(order, budget, history)
     assert chat.format_windows(df.where("conv_id = 99")).count() == 0
     with pytest.raises(ValueError):
-        chat.format_windows(df, stride=1, history=2)
+        chat.format_windows(df, budget=1, history=2)
+
+
+def test_a_turn_beyond_the_budget_is_alone(spark):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi " * 50), (1, 2, "assistant", "long " * 24_000), (1, 3, "user", "and " * 50), (1, 4, "assistant", "yes " * 50)]
+    got = sorted((r.window, r.n_turns, r.n_repeated, r.n_tokens <= 2048) for r in chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect())
+    assert got == [(1, 2, 0, True), (3, 2, 1, False), (4, 3, 1, True)]
+
+
+def brute_windows(order, budget, history):
+    """(first own turn, turns, repeated ones) of each window, turn by turn."""
+    marks = re.compile(r"([<\[])(?=" + "|".join(re.escape(c[1:]) for c in chat.CONTROL) + ")")
+    escaped = lambda x: marks.sub(r"\1\\", x.replace("\\", "\\\\"))
+    size = [-(-len((chat.TURN + escaped(r[2] or "") + chat.TEXT + escaped(r[3] or "") + chat.END).encode()) // 4) for r in order]
+    start = [sum(size[:i]) for i in range(len(size))]
+    system = next((i for i, r in enumerate(order) if r[2] == "system"), None)
+    room = max(0, budget - history - (size[system] if system is not None else 0))
+    spans = []
+    for i, n in enumerate(size):
+        block = start[i] // (chat.BLOCK_BUDGETS * budget)
+        if spans and spans[-1][2] == block and spans[-1][1] + n <= room:
+            spans[-1][1] += n
+        else:
+            spans.append([i, n, block])
+    out = []
+    for (first, own, _), end in zip(spans, [*(s[0] for s in spans[1:]), len(size)], strict=True):
+        again = {j for j in range(first) if own <= room and start[first] - start[j] <= history} | ({system} if system is not None and system < first else set())
+        out.append((first + 1, end - first + len(again), len(again)))
+    return out
 
 
 def test_segmentations(docs, empty):

@@ -16,11 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from tidewell.llm.common import byte_batches, text_or_empty
+from tidewell.operators.sizes import spread
 
 #: The model is fitted on this many labelled documents of each language at most, those of the smallest id hash.
 TRAIN_DOCS_PER_LANGUAGE = 1000
+#: That many times as many documents are looked at for the sample; fewer than are wanted among them are next to impossible.
+SPARE_SAMPLE = 4
 #: Tasks that count the sample, each of which may give a row for every slot of the model.
 COUNTING_TASKS = 8
 #: Slots of each n-gram order, smoothing, and what a change of language costs (nats).
@@ -60,10 +64,10 @@ OTHER = len(SCRIPTS) + 1
 
 
 @lru_cache(1)
-def _characters() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: the lower-case code point, and the script's number (0: no letter)."""
+def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: the lower-case code point, the script's number (0: neither letter nor mark), and whether it is a mark."""
     top = 0x323B0
-    lower, script = np.arange(top, dtype=np.uint32), np.zeros(top, np.uint8)
+    lower, script, mark = np.arange(top, dtype=np.uint32), np.zeros(top, np.uint8), np.zeros(top, bool)
     for c in range(top):
         ch = chr(c)
         if ch.isalpha():
@@ -72,12 +76,12 @@ def _characters() -> tuple[np.ndarray, np.ndarray]:
             if len(low) == 1:
                 lower[c] = ord(low)
         elif unicodedata.category(ch) in ("Mn", "Mc"):
-            script[c] = OTHER
+            script[c], mark[c] = OTHER, True
     for k, (_, ranges) in enumerate(SCRIPTS, 1):
         for a, b in ranges:
             part = script[a:b + 1]
             part[part > 0] = k
-    return lower, script
+    return lower, script, mark
 
 
 @dataclass
@@ -95,12 +99,17 @@ class Words:
 
 
 def split_words(texts: list[str]) -> Words:
-    """Runs of letters (and marks), with the n-grams around each letter; a break counts as a character."""
-    lower, scripts = _characters()
+    """Runs of letters and the marks after them, with the n-grams around each; a break counts as a character."""
+    lower, scripts, marks = _characters()
     codes = np.frombuffer("\n".join(texts).join(("\n\n", "\n\n\n")).encode("utf-32-le", "replace"), "<u4")
     codes = np.where(codes < len(lower), codes, 0)
     script = scripts[codes]
     letter = script > 0
+    if (mark := letter & marks[codes]).any():  # a mark without a letter before it in its run is no letter
+        place = np.arange(len(codes))
+        run = np.maximum.accumulate(np.where(letter, 0, place))
+        letter &= np.maximum.accumulate(np.where(letter & ~mark, place, 0)) > run
+        script = np.where(letter, script, 0)
     c = np.where(letter, lower[codes], 0).astype(np.uint32)
     edge = np.diff(letter.astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
@@ -133,14 +142,19 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
           usable: Column | None = None, docs_per_language: int = TRAIN_DOCS_PER_LANGUAGE) -> Model:
     """Fit on at most ``docs_per_language`` labelled documents of each language (a bounded, documented sample).
 
-    The sample is fixed by hashes of ids and read by a second scan; n-grams are counted on the
+    The sample is fixed by hashes of ids and read by a second scan (a language of few documents, or of
+    one id repeated, may give fewer); n-grams are counted on the
     executors, and only the model, whose size doesn't depend on the corpus, reaches the driver.
     """
     named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if usable is not None:
         named = named.where(usable)
-    picked = named.select(F.col(id_col).alias("pick_id"), F.col(lang_col).alias("pick_lang"), F.row_number().over(
-        Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)).alias("nth")).where(F.col("nth") <= docs_per_language)
+    # the smallest hashes of a language: all but a few times as many as are wanted go before any row is moved
+    place = F.pmod(F.xxhash64(id_col), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    sizes = named.groupBy(F.col(lang_col).alias("n_lang")).agg(F.count(F.lit(1)).alias("n"))
+    likely = named.select(F.col(id_col).alias("pick_id"), F.col(lang_col).alias("pick_lang"), place.alias("place")).join(F.broadcast(sizes), F.col("pick_lang") == F.col("n_lang")) \
+        .where(F.col("place") * F.col("n") < SPARE_SAMPLE * docs_per_language)
+    picked = likely.select("pick_id", "pick_lang", F.row_number().over(Window.partitionBy("pick_lang").orderBy("place", "pick_id")).alias("nth")).where(F.col("nth") <= docs_per_language)
     sample = named.join(F.broadcast(picked), (F.col(id_col) == F.col("pick_id")) & (F.col(lang_col) == F.col("pick_lang"))) \
         .select(F.col(text_col).cast("string").alias("text"), F.col("pick_lang").cast("string").alias("lang")).repartition(COUNTING_TASKS)
 
@@ -305,10 +319,10 @@ def with_language(docs: DataFrame, model: Model, *, text_col: str = "text", span
     fixed by SLOTS and the number of languages).
     """
     new = ("lang_pred", "score", *(("lang_spans",) if spans else ()))
-    source = docs.drop(*new)
+    source = spread(docs.drop(*new))
     kept = source.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), "lang_pred string, score double"]
-                       + ["lang_spans array<struct<lang: string, first: int, end: int>>"] * spans)
+    span = StructType().add("lang", StringType()).add("first", IntegerType()).add("end", IntegerType())
+    schema = StructType(source.schema.fields + [StructField("lang_pred", StringType()), StructField("score", DoubleType())] + [StructField("lang_spans", ArrayType(span))] * spans)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("end", pa.int32())]))
 

@@ -18,9 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidewell.llm.common import byte_batches, text_or_empty
 from tidewell.llm.shingles import mix
+from tidewell.operators.sizes import spread
 
 #: Segmentations a text, exponent on piece probabilities (lower: more even), seed.
 TOP_K, ALPHA, SEED = 2, 0.7, 11
@@ -490,7 +492,7 @@ def sample_segmentations(docs: DataFrame, model: str, *, id_col: str = "doc_id",
     Null and empty texts have one segmentation, the empty one; a null id is a key of its own.  An
     empty table gives no rows; other columns are ignored.  No shuffle.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("key"), text_or_empty(text_col).alias("text"))
+    source = spread(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("key"), text_or_empty(text_col).alias("text")))
     id_type = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -527,7 +529,7 @@ def decode_pieces(encoded: DataFrame, model: str, *, ids_col: str = "input_ids",
     """
     source = encoded.drop("decoded")
     kept = source.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), "decoded string"])
+    schema = StructType(source.schema.fields + [StructField("decoded", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = store_of(model, alpha).vocab
