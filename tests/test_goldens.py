@@ -54,17 +54,20 @@ def test_multi_query(spark):
     assert got[7].rrf_score == pytest.approx(0.041129, abs=1e-6) and (got[7].appearances, got[7].avg_rank, got[7].best_rank, got[7]["rank"]) == (2, 1.0, 0, 1)
 
 
-def test_bm25(spark):
+def test_bm25(spark, tmp_path):
     chunks = spark.createDataFrame([(1, "cat dog"), (2, "cat"), (3, "bird bird fox")], "chunk_id int, text string")
     asked = spark.createDataFrame([(1, "bird bird"), (2, "cat"), (3, "none")], "query_id int, query_text string")
-    got = {(x.query_id, x.chunk_id): x.bm25_score for x in r.bm25(asked, chunks).collect()}
+    index = r.write_keyword_index(chunks, f"file://{tmp_path}/all", buckets=3)
+    got = {(x.query_id, x.chunk_id): x.bm25_score for x in r.bm25(asked, index).collect()}
     idf = math.log(2.5) - math.log(1.5)
     assert got[1, 3] == pytest.approx(2 * idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / 2)), abs=1e-5)
     cat = math.log(1.5) - math.log(2.5)
     mean = (3 * idf + cat) / 4
     assert got[2, 2] == pytest.approx(0.25 * mean * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 1 / 2)), abs=1e-5)
     assert set(got) == {(1, 3), (2, 1), (2, 2)}
-    assert r.bm25(asked, chunks.where("chunk_id = 1")).count() == 0
+    assert {(x.query_id, x.chunk_id) for x in r.bm25(asked, index, only=chunks.where("chunk_id < 3")).collect()} == {(2, 1), (2, 2)}
+    assert r.bm25(asked, r.write_keyword_index(chunks.where("chunk_id = 1"), f"file://{tmp_path}/one")).count() == 0
+    assert r.bm25(asked, r.write_keyword_index(chunks.where("chunk_id = 9"), f"file://{tmp_path}/none")).count() == 0
 
 
 def test_filter_before_search(spark):

@@ -124,9 +124,18 @@ def page_of(rows: DataFrame, order: list[Column], offset: int, limit: int) -> Da
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
-def append_numbered(collection: DataFrame, added: DataFrame, order: list[Column]) -> DataFrame:
-    """``added`` below ``collection(chunk_id, ...)``: rows without id get ``doc_<position>``, counted on from the collection's size."""
+def numbered(rows: DataFrame, order: list[Column | str], run: Column) -> DataFrame:
+    """``rows`` with ``nth``, from 1 in ``order``.  ``run`` must grow with the order: rows are counted by run, and only the runs' totals meet in one task."""
+    rows = rows.withColumn("_run", run)
+    counts = rows.groupBy(F.col("_run").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_r", "_before")
+    within = F.row_number().over(Window.partitionBy("_run").orderBy(*order))
+    return rows.withColumn("_in", within).join(before, F.col("_run").eqNullSafe(F.col("_r"))).withColumn("nth", F.col("_before") + F.col("_in")).drop("_run", "_r", "_before", "_in")
+
+
+def append_numbered(collection: DataFrame, added: DataFrame, order: list[Column], run: Column) -> DataFrame:
+    """``added`` below ``collection(chunk_id, ...)``: rows without id get ``doc_<position>``, counted on from the collection's size; ``run`` as for ``numbered``."""
     had = collection.agg(F.count(F.lit(1)).alias("_had"))
-    at = F.row_number().over(Window.orderBy(*order)) - 1
-    numbered = added.crossJoin(F.broadcast(had)).withColumn("chunk_id", F.coalesce("chunk_id", F.concat(F.lit("doc_"), F.col("_had") + at))).drop("_had")
-    return collection.unionByName(numbered, allowMissingColumns=True)
+    placed = numbered(added, order, run).crossJoin(F.broadcast(had))
+    named = placed.withColumn("chunk_id", F.coalesce("chunk_id", F.concat(F.lit("doc_"), F.col("_had") + F.col("nth") - 1))).drop("_had", "nth")
+    return collection.unionByName(named, allowMissingColumns=True)

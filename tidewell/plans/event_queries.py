@@ -63,7 +63,7 @@ def append_numbered(spark, d):
     """Labelled documents are appended to the benchmark items; every second one lacks an id."""
     have = _R(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("chunk_id"), F.col("item_id").alias("key"))
     more = _R(spark, d, "labels").select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("own"), F.col("doc_id"))).alias("chunk_id"), F.col("doc_id").alias("key"))
-    return r.append_numbered(have, more, [F.col("key")])
+    return r.append_numbered(have, more, [F.col("key")], F.floor(F.col("key") / 50_000))
 
 
 def pagination(spark, d):

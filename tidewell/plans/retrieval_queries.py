@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import retrieval as r
+from tidewell.operators.sizes import checkpoint_folder
 
 _T = lambda spark, d, name: spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -21,6 +23,19 @@ def _of(column: str, n: int | None) -> Column:
     return F.col(column) % 100 == 0 if n is None else F.col(column) < n
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def keyword_index(spark: SparkSession, d: str) -> r.KeywordIndex:
+    """The index of ``documents``, written once for a session and table and read from there on."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _indexes:
+        path = f"{checkpoint_folder(spark)}/tidewell-bm25-{uuid.uuid4().hex}"
+        r.write_keyword_index(_T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), path)
+        _indexes[key] = path
+    return r.read_keyword_index(spark, _indexes[key])
+
+
 def _asked(spark: SparkSession, d: str, n: int | None) -> DataFrame:
     return _T(spark, d, "embeddings").where(_of("vec_id", n)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
@@ -28,7 +43,7 @@ def _asked(spark: SparkSession, d: str, n: int | None) -> DataFrame:
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     """Documents stand in for chunks; a document has a vector if one carries its number."""
     vec = _T(spark, d, "embeddings").select(F.col("vec_id").alias("v_id"), F.col("embedding").alias("vec"))
-    docs = _T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source")
+    docs = _T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source")
     return docs.join(vec, F.col("chunk_id") == F.col("v_id"), "left").drop("v_id")
 
 
@@ -91,12 +106,11 @@ def postings(spark, d):
 
 
 def bm25_stats(spark, d):
-    terms, _ = r.bm25_index(_T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
-    return terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return keyword_index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark, d, n=5):
-    return r.bm25(_questions(spark, d, n), _chunks(spark, d), 20).select("query_id", "chunk_id", F.round("bm25_score", 4).alias("bm25_score"))
+    return r.bm25(_questions(spark, d, n), keyword_index(spark, d), 20).select("query_id", "chunk_id", F.round("bm25_score", 4).alias("bm25_score"))
 
 
 def minmax_normalize(spark, d, n=5):
@@ -111,13 +125,13 @@ def minmax_normalize(spark, d, n=5):
 
 def weighted_rrf_fusion(spark, d, n=5):
     near = r.knn(_asked(spark, d, n), _vectors(spark, d), 30)
-    found = r.bm25(_questions(spark, d, n), _chunks(spark, d), 30)
+    found = r.bm25(_questions(spark, d, n), keyword_index(spark, d), 30)
     return r.fuse(near, found).select("query_id", "chunk_id", "vector_rank", "bm25_rank", "hybrid_score")
 
 
 def hybrid_topk(spark, d, n=3):
     """Question text and vector to the ten best documents with confidence and relevance."""
-    hits = r.hybrid(_questions(spark, d, n), _chunks(spark, d), 10)
+    hits = r.hybrid(_questions(spark, d, n), _chunks(spark, d), 10, keyword_index(spark, d))
     sure = r.confidence(hits)
     from tidewell.functions.scores import relevance
 
@@ -163,9 +177,9 @@ _W = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 _BM25 = rf"""
 tok AS MATERIALIZED (SELECT doc_id, {_W} AS w FROM documents),
 tot AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
-dfs AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(w) AS term FROM tok) GROUP BY term),
-raws AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, tot),
-idfs AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws)"""
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(w) AS term FROM tok) GROUP BY term),
+raws AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, tot),
+idfs AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws)"""
 
 
 def _bm25_sql(n: int, k: int) -> str:
