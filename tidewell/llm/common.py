@@ -43,9 +43,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def carried(docs: DataFrame, **more: Column) -> DataFrame:
-    """``(_row, **more)``: whole rows in one column, so that no name among theirs clashes with what an operator adds."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(c.alias(n) for n, c in more.items()))
+def carried(docs: DataFrame, leave: tuple[str, ...] = (), **more: Column) -> DataFrame:
+    """``(_row, **more)``: whole rows (but for columns to ``leave``) in one column, so that no name among theirs clashes with what an operator adds."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in leave)).alias("_row"), *(c.alias(n) for n, c in more.items()))
 
 
 def restored(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
@@ -71,11 +71,25 @@ def discard(*tables: DataFrame) -> None:
             fs.delete(at, True)
 
 
+def release() -> None:
+    """Give memory that earlier tasks of this worker have freed back to the system: workers live as long as the session, and so would their largest task's memory."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def byte_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in order, in slices whose ``column`` holds about ``most`` bytes (one longer value makes a slice)."""
     import numpy as np
     import pyarrow.compute as pc
 
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -417,8 +417,8 @@ def _digest(s: np.ndarray) -> list[int | None]:
 
 def _sets(texts: pa.ChunkedArray, size: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
-    for batch in byte_batches(pa.table({"text": texts}).to_batches(), "text", TEXT_BYTES):
-        out += shingle_sets(batch.column("text").to_pylist(), size)
+    for chunk in texts.chunks:  # of bounded bytes each
+        out += shingle_sets(chunk.to_pylist(), size)
     return out
 
 
