@@ -20,7 +20,7 @@ ROUND_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 16
 BATCH_BYTES = 2 << 20
 #: Blank-free strings whose ids a worker remembers.
-CACHED_STRINGS = 600_000
+CACHED_STRINGS = 200_000
 #: Stands for the end of a word; no UTF-8 holds this byte.
 WORD_END = b"\xff"
 
