@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import ann, chat, language_id, line_dedup, minhash_forest, packing, piece_sampling, progressive_jpeg, sharding, token_counts
+from tidewell.llm import (
+    ann, chat, language_id, line_dedup, minhash_forest, packing, periodic_runs, piece_sampling, progressive_jpeg, repetition, sharding, token_counts, whitening)
 from tidewell.llm.common import table, text_or_empty
 
 N_SHARDS = 24
@@ -91,6 +93,33 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def made_periodic(doc_id: int | None, words: list[str]) -> list[str]:
+    """Words of every tenth document from some place on repeat with a period of some part of their number."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * -(-(n - a) // p))[:n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), prepare=made_periodic)
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judged(repetition.measure_repetition(table(spark, sf_dir, "documents"))).drop("longest_repeat")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
 def _op7_sql() -> str:
     rest = "|".join(re.sub(r"([|\]])", r"\\\1", c[1:]) for c in chat.CONTROL)
     escaped = lambda c: rf"regexp_replace(replace({c}, '\', '\\'), '([<\[])({rest})', '\1\\\2', 'g')"
@@ -133,9 +162,29 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP12_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
+p AS (SELECT r, len(words) AS n, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+k AS (SELECT p.*, v.k FROM p, (VALUES ({repetition.WINDOW}), ({repetition.MIN_REPEAT}), ({repetition.LONGEST + 1})) AS v(k) WHERE i + v.k - 1 <= n),
+h AS (SELECT r, n, k, i, words[i:i + k - 1] AS piece FROM k),
+twice AS (SELECT r, k, unnest(places) AS i FROM (SELECT r, k, list(i) AS places FROM h GROUP BY r, k, piece HAVING count(*) > 1)),
+inside AS (SELECT p.r, p.i, s.k FROM p JOIN (SELECT r, k, i, coalesce(lead(i) OVER (PARTITION BY r, k ORDER BY i), n + 1) AS next FROM twice JOIN (SELECT r, len(words) AS n FROM w) USING (r)) s
+    ON p.r = s.r AND p.i >= s.i AND p.i < least(s.i + s.k, s.next)),
+counted AS (SELECT r, count(*) FILTER (k = {repetition.WINDOW}) AS n_repeat_words, count(*) FILTER (k = {repetition.MIN_REPEAT}) AS n_covered, count(*) FILTER (k = {repetition.LONGEST + 1}) AS n_long FROM inside GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+base AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_covered, 0)::BIGINT AS n_covered, coalesce(n_long, 0) AS n_long
+    FROM w LEFT JOIN counted USING (r) LEFT JOIN lines USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered, base_failed,
+    NOT base_failed AND 100 * n_covered <= {repetition.COVERED_PERCENT} * n_words AND n_long = 0 AS kept
+FROM (SELECT *, n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {repetition.BASE_PERCENT} * n_words AS base_failed FROM base)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_windows": _op7_sql(), "op9_line_dedup": OP9_SQL}
+    return {"op7_chat_windows": _op7_sql(), "op9_line_dedup": OP9_SQL, "op12_repetition_rules": OP12_SQL}
