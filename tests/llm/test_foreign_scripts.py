@@ -48,10 +48,21 @@ def test_only_documents_of_one_language_stay(spark, sf, table, words):
 
 def test_letters_of_unlearned_scripts_count_only_in_the_whole(table):
     model = language_id.train(table)
-    texts = ["the and that Привет", "Привет мир", "", "e\u0301te\u0301 e\u0301te\u0301"]
+    texts = ["the and that Привет", "Привет мир", "", "e\u0301te\u0301 e\u0301te\u0301", "人工智能技术", "12 !?"]
     languages, score, _ = language_id.identify_texts(texts, model)
-    assert languages[1:3] == ["und", "und"] and score[1:3].tolist() == [0, 0]
+    likely = model.languages[model.prior.argmax()]
+    assert languages[1] == languages[4] == likely and languages[2] == languages[5] == "und" and score[[1, 2, 4, 5]].tolist() == [0, 0, 0, 0]
     assert abs(score[0] - 10 / 16) < 1e-9 and score[3] == 1
+    assert language_id.identify_texts(["word"], language_id.train(table.limit(0)))[0] == ["und"]
+
+
+def test_every_text_with_a_letter_gets_a_learned_language(spark, table):
+    """The contract of op5: whatever the script."""
+    model = language_id.train(table)
+    rows = [(1, "Совершенно незнакомый язык"), (2, "人工智能"), (3, "தமிழ் மொழி"), (4, "the 人工智能技术的发展改变了世界 and"), (5, None), (6, " 1.5 \n"), (7, "é"), (8, "ℵ"), (9, "")]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model, spans=False).collect()}
+    assert {k for k, r in got.items() if r.lang_pred == "und"} == {5, 6, 9}
+    assert all(r.lang_pred in model.languages for k, r in got.items() if k not in (5, 6, 9)) and got[1].score == got[2].score == 0 and 0 < got[4].score < 0.6
 
 
 def test_licence_lines():

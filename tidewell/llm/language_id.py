@@ -287,9 +287,9 @@ def identify_texts(texts: list[str], model: Model, penalty: float = SWITCH_PENAL
     known = np.add.reduceat(model.scripts.any(1)[words.letters], words.first, dtype=np.int64) if len(labels) else labels
     letters = np.bincount(words.doc * k + labels, known, minlength=n * k).reshape(n, k)
     total = np.bincount(words.doc, words.ends - words.starts, minlength=n)
-    top = letters.argmax(1)
+    top = np.where(letters.sum(1) > 0, letters.argmax(1), model.prior.argmax())
     score = np.where(total > 0, letters[np.arange(n), top] / np.maximum(total, 1), 0.0)
-    languages = [model.languages[t] if s else UNKNOWN for t, s in zip(top.tolist(), (letters.sum(1) > 0).tolist(), strict=True)]
+    languages = [model.languages[t] if s else UNKNOWN for t, s in zip(top.tolist(), (total > 0).tolist(), strict=True)]
     new = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (words.doc[1:] != words.doc[:-1])])) if len(labels) else np.zeros(0, np.int64)
     last = np.concatenate([new[1:], [len(labels)]]) - 1 if len(new) else new
     spans: list[list[tuple[str, int, int]]] = [[] for _ in texts]
@@ -312,8 +312,8 @@ def with_language(docs: DataFrame, model: Model, *, text_col: str = "text", span
 
     ``score`` is the part of all letters that Viterbi spans give to ``lang_pred``; spans are in code
     points.  Null, empty and letterless texts get ``und`` and 0.  Letters of scripts that no learned
-    language has count for no language but in the whole, so a text of such letters alone gets ``und`` and
-    0 too (its spans name the language that neighbours or the order of languages suggest).  With
+    language has count for no language but in the whole, so a text of such letters alone gets the language of
+    most letters in training, with a score of 0.  A model without languages gives ``und``.  An empty table gives no rows.  With
     ``prepare``, what it makes of a text is looked at (spans are then places in that).  All
     rows stay, repeated ones with repeated results.  No shuffle; the model is broadcast (its size is
     fixed by SLOTS and the number of languages).
