@@ -19,8 +19,8 @@ ROUND_TOKENS = 1 << 20
 #: Tokens of a step group.
 STEP_TOKENS = 1 << 16
 BATCH_BYTES = 2 << 20
-#: Blank-free strings whose ids a worker remembers.
-CACHED_STRINGS = 200_000
+#: Characters of the blank-free strings whose ids a worker remembers: with their ids some 30 bytes each.
+CACHED_CHARS = 1 << 20
 #: Stands for the end of a word; no UTF-8 holds this byte.
 WORD_END = b"\xff"
 
@@ -71,7 +71,7 @@ class WordEncoder:
     the library whole.
     """
 
-    def __init__(self, path: str, cached: int = CACHED_STRINGS):
+    def __init__(self, path: str, cached: int = CACHED_CHARS):
         import regex
         from tokenizers import Tokenizer
 
@@ -81,7 +81,7 @@ class WordEncoder:
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.merge, id_of = merger(path)
         self.coded = [int(i).to_bytes(4, "little") for i in id_of]  # by rank
-        self.cached, self.known = cached, {}
+        self.cached, self.known, self.held = cached, {}, 0
 
     def whole(self, text: str) -> bytes:
         import numpy as np
@@ -96,12 +96,14 @@ class WordEncoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         known = self.known
-        if len(known) > self.cached:
+        if self.held > self.cached:
             known.clear()
+            self.held = 0
         split: list[list[str] | None] = [
             None if UNUSUAL.search(text) or any(s in text for s in self.special) else text.lower().split() for text in texts]
         got = [None if strings is None else list(map(known.get, strings)) for strings in split]
         fresh = list({s for strings, found in zip(split, got, strict=True) if strings and None in found for s, x in zip(strings, found, strict=True) if x is None})
+        self.held += sum(map(len, fresh))
         word, get = self.encode_word, known.get
         for s in fresh:
             known[s] = word(s) if s.isalpha() else b"".join([get(w) or word(w) for w in self.words(s)])
