@@ -43,12 +43,12 @@ def test_documents_are_indexed_in_one_job(spark, store):
     assert (stats.n_files, stats.n_chunks, stats.n_embeddings) == (2, rows.count(), rows.count()) and len(stats.previews) == min(50, rows.count())
     assert chunks.count() > 2 and rows.where("content_type = 'question'").count() > 0
     assert {r.document_id: r.metadata.get("source") for r in chunks.collect()} == {"d1": "x", "d2": None}
-    index = retrieval.read_keyword_index(spark, store.index_path("t"))
+    index = store.keyword_index("t")
     asked = spark.createDataFrame([(1, "delta")], "query_id int, query_text string")
     assert [r.chunk_id for r in retrieval.bm25(asked, index).collect()] == [r.chunk_id for r in chunks.where("document_id = 'd2'").collect()]
-    backup = ingest.reindex(store, "t", lambda: lambda texts: np.ones((len(texts), 8)))
+    before = ingest.reindex(store, "t", lambda: lambda texts: np.ones((len(texts), 8)))
     again = store.read("t").collect()
-    assert {tuple(r.embedding) for r in again} == {(1.0,) * 8} and sorted(r.chunk_id for r in again) == sorted(r.chunk_id for r in spark.read.parquet(backup).collect())
+    assert {tuple(r.embedding) for r in again} == {(1.0,) * 8} and sorted(r.chunk_id for r in again) == sorted(r.chunk_id for r in store.read("t", before).collect())
 
 
 def test_bulk_ingest_and_objects(spark, store, tmp_path):

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewell import models
 from tidewell.config import DEFAULT, EngineConfig
-from tidewell.operators import assistant, chunking, json_records, retrieval, structure
+from tidewell.operators import assistant, chunking, json_records, structure
 from tidewell.sources import files
+from tidewell.sources.collections import Collections
 
 
 def chunked(docs: DataFrame, *, fields: list[str] | None = None, questions: bool = False, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -54,26 +55,31 @@ def embedded(chunks: DataFrame, make: Callable[[], models.Embedder] = models.has
     return models.embedded(chunks, make)
 
 
-def index_documents(store: files.Collections, tenant: str, docs: DataFrame, *, fields: list[str] | None = None, questions: bool = False, make: Callable[[], models.Embedder] = models.hash_embedder,
-                    config: EngineConfig = DEFAULT) -> DataFrame:
-    """Chunk, embed and append ``docs(document_id, text, ...)`` to a tenant's collection, write its keyword index anew, and give its statistics."""
+def index_documents(store: Collections, tenant: str, docs: DataFrame, *, fields: list[str] | None = None, questions: bool = False, make: Callable[[], models.Embedder] = models.hash_embedder,
+                    config: EngineConfig = DEFAULT, batch: str | None = None) -> DataFrame:
+    """Chunk, embed and index ``docs(document_id, text, ...)`` in a tenant's collection, in one version; gives its statistics.
+
+    Chunks that a document had before are replaced, so documents that come again leave no copies.  A ``batch`` that was indexed already changes nothing.
+    """
     store.create(tenant)
-    store.append(tenant, embedded(chunked(docs, fields=fields, questions=questions, config=config), make))
-    rows = store.read(tenant)
-    retrieval.write_keyword_index(rows.where("content_type = 'chunk'"), store.index_path(tenant), config=config)
-    return assistant.index_statistics(rows)
+    store.replace_documents(tenant, docs, embedded(chunked(docs, fields=fields, questions=questions, config=config), make), batch=batch)
+    store.merge(tenant)
+    return assistant.index_statistics(store.read(tenant))
 
 
-def bulk_ingest(store: files.Collections, tenant: str, path: str, **settings) -> DataFrame:
+def bulk_ingest(store: Collections, tenant: str, path: str, **settings) -> DataFrame:
     """Curated pages, JSON lines of ``url, title, content, category``, through one indexing call, so that keyword statistics cover them all."""
     found = store.spark.read.schema("url string, title string, content string, category string").json(path)
     docs = found.where(F.trim(F.coalesce("content", F.lit(""))) != "").select(F.left(F.sha1("url"), F.lit(16)).alias("document_id"), F.concat_ws("\n\n", "title", "content").alias("text"), "url", "category")
     return index_documents(store, tenant, docs, fields=["url", "category"], **settings)
 
 
-def reindex(store: files.Collections, tenant: str, make: Callable[[], models.Embedder]) -> str:
-    """Embed a tenant's stored texts again; the old rows stay in the folder that is returned."""
-    backup = store.move_aside(tenant)
-    old = store.spark.read.parquet(backup)
-    store.append(tenant, embedded(old.drop("embedding"), make))
-    return backup
+def reindex(store: Collections, tenant: str, make: Callable[[], models.Embedder], *, model: str = "", batch: str | None = None) -> int:
+    """Embed a tenant's stored texts again, in vectors of any length; the version of before, which stays readable, is returned.
+
+    Readers have the old vectors until all new ones are written and checked; if that fails, nothing has changed.
+    """
+    before = store.snapshot(tenant).version
+    size = store.spark.createDataFrame([("a",)], "text string").select(F.size(models.embed_column(F.col("text"), make))).first()[0]
+    store.rebuild(tenant, lambda rows: embedded(rows.drop("embedding"), make), size, model, batch=batch)
+    return before

@@ -1,8 +1,7 @@
-"""Readers of JSON and PDF files, webhook payloads, and the collection tables."""
+"""Readers of JSON and PDF files and webhook payloads."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators.json_records import structure
+from tidewell.sources.collections import Collections  # noqa: F401
 
 WEBHOOK = ("entry array<struct<changes: array<struct<value: struct<metadata: struct<phone_number_id: string>, "
            "messages: array<struct<type: string, `from`: string, id: string, text: struct<body: string>>>>>>>>")
@@ -38,7 +38,7 @@ def read_json_objects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pdf_pages(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, page, text)``, blank pages left out, by whichever PDF library the workers have."""
+    """``(file, page, text)``, blank pages left out, read by pypdf, which the workers need."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
 
@@ -73,64 +73,3 @@ def webhook_messages(payloads: DataFrame, column: str = "payload") -> DataFrame:
     messages = changes.select(F.col("c.value.metadata.phone_number_id").alias("phone_number_id"), F.explode("c.value.messages").alias("m"))
     return messages.where("m.type = 'text' AND m.`from` IS NOT NULL AND coalesce(m.text.body, '') <> '' AND phone_number_id IS NOT NULL") \
         .select("phone_number_id", F.col("m.from").alias("sender"), F.col("m.id").alias("message_id"), F.col("m.text.body").alias("body"))
-
-
-class Collections:
-    """Chunks of all tenants in one Parquet table, a partition a tenant; every read names its tenant.  Beside it, a tenant's vector dimension and keyword index."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def create(self, tenant: str, dimension: int = 384) -> bool:
-        """Whether the collection is new; an existing one keeps its dimension."""
-        if self.dimension(tenant) is not None:
-            return False
-        self.spark.createDataFrame([(dimension,)], "dimension int").coalesce(1).write.parquet(f"{self.root}-dimensions/client_slug={tenant}")
-        return True
-
-    def dimension(self, tenant: str) -> int | None:
-        path = f"{self.root}-dimensions/client_slug={tenant}"
-        return self.spark.read.parquet(path).first().dimension if self._fs(path, "exists") else None
-
-    def append(self, tenant: str, chunks: DataFrame, dimension: int | None = None) -> None:
-        """``chunks(chunk_id, document_id, text, metadata, embedding)``; a vector of another dimension than the collection's is an error."""
-        stored = self.dimension(tenant)
-        if stored is not None and dimension not in (None, stored):
-            raise ValueError(f"vectors must have {stored} components")
-        dimension = stored if stored is not None else dimension
-        if dimension is None:
-            raise ValueError(f"no collection {tenant}")
-        if chunks.where(F.col("embedding").isNotNull() & (F.size("embedding") != dimension)).limit(1).count():
-            raise ValueError(f"vectors must have {dimension} components")
-        chunks.withColumn("client_slug", F.lit(tenant)).write.mode("append").partitionBy("client_slug").parquet(self.root)
-
-    def read(self, tenant: str) -> DataFrame:
-        return self.spark.read.parquet(self.root).where(F.col("client_slug") == tenant)
-
-    def counts(self) -> DataFrame:
-        return self.spark.read.parquet(self.root).groupBy("client_slug").agg(F.count(F.lit(1)).alias("n"))
-
-    def index_path(self, tenant: str) -> str:
-        return f"{self.root}-keywords/{tenant}"
-
-    def clear(self, tenant: str) -> bool:
-        """Whether there was anything to clear; the collection stays, with its dimension."""
-        return self._fs(f"{self.root}/client_slug={tenant}", "delete", True)
-
-    def drop(self, tenant: str) -> bool:
-        """Whether there was anything to drop."""
-        self._fs(f"{self.root}-dimensions/client_slug={tenant}", "delete", True)
-        self._fs(self.index_path(tenant), "delete", True)
-        return self.clear(tenant)
-
-    def move_aside(self, tenant: str) -> str:
-        """The tenant's rows under another path, which is returned."""
-        to = f"{self.root}-backup/{tenant}-{uuid.uuid4().hex}"
-        self._fs(f"{self.root}-backup", "mkdirs")
-        if not self._fs(f"{self.root}/client_slug={tenant}", "rename", self.spark._jvm.org.apache.hadoop.fs.Path(to)):
-            raise ValueError(f"no collection {tenant}")
-        return to
-
-    def _fs(self, path: str, call: str, *more):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return getattr(at.getFileSystem(self.spark._jsc.hadoopConfiguration()), call)(at, *more)
