@@ -82,7 +82,7 @@ def needs_mood_check(message: Column) -> Column:
     m = F.coalesce(message, F.lit(""))
     loud = F.exists(F.split(m, r"\s+"), lambda w: (F.char_length(F.regexp_replace(w, r"[^\p{L}]", "")) >= 4) & (F.upper(F.regexp_replace(w, r"[^\p{L}]", "")) == F.regexp_replace(w, r"[^\p{L}]", ""))
                     & (F.lower(w) != w))
-    return F.lower(m).rlike(_any_of(MOOD_SIGNALS)) | m.rlike(r"!!|\?\?|\?!|!.*!") | loud
+    return F.lower(m).rlike(_any_of(MOOD_SIGNALS)) | m.rlike(r"(?s)!!|\?\?|\?!|!.*!") | loud
 
 
 def is_uncertain(answer: Column) -> Column:

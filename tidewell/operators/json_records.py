@@ -159,12 +159,26 @@ def enriched(text: Column, head: Column) -> Column:
 
 
 def matches(metadata: Column, wanted: dict[str, object]) -> Column:
-    """All dotted paths of a JSON column equal their wanted values; a missing path never matches."""
-    out = F.lit(True)
+    """All dotted paths of a JSON column equal their wanted values, types included: the text "7" isn't the number 7, and 7 is 7.0.
+
+    A missing path never matches, but that a plain name wanted as None may be missing; lists and objects match whole.  Broken JSON matches nothing.
+    """
+    whole = F.try_parse_json(metadata)
+    out = whole.isNotNull()
     for path, value in wanted.items():
-        found = F.get_json_object(metadata, "$." + path)
-        said = str(value).lower() if isinstance(value, bool) else str(value)
-        out = out & F.coalesce(found == F.lit(said), F.lit(False))
+        found = F.try_variant_get(whole, "$" + "".join(f"[{json.dumps(p)}]" for p in path.split(".")), "variant")
+        kind = F.schema_of_variant(found)
+        if value is None:
+            same = F.is_variant_null(found) | (found.isNull() if "." not in path else F.lit(False))
+        elif isinstance(value, bool):
+            same = (kind == "BOOLEAN") & (F.try_variant_get(found, "$", "boolean") == F.lit(value))
+        elif isinstance(value, (int, float)):
+            same = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (F.try_variant_get(found, "$", "double") == F.lit(float(value)))
+        elif isinstance(value, str):
+            same = (kind == "STRING") & (F.try_variant_get(found, "$", "string") == F.lit(value))
+        else:
+            same = F.to_json(found) == F.to_json(F.parse_json(F.lit(json.dumps(value))))
+        out = out & F.coalesce(same, F.lit(False))
     return out
 
 

@@ -90,9 +90,11 @@ def with_references(actions: DataFrame) -> DataFrame:
 
 
 def find_by_reference(asked: DataFrame, actions: DataFrame) -> DataFrame:
-    """``asked(ask_id, text)`` to actions whose reference has the same letters and digits."""
-    a = asked.select("ask_id", m.reference_key(F.col("text")).alias("k")).where("k <> ''")
-    return a.join(actions.withColumn("rk", m.reference_key(F.col("reference"))), F.col("k") == F.col("rk")).drop("k", "rk")
+    """``asked(ask_id, client_slug, text)`` to the same tenant's ``actions(id, client_slug, reference, ...)`` whose reference has the same letters and digits; of several the first id."""
+    a = asked.select("ask_id", F.col("client_slug").alias("_slug"), m.reference_key(F.col("text")).alias("_k")).where("_k <> ''")
+    known = actions.select(m.reference_key(F.col("reference")).alias("_rk"), F.struct("id", *(c for c in actions.columns if c != "id")).alias("_row"))
+    first = known.groupBy(F.col("_row.client_slug").alias("_of"), "_rk").agg(F.min_by("_row", "_row.id").alias("_row"))
+    return a.join(first, (F.col("_slug") == F.col("_of")) & (F.col("_k") == F.col("_rk"))).select("ask_id", "_row.*")
 
 
 # ---- tables of tenants, documents, escalations: copy-on-write forms

@@ -41,10 +41,12 @@ def available_actions(clients: DataFrame) -> DataFrame:
     return clients.withColumn("_set", key).join(F.broadcast(a.withColumnRenamed("domain", "_domain")), F.col("_set") == F.col("_domain")).drop("_set", "_domain")
 
 
-def account_line(name: Column, identifier: Column, data: Column) -> Column:
-    """A map of account data as one line."""
+def account_line(name: Column, identifier: Column, data: Column, recent: Column | None = None) -> Column:
+    """A map of account data as one line, ``recent`` changes last."""
     who = F.coalesce(F.nullif(name, F.lit("")), identifier)
-    parts = F.transform(F.map_entries(data), lambda e: F.concat(F.replace(e["key"], F.lit("_"), F.lit(" ")), F.lit(": "), e["value"]))
+    parts = F.coalesce(F.transform(F.map_entries(data), lambda e: F.concat(F.replace(e["key"], F.lit("_"), F.lit(" ")), F.lit(": "), F.coalesce(e["value"], F.lit("")))), F.array().cast("array<string>"))
+    if recent is not None:
+        parts = F.when(F.size(recent) > 0, F.array_append(parts, F.concat(F.lit("recent changes: ['"), F.array_join(recent, "', '"), F.lit("']")))).otherwise(parts)
     return F.when(F.size(parts) > 0, F.concat(F.lit("Account for "), who, F.lit(" — "), F.array_join(parts, "; "))).otherwise(F.concat(F.lit("Account for "), who, F.lit(" found.")))
 
 
@@ -55,8 +57,13 @@ def status_line(reference: Column, subject: Column, created: Column, status: Col
 
 def with_change(recent: Column, change: Column) -> Column:
     """The last changes of an account and the new one."""
-    had = F.coalesce(recent, F.array().cast("array<string>"))
-    return F.array_append(F.slice(had, F.greatest(F.size(had) - CHANGES_KEPT, F.lit(0)) + 1, F.lit(CHANGES_KEPT)), change)
+    return with_changes(recent, F.array(change))
+
+
+def with_changes(recent: Column, changes: Column) -> Column:
+    """The same for several changes, one after the other."""
+    both = F.concat(F.coalesce(recent, F.array().cast("array<string>")), changes)
+    return F.slice(both, F.greatest(F.size(both) - CHANGES_KEPT - 1, F.lit(0)) + 1, F.lit(CHANGES_KEPT + 1))
 
 
 def route(messages: DataFrame, tenants: DataFrame) -> DataFrame:

@@ -41,7 +41,10 @@ def semantic_enrichment(spark, d):
 
 
 def nested_metadata_filter(spark, d):
-    wrapped = F.to_json(F.struct(F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("event_type").alias("kind")).alias("meta")))
+    """Every other event states its number as text, which the number 7 doesn't match."""
+    k = F.get_json_object("props", "$.k")
+    stated = lambda v: F.to_json(F.struct(F.struct(v.alias("k"), F.col("event_type").alias("kind")).alias("meta")))
+    wrapped = F.when(F.col("event_id") % 2 == 0, stated(k)).otherwise(stated(k.cast("int")))
     return _R(spark, d, "events").where(j.matches(wrapped, {"meta.k": 7, "meta.kind": "click"})).select("event_id")
 
 
@@ -53,10 +56,10 @@ def mood_replies(spark, d):
 
 
 def rewrite_guard(spark, d):
-    """Every benchmark item with its neighbour's text as the rewrite."""
-    b = _R(spark, d, "benchmark")
-    other = b.select((F.col("item_id") + 1).alias("item_id"), F.left("text", F.lit(400)).alias("other"))
-    said = models.guarded_rewrite(F.left("text", F.lit(60)), F.col("other"))
+    """Every benchmark item with its neighbour's text as the rewrite; those of every third number are asked as their first word, which most rewrites are too long for."""
+    b = _R(spark, d, "benchmark").withColumn("asked", F.when(F.col("item_id") % 3 == 0, F.element_at(F.split("text", " "), 1)).otherwise(F.col("text")))
+    other = b.select((F.col("item_id") + 1).alias("item_id"), F.col("text").alias("other"))
+    said = models.guarded_rewrite(F.col("asked"), F.col("other"))
     return b.join(other, "item_id", "left").select("item_id", F.md5(said.cast("binary")).alias("said_md5"))
 
 
@@ -126,10 +129,11 @@ QUERIES = {
     "semantic_enrichment": (semantic_enrichment, f"""WITH p AS (SELECT *, {_PICK(_CATS, 'p_partkey')} AS c, p_partkey * 7 % 2000 AS price, CASE p_partkey % 3 WHEN 0 THEN 7 WHEN 1 THEN p_size END AS days, CASE WHEN p_partkey % 5 <> 0 THEN [{_PICK(_TAGS, 'p_partkey')}, {_PICK(_TAGS, 'p_partkey + 1')}] END AS tags FROM part)
         SELECT p_partkey, md5(concat_ws(chr(10), CASE WHEN p_partkey % 11 <> 0 THEN '📦 ' || p_name END, 'Category: ' || c || {_CATW}, '💰 Price: LKR ' || price || chr(10) || CASE WHEN price < 500 THEN '{j.PRICE_TIERS[0][1]}' WHEN price < 1500 THEN '{j.PRICE_TIERS[1][1]}' ELSE '{j.PRICE_TOP}' END,
         '⏱️ Validity: ' || CASE days WHEN 1 THEN '{j.VALIDITY[1]}' WHEN 7 THEN '{j.VALIDITY[7]}' WHEN 30 THEN '{j.VALIDITY[30]}' ELSE days || ' days' END, '🏷️ Features: ' || {_TAG_SQL}) || chr(10) || chr(10) || repeat('=', 60) || chr(10) || chr(10) || p_type) AS enriched_md5 FROM p"""),
-    "nested_metadata_filter": (nested_metadata_filter, "SELECT event_id FROM events WHERE (props->>'$.k') = '7' AND event_type = 'click'"),
+    "nested_metadata_filter": (nested_metadata_filter, "SELECT event_id FROM events WHERE event_id % 2 <> 0 AND (props->>'$.k') = '7' AND event_type = 'click'"),
     "mood_replies": (mood_replies, "SELECT * FROM (VALUES (1, 'angry', 5, true), (2, 'neutral', 2, false), (3, 'neutral', 1, false), (4, 'happy', 1, false)) AS r(reply_id, emotion, intensity, wants_human)"),
-    "rewrite_guard": (rewrite_guard, r"""SELECT b.item_id, md5(CASE WHEN coalesce(s, '') = '' OR length(s) > 3 * length(left(b.text, 60)) THEN left(b.text, 60) ELSE s END) AS said_md5
-        FROM benchmark b LEFT JOIN (SELECT item_id + 1 AS item_id, regexp_replace(left(text, 400), '^\s+|\s+$', '', 'g') AS s FROM benchmark) o ON b.item_id = o.item_id"""),
+    "rewrite_guard": (rewrite_guard, r"""SELECT b.item_id, md5(CASE WHEN coalesce(s, '') = '' OR length(s) > 3 * length(asked) THEN asked ELSE s END) AS said_md5
+        FROM (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN string_split(text, ' ')[1] ELSE text END AS asked FROM benchmark) b
+        LEFT JOIN (SELECT item_id + 1 AS item_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM benchmark) o ON b.item_id = o.item_id"""),
     "variations_parse": (variations_parse, "SELECT * FROM (VALUES (1, 'data plans|cheap data plans|monthly data|roaming packages'), (2, 'fees NOW|what is due'), (3, 'q')) AS v(query_id, variations)"),
     "topic_chunks": (topic_chunks, None),
     "topic_chunk_stats": (topic_chunk_stats, None),

@@ -53,15 +53,37 @@ def _accounts(spark: SparkSession, d: str) -> DataFrame:
                     F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).alias("name"), F.create_map(F.lit("market_segment"), F.col("c_mktsegment")).alias("data"))
 
 
-def executed_actions(spark, d):
-    """Customers' calls, one of each kind in turn: lookups ask for orders' references and for their own accounts."""
+def _executed(spark: SparkSession, d: str) -> tickets.Executed:
+    """Customers' calls, one of each kind in turn.
+
+    Status calls ask for tickets of the caller's own number, which may be another tenant's; account calls give
+    their own identifier, one that nobody has, or none; changes state a plan, a note, or nothing.
+    """
     c = _accounts(spark, d)
-    kinds = F.array(*map(F.lit, ["ticket", "callback", "account_change", "request_status", "account_lookup"]))
-    kind = F.get(kinds, (F.col("account_id") % 5).cast("int"))
-    ask = F.when(F.col("account_id") % 2 == 0, F.concat(F.lit("tkt "), F.col("account_id") + 1000)).otherwise("none")
-    calls = c.select(F.col("account_id").alias("id"), "client_slug", kind.alias("kind"), F.coalesce("name", F.lit("?")).alias("subject"),
-                     F.when(kind == "request_status", ask).otherwise(F.when(F.col("account_id") % 3 == 0, "nobody").otherwise(F.lower("identifier"))).alias("detail"))
-    return tickets.executed(calls, c, _requests(spark, d))
+    i = F.col("account_id")
+    of = F.array(*(F.struct(F.lit(a).alias("action"), F.lit(k).alias("kind")) for a, k in (("create_ticket", "ticket"), ("request_callback", "callback"), ("update_account", "account_change"), ("check_ticket", "request_status"), ("lookup_account", "account_lookup"), ("dance", "dance"))))
+    call = F.get(of, (i % 6).cast("int"))
+    identifier = F.when(i % 21 == 2, " ").when(i % 7 == 3, " nobody ").otherwise(F.lower("identifier"))
+    args = F.map_from_arrays(F.array(*map(F.lit, ("subject", "reference", "identifier", "new_plan", "change"))), F.array(
+        F.when(i % 4 != 0, F.col("name")), F.when(i % 15 == 0, "none").otherwise(F.concat(F.lit("tkt "), i + 1000)), identifier, F.when(i % 4 == 0, F.concat(F.lit("P"), i)), F.when(i % 8 != 2, F.concat(F.lit("note "), i))))
+    calls = c.select(i.alias("id"), "client_slug", call["action"].alias("action"), call["kind"].alias("kind"), args.alias("args"))
+    # every fifth account has had five changes, some accounts are changed twice
+    twice = calls.where("id % 24 = 14").withColumns({"id": F.col("id") + 100_000_000, "args": F.map_concat(F.map_filter("args", lambda k, v: ~k.isin("new_plan", "change")), F.create_map(F.lit("change"), F.lit("again")))})
+    had = F.when(i % 5 == 0, F.array(*map(F.lit, "abcde")))
+    return tickets.executed(calls.unionByName(twice), c.withColumn("recent_changes", had.cast("array<string>")), _requests(spark, d))
+
+
+def executed_actions(spark, d):
+    """What customers' calls answer."""
+    return _executed(spark, d).messages
+
+
+def executed_changes(spark, d):
+    """Accounts and requests after customers' calls."""
+    done = _executed(spark, d)
+    data = F.array_join(F.transform(F.map_entries("data"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    accounts = done.accounts.select(F.lit("account").alias("kind"), F.col("account_id").alias("id"), "client_slug", F.concat(data, F.lit("|"), F.coalesce(F.array_join("recent_changes", ","), F.lit("-"))).alias("state"))
+    return accounts.unionByName(done.requests.select("kind", "id", "client_slug", F.concat_ws("|", "reference", "subject", "status").alias("state")))
 
 
 def account_upsert(spark, d):
@@ -80,12 +102,13 @@ def demo_accounts(spark, d):
 
 
 def knowledge_cards(spark, d):
-    """Benchmark items as gaps; the replies quote the prompt's first line, every fourth one is blank."""
+    """Benchmark items as gaps; the replies quote the prompt, every fourth one is blank, every fifth has no title and every sixth no tags."""
     gaps = _R(spark, d, "benchmark").select(F.concat(F.lit("tenant"), F.col("item_id") % 3).alias("client_slug"), F.col("item_id").alias("position"), F.concat(F.lit("Q"), F.col("item_id")).alias("representative"),
                                             F.array(F.concat(F.lit("Q"), F.col("item_id")), F.lit("another")).alias("examples"))
     drafts = tickets.knowledge_drafts(gaps)
-    reply = F.when(F.col("position") % 4 == 0, "no").otherwise(F.concat(F.lit("Sure "), F.to_json(F.struct(F.lit("T").alias("title"), F.col("prompt").alias("content"), F.array(F.lit("a"), F.lit("b")).alias("tags")))))
-    return tickets.knowledge_cards(drafts, reply)
+    title, tags = F.when(F.col("position") % 5 == 0, " ").otherwise(" T "), F.when(F.col("position") % 6 != 0, F.array(F.lit("a"), F.lit("b")))
+    reply = F.when(F.col("position") % 4 == 0, "no").otherwise(F.concat(F.lit("Sure "), F.to_json(F.struct(title.alias("title"), F.col("prompt").alias("content"), tags.alias("tags")))))
+    return tickets.knowledge_cards(drafts, reply).select("client_slug", "document_id", "text", "title", "category", F.array_join("tags", ",").alias("tags"))
 
 
 _PARTS = [("plain words", "plain words"), ('["a", {"text": "b", "content": "x"}, {"content": "c"}, {"other": 1}]', "abc"), ("[not json", "[not json"), (None, ""), ('[{"text": ""}, "z"]', "z")]
@@ -189,6 +212,18 @@ _ESC = f"""(SELECT a.conv_id, a.turn, 'tenant' || (a.conv_id % 3) AS client_slug
 _REQ = """(SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'ticket' WHEN 1 THEN 'callback' ELSE 'account_change' END AS kind, 'tenant' || (o_custkey % 3) AS client_slug, o_orderpriority AS subject, o_orderdate AS created,
     CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS status, CASE o_orderkey % 3 WHEN 0 THEN 'TKT-' WHEN 1 THEN 'CB-' ELSE 'CHG-' END || (o_orderkey + 1000) AS reference FROM orders)"""
 _ACC = "(SELECT c_custkey AS account_id, 'tenant' || (c_nationkey % 3) AS client_slug, 'ACC-' || (c_custkey + 100000) AS identifier, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS name, c_mktsegment AS segment FROM customer)"
+#: Customers' calls, the accounts and requests that they find, and the numbers of the requests that they make.
+_CALLS = f"""WITH one AS (SELECT account_id AS i, client_slug, ['create_ticket', 'request_callback', 'update_account', 'check_ticket', 'lookup_account', 'dance'][account_id % 6 + 1] AS action,
+        ['ticket', 'callback', 'account_change', 'request_status', 'account_lookup', 'dance'][account_id % 6 + 1] AS kind, CASE WHEN account_id % 4 <> 0 THEN name END AS subject,
+        CASE WHEN account_id % 15 = 0 THEN 'none' ELSE 'tkt ' || (account_id + 1000) END AS asked_reference, CASE WHEN account_id % 21 = 2 THEN '' WHEN account_id % 7 = 3 THEN 'nobody' ELSE lower(identifier) END AS identifier,
+        CASE WHEN account_id % 4 = 0 THEN 'P' || account_id END AS new_plan, CASE WHEN account_id % 8 <> 2 THEN 'note ' || account_id END AS change FROM {_ACC}),
+    calls AS (SELECT i AS id, * EXCLUDE (i) FROM one UNION ALL SELECT i + 100000000, client_slug, action, kind, subject, asked_reference, identifier, NULL, 'again' FROM one WHERE i % 24 = 14),
+    met AS (SELECT c.*, a.account_id, a.name AS a_name, a.identifier AS a_identifier, a.segment AS a_segment, q.reference AS q_reference, q.subject AS q_subject, q.created AS q_created, q.status AS q_status,
+        kind IN ('ticket', 'callback') OR kind = 'account_change' AND a.account_id IS NOT NULL AS makes
+        FROM calls c LEFT JOIN {_ACC} a ON a.client_slug = c.client_slug AND lower(a.identifier) = c.identifier AND c.kind LIKE 'account%'
+        LEFT JOIN (SELECT reference, subject, created, status, client_slug FROM {_REQ}) q ON c.kind = 'request_status' AND q.client_slug = c.client_slug AND q.reference = replace(upper(c.asked_reference), ' ', '-')),
+    looked AS (SELECT *, CASE kind WHEN 'ticket' THEN 'TKT-' WHEN 'callback' THEN 'CB-' ELSE 'CHG-' END || (request_id + 1000) AS reference FROM
+        (SELECT *, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (PARTITION BY makes ORDER BY id) AS request_id FROM met))"""
 _DEMO = "(VALUES " + ", ".join(f"('{dom}', '{i}', '{n}', '{';'.join(f'{k}={v}' for k, v in sorted(data.items()))}')" for dom, i, n, data in tickets.DEMO_ACCOUNTS) + ") AS demo(domain, identifier, name, data)"
 _W = rq._W
 _QS = lambda n: rf"""list_filter(list_transform(list_filter(list_transform(string_split(text, '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[:{n}], lambda x, i: CASE WHEN len(regexp_split_to_array(x, '\s+')) >= 2
@@ -221,20 +256,31 @@ QUERIES = {
     "escalation_status": (escalation_status, f"""SELECT * FROM (SELECT conv_id, turn, client_slug, CASE WHEN conv_id % 2 = 0 THEN 'done' ELSE 'open' END AS status, count(*) FILTER (WHERE conv_id % 2 <> 0) OVER (PARTITION BY client_slug) AS n_open FROM {_ESC}) WHERE status = 'done'"""),
     "request_transitions": (request_transitions, f"""SELECT id, kind, client_slug, reference, status, count(*) FILTER (WHERE status = 'open') OVER (PARTITION BY client_slug) AS n_open
         FROM (SELECT * REPLACE (CASE WHEN id % 5 = 0 AND id % 7 <> 0 THEN 'open' ELSE status END AS status) FROM {_REQ})"""),
-    "executed_actions": (executed_actions, f"""WITH a AS (SELECT *, ['ticket', 'callback', 'account_change', 'request_status', 'account_lookup'][account_id % 5 + 1] AS kind FROM {_ACC}),
-        m AS (SELECT account_id AS id, kind, CASE kind WHEN 'ticket' THEN 'TKT-' WHEN 'callback' THEN 'CB-' ELSE 'CHG-' END || (account_id + 1000) AS reference, name FROM a WHERE kind IN ('ticket', 'callback', 'account_change'))
-        SELECT id, kind, reference, 'Created ' || reference || ' for ' || coalesce(name, '?') AS message FROM m
-        UNION ALL SELECT account_id, a.kind, q.reference, coalesce(q.reference || ' (' || subject || ') was logged on ' || strftime(created, '%b %d, %Y') || ' and is currently ' || CASE WHEN status = 'done' THEN 'completed' ELSE 'open (being worked on)' END || '.', 'No request with that reference.')
-          FROM a LEFT JOIN {_REQ} q ON account_id % 2 = 0 AND q.reference = 'TKT-' || (account_id + 1000) WHERE a.kind = 'request_status'
-        UNION ALL SELECT account_id, kind, NULL, CASE WHEN account_id % 3 = 0 THEN 'No account found.' ELSE 'Account for ' || coalesce(name, identifier) || ' — market segment: ' || segment END FROM a WHERE kind = 'account_lookup'"""),
+    "executed_actions": (executed_actions, f"""{_CALLS}
+        SELECT id, kind, CASE WHEN makes THEN reference WHEN kind = 'request_status' THEN q_reference END AS reference, CASE
+            WHEN kind = 'ticket' THEN 'Logged the request — reference ' || reference || '. A human agent will follow up.'
+            WHEN kind = 'callback' THEN 'Logged the callback — reference ' || reference || '. A human agent will follow up.'
+            WHEN kind = 'request_status' AND q_reference IS NULL THEN 'No request was found with reference ' || chr(39) || asked_reference || chr(39) || '. Ask the customer to double-check the number.'
+            WHEN kind = 'request_status' THEN q_reference || ' (' || q_subject || ') was logged on ' || strftime(q_created, '%b %d, %Y') || ' and is currently ' || CASE WHEN q_status = 'done' THEN 'completed' ELSE 'open (being worked on)' END || '.'
+            WHEN kind = 'dance' THEN 'That action isn''t available.'
+            WHEN identifier = '' THEN 'I need the account identifier (phone/email/ID) first — please ask the customer for it.'
+            WHEN account_id IS NULL THEN 'No account was found for ' || chr(39) || identifier || chr(39) || '. Double-check the details with the customer.'
+            WHEN kind = 'account_lookup' THEN 'Account for ' || coalesce(a_name, a_identifier) || ' — market segment: ' || a_segment || CASE WHEN account_id % 5 = 0 THEN '; recent changes: [''a'', ''b'', ''c'', ''d'', ''e'']' ELSE '' END
+            ELSE 'Done — ' || CASE WHEN new_plan IS NOT NULL THEN 'plan changed to ' || new_plan ELSE coalesce(change, 'account updated') END || ', confirmed. Reference ' || reference || '.' END AS message FROM looked"""),
+    "executed_changes": (executed_changes, f"""{_CALLS},
+        notes AS (SELECT account_id, max_by(new_plan, id) FILTER (new_plan IS NOT NULL) AS plan, coalesce(list(change ORDER BY id) FILTER (new_plan IS NULL AND change IS NOT NULL), []) AS said FROM looked WHERE kind = 'account_change' AND makes GROUP BY 1),
+        after AS (SELECT a.*, plan, CASE WHEN a.account_id % 5 = 0 OR len(said) > 0 THEN (CASE WHEN a.account_id % 5 = 0 THEN ['a', 'b', 'c', 'd', 'e'] ELSE [] END || coalesce(said, []))[-5:] END AS recent FROM {_ACC} a LEFT JOIN notes USING (account_id))
+        SELECT 'account' AS kind, account_id AS id, client_slug, 'market_segment=' || segment || coalesce(';plan=' || plan, '') || '|' || coalesce(array_to_string(recent, ','), '-') AS state FROM after
+        UNION ALL SELECT kind, id, client_slug, reference || '|' || subject || '|' || status FROM {_REQ}
+        UNION ALL SELECT kind, request_id, client_slug, reference || '|' || coalesce(subject, action) || '|open' FROM looked WHERE makes"""),
     "account_upsert": (account_upsert, f"""WITH g AS (SELECT 'tenant' || (s_nationkey % 3) AS client_slug, 'No ' || (s_suppkey + CASE WHEN s_suppkey % 2 = 0 THEN 100000 ELSE 900000 END) AS identifier, s_name AS name, s_nationkey AS nation FROM supplier),
         h AS (SELECT g.*, a.account_id FROM g LEFT JOIN {_ACC} a ON a.client_slug = g.client_slug AND regexp_replace(a.identifier, '[^0-9]', '', 'g') = regexp_replace(g.identifier, '[^0-9]', '', 'g'))
         SELECT a.account_id, a.client_slug, a.identifier, coalesce(h.name, a.name) AS name, 'market_segment=' || segment || coalesce(';nation=' || nation, '') AS data FROM {_ACC} a LEFT JOIN h ON h.account_id = a.account_id
         UNION ALL SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY client_slug, identifier), client_slug, identifier, name, 'nation=' || nation FROM h WHERE account_id IS NULL"""),
     "demo_accounts": (demo_accounts, f"""SELECT client_slug, identifier, name, 'market_segment=' || segment AS data FROM {_ACC} WHERE client_slug NOT IN ('tenant0', 'tenant1')
         UNION ALL SELECT CASE domain WHEN 'telecom' THEN 'tenant0' ELSE 'tenant1' END, identifier, name, data FROM {_DEMO} WHERE domain IN ('telecom', 'generic')"""),
-    "knowledge_cards": (knowledge_cards, """SELECT client_slug, 'kb_' || left(md5(text), 12) AS document_id, text FROM (SELECT 'tenant' || (item_id % 3) AS client_slug, 'T' || chr(10) || 'Questions:' || chr(10) || '- Q' || item_id || chr(10) || '- another' || chr(10) || 'Tags: a, b' AS text
-        FROM benchmark WHERE item_id % 4 <> 0)"""),
+    "knowledge_cards": (knowledge_cards, """SELECT client_slug, 'kb_' || left(md5(text), 12) AS document_id, text, title, 'learned' AS category, tags FROM (SELECT *, title || chr(10) || 'Questions:' || chr(10) || '- Q' || item_id || chr(10) || '- another' || CASE WHEN tags = '' THEN '' ELSE chr(10) || 'Tags: a, b' END AS text
+        FROM (SELECT item_id, 'tenant' || (item_id % 3) AS client_slug, CASE WHEN item_id % 5 = 0 THEN 'Q' || item_id ELSE 'T' END AS title, CASE WHEN item_id % 6 = 0 THEN '' ELSE 'a,b' END AS tags FROM benchmark WHERE item_id % 4 <> 0))"""),
     "message_flatten": (message_flatten, "SELECT conv_id, turn, md5(CASE WHEN turn % 2 = 0 THEN text ELSE text || text END) AS text_md5 FROM conversations UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, 0, md5('{x}'))" for i, (_, x) in enumerate(_PARTS)) + ") AS f(conv_id, turn, text_md5)"),
     "source_footer": (source_footer, f"""SELECT conv_id, turn, md5({_STRIPPED.format('text')} || CASE WHEN turn % 5 = 0 THEN '' ELSE chr(10) || chr(10) || '📚 *Sources:*' || array_to_string([chr(10) || '  1. a.pdf', chr(10) || '  2. b.json', chr(10) || '  3. c.html'][:least(turn % 5, 3)], '') END) AS answer_md5
         FROM conversations WHERE role = 'assistant'"""),
