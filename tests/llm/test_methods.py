@@ -277,13 +277,26 @@ def test_near_copies_leave_a_node_by_their_leader():
     bits = np.array([np.where(rng.random(128) < 0.05, rng.integers(0, 256, 128, dtype=np.uint8), centre[i % 2]) for i in range(60)])
     links: list = []
     radius = np.zeros(60)
-    leaders = minhash_forest.lead(np.arange(60), bits, radius, 0.8, links)
+    leaders = minhash_forest.lead(np.arange(60), bits, radius, 0.8, links, np.arange(60))
     assert parts_of(60, links) == [i % 2 for i in range(60)] and len(leaders) < 30
     assert radius.max() <= 1 - minhash_forest.NEAR + 1e-9 and (radius > 0).any()
+    assert len(links) == 58
     few = minhash_forest.spanning(60, links)
     assert len(few) == 58 and parts_of(60, few) == [i % 2 for i in range(60)]
 
 
+def test_a_node_of_texts_that_are_somewhat_alike_gives_fewer_links_than_texts():
+    """6,000 texts about 0.85 alike, none near enough to follow another: all pairs are candidates, and a spanning part of them is kept."""
+    rng = np.random.default_rng(6)
+    centre = rng.integers(0, 256, 128, dtype=np.uint8)
+    bits = np.where(rng.random((6000, 128)) < 0.08, rng.integers(0, 256, (6000, 128), dtype=np.uint8), centre)
+    assert 0.8 < minhash_forest.estimate(bits[0], bits[1:]).mean() < 0.9
+    links: list = []
+    root = np.arange(6000)
+    minhash_forest.lead(np.arange(6000), bits, np.zeros(6000), 0.8, links, root)
+    assert len(links) == 5999 and len(set(minhash_forest.found_root(root, np.arange(6000)).tolist())) == 1
+
+
 def test_tries_climb_from_full_depth():
     """Nodes of any prefix are joined as brute force over the last prefix joins them, wherever ranges of sorted paths end."""
     rng = np.random.default_rng(4)

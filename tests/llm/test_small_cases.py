@@ -264,6 +264,8 @@ def test_neighbours(spark):
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
     assert {q: sorted(v) for q, v in got.items()} == {1: [(1, 2, 1.0), (2, 9, 1.0), (3, 3, 0.0)], 9: [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 0.0)]}
     assert ann.nearest(df.where("vec_id = 1"), F.lit(True)).count() == 0
+    lengths = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [1.0, 1.0, 0.0]), (3, [1.0, 0.0]), (4, [1.0, 1.0]), (5, [0.0, 1.0]), (6, [2.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.vec_id) for r in ann.nearest(lengths, F.lit(True), 1).collect()) == [(1, 2), (2, 1), (3, 4), (4, 3), (5, 4)]
     assert ann.nearest(df.where("vec_id = 99"), F.lit(True)).count() == 0
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -173,19 +174,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "
     of their own, and one that more than ``query_block`` queries visit meets them in blocks, so no
     task grows with the table, and copies of a cell with its own queries only.
 
-    Null, empty and zero vectors, vectors with null or non-finite components, vectors whose length
-    isn't the commonest one, and null ids take no part.  Repeated rows count once.  A query's own id
+    Null, empty and zero vectors, vectors with null or non-finite components, and null ids take no part.
+    Vectors of another length are a space of their own, searched in turn (a few lengths are expected).  An
+    empty table gives no rows.  Repeated rows count once.  A query's own id
     is never its neighbour; fewer than ``k`` others give fewer ranks.  Other columns are ignored.
     """
-    spark = vectors.sparkSession
     vec = F.col(vec_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"), is_query.alias("asks")).where(
         F.col("id").isNotNull() & (F.size("vec") > 0)
         & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vec", lambda x: x != 0))
-    common = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = common.n if common else 1
-    rows = rows.where(F.size("vec") == dim).select("id", "vec", "asks", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))
+    lengths = sorted(r.n for r in rows.select(F.size("vec").alias("n")).distinct().collect()) or [1]
+    return reduce(DataFrame.unionByName, (_nearest(rows.where(F.size("vec") == n), n, k, projected, confidence, cell_rows, query_block) for n in lengths))
 
+
+def _nearest(rows: DataFrame, dim: int, k: int, projected: int, confidence: float, cell_rows: int, query_block: int) -> DataFrame:
+    """The search among ``rows(id, vec, asks)`` of one length."""
+    spark = rows.sparkSession
+    rows = rows.select("id", "vec", "asks", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))
     nth = F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("id"))
     small = rows.select("h1", "h2", "id", "vec").withColumn("nth", nth).where(F.col("nth") <= k + 1)
     gauss = projection(dim, projected)

@@ -53,9 +53,10 @@ def restored(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     return df.select(*(new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in columns))
 
 
-def few(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """A staged table as the small side of a join: broadcast if it has ``most`` rows at most, else hashed by its shuffled parts."""
-    return F.broadcast(df) if df.count() <= most else df.hint("shuffle_hash")
+def few(df: DataFrame, most: int = 200_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """A staged table as the small side of a join: broadcast if it has ``most`` rows and ``most_bytes`` of files at most, else hashed by its shuffled parts."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most_bytes and df.count() <= most else df.hint("shuffle_hash")
 
 
 def _file_system(spark: SparkSession, path: str):

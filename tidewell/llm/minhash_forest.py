@@ -93,9 +93,31 @@ def floor_at(similarity: np.ndarray | float, n_hashes: int = TREES * DEPTH) -> n
     return similarity - SLACK * np.sqrt(similarity * (1 - similarity) / n_hashes)
 
 
-def lead(rows: np.ndarray, bits: np.ndarray, radius: np.ndarray, threshold: float, links: list[tuple[int, int]]) -> np.ndarray:
+def found_root(root: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """The root of each item's component; ``root`` then leads there at once."""
+    at = root[items]
+    while (up := root[at]).tolist() != at.tolist():
+        at = up
+    root[items] = at
+    return at
+
+
+def joined(root: np.ndarray, first: int, others: np.ndarray) -> list[tuple[int, int]]:
+    """Joins the components of ``others`` to that of ``first``; one link to each that was apart."""
+    if not len(others):
+        return []
+    own = int(found_root(root, np.array([first]))[0])
+    apart, at = np.unique(found_root(root, others), return_index=True)
+    new = apart != own
+    root[apart[new]] = own
+    return [(first, x) for x in others[at[new]].tolist()]
+
+
+def lead(rows: np.ndarray, bits: np.ndarray, radius: np.ndarray, threshold: float, links: list[tuple[int, int]], root: np.ndarray) -> np.ndarray:
     """The leaders among a node's ``rows``; ``links`` gets what joins each of them to its candidates.
 
+    ``root`` holds the components so far; only what joins two of them is a link, so there are fewer links than texts.
+
     A text within NEAR of a leader, all that it leads included, follows it and is compared no further.
     ``radius`` is the estimated distance of a leader's farthest follower: leaders are joined if texts
     that they lead could be within the threshold.  So a node of near copies costs one pass, and one
@@ -111,7 +133,7 @@ def lead(rows: np.ndarray, bits: np.ndarray, radius: np.ndarray, threshold: floa
             radius[first] = max(radius[first], float(reach[near].max()))
         around = radius[first] + radius[rows]
         low = floor_at(threshold - around - np.where(around > 0, SPARE, 0.0))
-        links += [(int(first), int(x)) for x in rows[near | (est >= low)]]
+        links += joined(root, int(first), rows[near | (est >= low)])
         leaders.append(first)
         rows = rows[~near]
     return np.array(leaders, np.int64)
@@ -138,6 +160,7 @@ def climb(paths: np.ndarray, bits: np.ndarray, length: int, threshold: float = T
     Returns links (row pairs), the rows that lead at the end, and the radius of every row.
     """
     alive, radius = np.arange(len(paths)), np.zeros(len(paths)) if radius is None else radius
+    root = np.arange(len(paths))
     links: list[tuple[int, int]] = []
     for depth in range(paths.shape[1], length - 1, -1):
         cuts = np.flatnonzero((paths[alive[1:], :depth] != paths[alive[:-1], :depth]).any(1)) + 1
@@ -145,7 +168,7 @@ def climb(paths: np.ndarray, bits: np.ndarray, length: int, threshold: float = T
         several = np.flatnonzero(ends - starts > 1)
         stay = np.ones(len(alive), bool)
         for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
-            stay[a:b] = np.isin(alive[a:b], lead(alive[a:b], bits, radius, threshold, links))
+            stay[a:b] = np.isin(alive[a:b], lead(alive[a:b], bits, radius, threshold, links, root))
         alive = alive[stay]
     return links, alive, radius
 
@@ -315,7 +338,7 @@ def proposed_links(tries: DataFrame, own: DataFrame, length: int, threshold: flo
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["key"]):
             ids, links = group["id"].to_numpy(), []
-            lead(np.arange(len(ids)), _bit_rows(group["bits"]), group["radius"].to_numpy().copy(), threshold, links)
+            lead(np.arange(len(ids)), _bit_rows(group["bits"]), group["radius"].to_numpy().copy(), threshold, links, np.arange(len(ids)))
             if links:
                 yield _links_batch([(ids[i], ids[j]) for i, j in spanning(len(ids), links)])
 
