@@ -51,3 +51,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
         found = f"file://{tempfile.mkdtemp(prefix='tidewell-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder, so that its lineage ends there."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
+    return df.checkpoint()

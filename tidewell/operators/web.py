@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import urls as u
-from tidewell.operators.sizes import checkpoint_folder
+from tidewell.operators.sizes import cut
 
 #: Characters that a curated page has at least.
 MIN_CHARS = 200
@@ -29,27 +29,18 @@ def depths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
     The frontier loses visited nodes by an anti join; lineage is cut every level.  The search ends when
     a level finds no new node, or after ``max_depth`` levels if that is given.
     """
-    from pyspark.sql import SparkSession
-
-    spark: SparkSession = edges.sparkSession
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         following = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        following = _cut(spark, following.withColumn("depth", F.lit(depth)))
+        following = cut(following.withColumn("depth", F.lit(depth)))
         if following.isEmpty():
             break
-        seen = _cut(spark, seen.unionByName(following))
+        seen = cut(seen.unionByName(following))
         frontier = following
     return seen
 
 
-def _cut(spark, df: DataFrame) -> DataFrame:
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
-    return df.checkpoint()
-
-
 def found_on(edges: DataFrame) -> DataFrame:
     """Each PDF with the sorted pages that link to it."""
     return edges.where("kind = 'pdf'").groupBy("dst").agg(F.sort_array(F.collect_set("src")).alias("found_on"))

@@ -23,12 +23,22 @@ def _of(column: str, n: int | None) -> Column:
     return F.col(column) % 100 == 0 if n is None else F.col(column) < n
 
 
-_indexes: dict[tuple[str, str], str] = {}
+_indexes: dict[tuple[str, ...], str] = {}
+
+
+def _fingerprint(spark: SparkSession, path: str) -> str:
+    """The names, lengths and times of a table's files: another table, or the same one changed, has another."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return repr(sorted(found))
 
 
 def keyword_index(spark: SparkSession, d: str) -> r.KeywordIndex:
-    """The index of ``documents``, written once for a session and table and read from there on."""
-    key = spark.sparkContext.applicationId, d
+    """The index of ``documents`` as it is now, written once for a session and state of the table."""
+    key = spark.sparkContext.applicationId, _fingerprint(spark, f"{d}/documents.parquet")
     if key not in _indexes:
         path = f"{checkpoint_folder(spark)}/tidewell-bm25-{uuid.uuid4().hex}"
         r.write_keyword_index(_T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), path)

@@ -29,6 +29,8 @@ FAN_OUT = 4
 #: Commits whose batch names a manifest remembers.
 KEPT_BATCHES = 10_000
 BUCKETS = 64
+#: Differences of a term's document frequency, and bounds of its occurrences that hold for all parts.
+TERMS = "term string, df long, tf_most long, dl_least int, bucket int"
 #: What no published version names is left alone for so long, as its commit may still be under way.
 UNPUBLISHED_HOURS = 24
 
@@ -269,8 +271,8 @@ class Collections:
         return self._live(snap, self._table(snap, "postings", snap.segments, f"term string, chunk_id {self._id_type(snap)}, tf long, dl int, bucket int"))
 
     def _frequencies(self, snap: Snapshot) -> DataFrame:
-        parts = self._table(snap, "terms", snap.terms, "term string, df long, bucket int")
-        return parts.groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df > 0")
+        parts = self._table(snap, "terms", snap.terms, TERMS)
+        return _summed(parts).where("df > 0")
 
     def _index(self, snap: Snapshot, config: EngineConfig) -> retrieval.KeywordIndex:
         if not snap.schema:
@@ -279,7 +281,7 @@ class Collections:
         raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         by_df = self._table(snap, "histograms", snap.histograms, "df long, terms long").groupBy("df").agg(F.sum("terms").alias("terms")).where("terms > 0")
         mean = by_df.agg((F.sum(raw * F.col("terms")) / F.sum("terms")).alias("mean"))  # one row
-        terms = self._frequencies(snap).crossJoin(F.broadcast(mean)).select("term", "df", F.when(raw < 0, config.bm25_epsilon * F.col("mean")).otherwise(raw).alias("idf"), "bucket")
+        terms = self._frequencies(snap).crossJoin(F.broadcast(mean)).select("term", "df", F.when(raw < 0, config.bm25_epsilon * F.col("mean")).otherwise(raw).alias("idf"), "tf_most", "dl_least", "bucket")
         totals = self.spark.createDataFrame([(snap.texts, snap.words / max(1, snap.texts))], "n long, avgdl double")
         return retrieval.KeywordIndex(self._postings(snap).select("term", "chunk_id", "tf", "dl", "bucket"), terms, totals, self.buckets)
 
@@ -348,18 +350,18 @@ class Collections:
             taken = self._table(old, "rows", old.segments, _ddl(old.schema)).join(ids, (F.col("segment") == F.col("of")) & (F.col("chunk_id") == F.col("gone_id")), "left_semi")
             counted = self._texts(taken).select(F.size(retrieval.tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
             rows, texts, words = rows - gone[0]["n"], texts - counted.n, words - counted.words
-            fewer = retrieval.counted_words(self._texts(taken), self.buckets).groupBy("bucket", "term").agg((-F.count(F.lit(1))).alias("df"))
+            fewer = retrieval.counted_words(self._texts(taken), self.buckets).groupBy("bucket", "term").agg((-F.count(F.lit(1))).alias("df"), F.lit(None).cast("long").alias("tf_most"), F.lit(None).cast("int").alias("dl_least"))
         if added is not None:
             new = self._table(old, "rows", [added], _ddl(old.schema))
             postings = self._write_postings(old, retrieval.counted_words(self._texts(new), self.buckets), added["id"])
             rows, texts, words = rows + added["n"], texts + self._texts(new).count(), words + (postings.agg(F.sum("tf")).first()[0] or 0)
-            more = postings.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+            more = postings.groupBy("bucket", "term").agg(*retrieval.bounds())
         differences = fewer.unionByName(more) if fewer is not None and more is not None else fewer if fewer is not None else more
         terms = histograms = []
         if differences is not None:
-            terms = self._part(old, "terms", differences.groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df <> 0"), by_bucket=True)
+            terms = self._part(old, "terms", _summed(differences).where("df <> 0 OR tf_most IS NOT NULL"), by_bucket=True)
         if terms:
-            touched = self._table(old, "terms", terms, "term string, df long, bucket int").select("bucket", "term", F.col("df").alias("by"))
+            touched = self._table(old, "terms", terms, TERMS).where("df <> 0").select("bucket", "term", F.col("df").alias("by"))
             known = self._frequencies(old).join(touched, ["bucket", "term"], "right").select(F.coalesce("df", F.lit(0)).alias("was"), "by")
             moves = known.select(F.explode(F.array(F.struct(F.col("was").alias("df"), F.lit(-1).alias("terms")), F.struct((F.col("was") + F.col("by")).alias("df"), F.lit(1).alias("terms")))).alias("m"))
             histograms = self._part(old, "histograms", moves.select("m.*").where("df > 0").groupBy("df").agg(F.sum("terms").alias("terms")).where("terms <> 0").coalesce(1))
@@ -378,7 +380,7 @@ class Collections:
             gone = self._table(old, "gone", old.gone, f"of string, gone_id {self._id_type(old)}").drop("segment").where(~F.col("of").isin(merged))
             new = replace(new, segments=[*rest("segments"), {"id": name, "n": n}], gone=self._part(old, "gone", gone) if old.gone else [])
         if due["terms"]:
-            summed = self._table(old, "terms", due["terms"], "term string, df long, bucket int").groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df <> 0")
+            summed = _summed(self._table(old, "terms", due["terms"], TERMS)).where("df <> 0 OR tf_most IS NOT NULL")
             new = replace(new, terms=[*rest("terms"), *self._part(old, "terms", summed, by_bucket=True)])
         if due["histograms"]:
             summed = self._table(old, "histograms", due["histograms"], "df long, terms long").groupBy("df").agg(F.sum("terms").alias("terms")).where("terms <> 0")
@@ -386,6 +388,10 @@ class Collections:
         return new
 
 
+def _summed(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.max("tf_most").alias("tf_most"), F.min("dl_least").alias("dl_least"))
+
+
 def _crowded(parts: list[dict]) -> list[dict]:
     """The parts of the smallest size class that has ``FAN_OUT`` or more of them."""
     classes: dict[int, list[dict]] = {}
