@@ -18,7 +18,13 @@ BUCKETS = 16
 
 
 def _store(spark: SparkSession) -> Collections:
-    return Collections(spark, f"{checkpoint_folder(spark)}/tidewell-collections-{uuid.uuid4().hex}", BUCKETS)
+    """A store of its own, which goes when the driver ends."""
+    root = f"{checkpoint_folder(spark)}/tidewell-collections-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return Collections(spark, root, BUCKETS)
 
 
 def _rows(spark: SparkSession, d: str, content_type: str) -> DataFrame:

@@ -48,6 +48,25 @@ def link_bfs_depth_whole(spark, d):
     return link_bfs_depth(spark, d, spark.read.parquet(f"{d}/pages.parquet").count())
 
 
+def linked_pages(spark, d):
+    """Pages with a link to another page of the table before their own links, and one after them."""
+    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html")
+    n = p.count()  # a number
+    own = F.concat(F.lit('<a href="'), "url", F.lit('">x</a>'))
+    for times, more, name in ((7, 3, "before"), (3, 1, "after")):
+        other = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias(f"{name}_id"), own.alias(name))
+        p = p.join(other, (F.col("page_id") * times + more) % n == F.col(f"{name}_id"))
+    return p.select("page_id", "url", F.concat("before", "html", "after").alias("html")), n
+
+
+def crawl_budget(spark, d):
+    """From every hundredth page, without one of three top domains: the first visits, half as many as there are pages."""
+    pages, n = linked_pages(spark, d)
+    seeds = pages.where("page_id % 100 = 0").select("url", F.col("page_id").alias("seed_no"))
+    done = web.crawl(pages, seeds, lambda domain: ~F.endswith(domain, F.lit(".org")), n // 2)
+    return done.visited.withColumn("truncated", F.lit(done.truncated))
+
+
 def curation_status(spark, d):
     text = F.regexp_replace("html", "<[^>]*>", "")
     return web.curation(_pages(spark, d).select("page_id", "url", text.alias("text"))).select("page_id", "status", "category", "slug")
@@ -73,6 +92,8 @@ _IS_PAGE = "(regexp_extract(lower(" + _PATH + r"), '\.([a-z0-9]+)$', 1) NOT IN "
 _KEEP = f"NOT regexp_matches(coalesce(nullif({_PATH.format('url')}, ''), '/'), '{u.HTML_DROP}')"
 _KEEP_PDF = "NOT (" + " OR ".join(f"contains(lower({_PATH.format('url')}), '{p}')" for p in u.PDF_DROP) + ")"
 _CAT = f"coalesce(list_filter(string_split({_PATH.format('url')}, '/'), lambda p: p <> '')[1], 'general')"
+_FULL = f"""ful AS (SELECT url, pos, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN string_split(url, ':')[1] || ':' || href WHEN starts_with(href, '/') THEN {_SITE.format('url')} || href
+     ELSE {_SITE.format('url')} || coalesce(nullif(regexp_replace({_PATH.format('url')}, '[^/]*$', ''), ''), '/') || href END AS target FROM raw)"""
 _LINKS = f"""raw AS (SELECT url, unnest(list_filter(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1), lambda h: h <> '' AND NOT regexp_matches(h, '(?i)^(mailto:|tel:|javascript:|#)'))) AS href FROM {_PAGES}),
   ful AS (SELECT url, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN string_split(url, ':')[1] || ':' || href WHEN starts_with(href, '/') THEN {_SITE.format('url')} || href
      ELSE {_SITE.format('url')} || coalesce(nullif(regexp_replace({_PATH.format('url')}, '[^/]*$', ''), ''), '/') || href END AS target FROM raw),
@@ -88,6 +109,21 @@ QUERIES = {
     "pdf_found_on": (pdf_found_on, f"WITH {_LINKS} SELECT dst, array_to_string(list_sort(list(DISTINCT src)), ' ') AS found_on FROM kin WHERE kind = 'pdf' GROUP BY 1"),
     "link_bfs_depth": (link_bfs_depth, f"""WITH RECURSIVE p AS (SELECT page_id, {_DOM.format('url')} AS host FROM pages), e AS (SELECT 'p' || page_id AS src, host AS dst FROM p UNION SELECT host, 'p' || ((page_id * 7 + 3) % 250) FROM p),
         r AS (SELECT 'p0' AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 50) SELECT node, min(depth)::INT AS depth FROM r GROUP BY 1"""),
+    "crawl_budget": (crawl_budget, f"""WITH RECURSIVE big AS (SELECT p.url, '<a href="' || b.url || '">x</a>' || p.html || '<a href="' || a.url || '">x</a>' AS html, p.page_id FROM pages p
+            JOIN pages b ON (p.page_id * 7 + 3) % (SELECT count(*) FROM pages) = b.page_id JOIN pages a ON (p.page_id * 3 + 1) % (SELECT count(*) FROM pages) = a.page_id),
+        one AS (SELECT {_norm('url')} AS url, min_by(html, url) AS html FROM big GROUP BY 1),
+        hrefs AS (SELECT url, list_filter(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1), lambda h: h <> '' AND NOT regexp_matches(h, '(?i)^(mailto:|tel:|javascript:|#)')) AS l FROM one),
+        raw AS (SELECT url, unnest(l) AS href, unnest(range(len(l))) AS pos FROM hrefs),
+        {_FULL}, tos AS (SELECT url AS src, {_norm('target')} AS dst, min(pos) AS pos FROM ful GROUP BY 1, 2),
+        e AS (SELECT * FROM tos WHERE dst <> '' AND NOT ends_with({_DOM.format('dst')}, '.org') AND NOT regexp_matches(dst, '(?i)[?&]page=') AND NOT {_IS_PDF.format('dst')} AND {_IS_PAGE.format('dst')}
+            AND NOT ends_with({_DOM.format('src')}, '.org') AND NOT regexp_matches(src, '(?i)[?&]page=')),
+        seeds AS (SELECT url AS node, row_number() OVER (ORDER BY no, url) AS ord FROM (SELECT {_norm('url')} AS url, min(page_id) AS no FROM pages WHERE page_id % 100 = 0 GROUP BY 1)),
+        r AS (SELECT node, 0 AS depth FROM seeds UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 12), dep AS (SELECT node, min(depth) AS depth FROM r GROUP BY 1),
+        o AS (SELECT node, 0 AS depth, ord FROM seeds UNION ALL SELECT dst, depth + 1, row_number() OVER (ORDER BY k) FROM (SELECT e.dst, o.depth, min({{'a': o.ord, 'b': e.pos, 'c': e.dst}}) AS k
+            FROM o JOIN e ON e.src = o.node JOIN dep ON dep.node = e.dst AND dep.depth = o.depth + 1 GROUP BY 1, 2)),
+        v AS (SELECT node AS url, depth, row_number() OVER (ORDER BY depth, ord) AS visit_no, count(*) OVER () AS n FROM o)
+        SELECT v.url, visit_no, depth, CASE WHEN ends_with({_DOM.format('v.url')}, '.org') THEN 'offsite' WHEN regexp_matches(v.url, '(?i)[?&]page=') THEN 'skipped' WHEN one.url IS NULL THEN 'missing' ELSE 'page' END AS status,
+            n > (SELECT count(*) // 2 FROM pages) AS truncated FROM v LEFT JOIN one ON one.url = v.url WHERE visit_no <= (SELECT count(*) // 2 FROM pages)"""),
     "link_bfs_depth_whole": (link_bfs_depth_whole, None),
     "curation_status": (curation_status, f"SELECT page_id, {_STATUS} AS status, {_CAT} AS category, left(sha1(url), 16) AS slug FROM {_PAGES}"),
     "curation_counts": (curation_counts, f"SELECT status, count(*) AS n, count(DISTINCT category) AS n_categories FROM (SELECT {_STATUS} AS status, {_CAT} AS category FROM {_PAGES}) GROUP BY 1"),
