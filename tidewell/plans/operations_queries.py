@@ -148,9 +148,9 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
     return e.join(_R(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id", "full_outer")
 
 
-def _asked(spark: SparkSession, d: str, n: int = 10) -> DataFrame:
-    """The vectors of the first numbers ask for benchmark items; replies are the next item."""
-    b = _R(spark, d, "benchmark").where(F.col("item_id") < n)
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item, asked with the vector of its number; replies are the next item."""
+    b = _R(spark, d, "benchmark")
     other = b.select((F.col("item_id") - 1).alias("o_id"), F.col("text").alias("reply"))
     v = _R(spark, d, "embeddings").select(F.col("vec_id").alias("v_id"), F.col("embedding").alias("query_vec"))
     return b.join(other, F.col("item_id") == F.col("o_id"), "left").join(v, F.col("item_id") == F.col("v_id")).select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), "query_vec", "reply")
@@ -158,13 +158,13 @@ def _asked(spark: SparkSession, d: str, n: int = 10) -> DataFrame:
 
 def _retrieved(mode, **settings):
     def query(spark, d):
-        return assistant.retrieved(_asked(spark, d), _typed(spark, d), rq.keyword_index(spark, d), 5, mode=mode, **settings).select("query_id", "chunk_id", "rank", F.round("hybrid_score", 5).alias("hybrid_score"))
+        return assistant.retrieved(_asked(spark, d), _typed(spark, d), rq.keyword_index(spark, d), 5, mode=mode, **settings).select("query_id", "chunk_id", "rank", F.round(F.col("hybrid_score") + 2.5e-7, 5).alias("hybrid_score"))
     return query
 
 
 def multi_query_retrieval(spark, d):
-    """Vectors 3i, 3i+1 and 3i+2 are the variations of question i; the first is the original where i is even."""
-    e = _R(spark, d, "embeddings").where("vec_id < 30")
+    """Vectors 3i, 3i+1 and 3i+2 are the variations of question i, every one divisible by 100; the first is the original where i is even."""
+    e = _R(spark, d, "embeddings").where(F.floor(F.col("vec_id") / 3) % 100 == 0)
     q = F.floor(F.col("vec_id") / 3).cast("long")
     variations = e.select(q.alias("query_id"), (F.col("vec_id") % 3).alias("variant_no"), F.concat(F.lit("Plan "), q, F.lit("-"), F.col("vec_id") % 3).alias("variant"),
                           F.concat(F.lit("PLAN "), q, F.when(q % 2 == 0, "-0").otherwise("-9")).alias("original"), F.col("embedding").alias("query_vec"))
@@ -172,10 +172,10 @@ def multi_query_retrieval(spark, d):
 
 
 def gap_self_heal(spark, d):
-    """Vectors below 200 are open gaps of eight tenants; those with another vector within the threshold are healed."""
-    gaps = _R(spark, d, "embeddings").where("vec_id < 200").select(F.concat(F.lit("t"), F.col("vec_id") % 8).alias("client_slug"), F.col("vec_id").alias("position"), F.col("embedding").alias("query_vec"))
+    """Vectors of every hundredth number are open gaps of three tenants; those with another vector within the threshold are healed."""
+    gaps = _R(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.concat(F.lit("t"), F.col("vec_id") % 3).alias("client_slug"), F.col("vec_id").alias("position"), F.col("embedding").alias("query_vec"))
     near = retrieval.knn(gaps.select(F.col("position").alias("query_id"), "query_vec"), rq._vectors(spark, d), 1, exclude_self=True).where("distance <= 1.2")
-    healed = near.select(F.concat(F.lit("t"), F.col("query_id") % 8).alias("client_slug"), F.col("query_id").alias("position"))
+    healed = near.select(F.concat(F.lit("t"), F.col("query_id") % 3).alias("client_slug"), F.col("query_id").alias("position"))
     return assistant.open_gaps(gaps.drop("query_vec"), healed)
 
 
@@ -188,14 +188,12 @@ def index_statistics(spark, d):
 
 
 def active_sessions(spark, d):
-    """Users who were active in the half hour before the middle of every day."""
+    """Users who were active in the half hour before the middle of every day that has events."""
     e = _R(spark, d, "events")
-    days = [x[0] for x in e.select(F.to_date("ts").alias("day")).distinct().orderBy("day").limit(5).collect()]
-    out = None
-    for day in days:
-        one = feeds.active_sessions(e, F.lit(f"{day} 12:00:00").cast("timestamp")).select(F.lit(str(day)).alias("day"), "n_active")
-        out = one if out is None else out.unionByName(one)
-    return out
+    day = F.to_date("ts")
+    active = feeds.active_by(e.withColumn("at", day.cast("timestamp") + F.expr("INTERVAL 12 HOURS")), "at")
+    days = e.select(day.alias("day")).distinct()
+    return days.join(active, F.col("day") == F.to_date("at"), "left").select(F.col("day").cast("string").alias("day"), F.coalesce("n_active", F.lit(0).cast("long")).alias("n_active"))
 
 
 def command_messages(spark, d):
@@ -238,7 +236,7 @@ def _retrieved_sql(said: str) -> str:
         FROM embeddings e, q QUALIFY r0 <= 50) WHERE label <> 1) WHERE best <= 1.55 AND (distance <= 1.3 OR rank <= 1)"""
     words = lambda c: rf"list_distinct(list_filter(regexp_split_to_array(lower({c}), '\s+'), lambda w: w <> ''))"
     return rf"""WITH {rq._BM25},
-q AS MATERIALIZED (SELECT b.item_id AS query_id, b.text AS query_text, o.text AS reply, e.embedding AS vec FROM benchmark b LEFT JOIN benchmark o ON o.item_id = b.item_id + 1 AND o.item_id < 10 JOIN embeddings e ON e.vec_id = b.item_id WHERE b.item_id < 10),
+q AS MATERIALIZED (SELECT b.item_id AS query_id, b.text AS query_text, o.text AS reply, e.embedding AS vec FROM benchmark b LEFT JOIN benchmark o ON o.item_id = b.item_id + 1 JOIN embeddings e ON e.vec_id = b.item_id),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower({said}), '[\p{{L}}\p{{N}}_]+')) AS term FROM q) GROUP BY ALL),
 sc AS (SELECT query_id, doc_id AS chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25_score
        FROM (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM tok) GROUP BY 1, 2, 3) x JOIN qt USING (term) JOIN idfs USING (term), tot GROUP BY 1, 2),
@@ -246,7 +244,7 @@ bm AS (SELECT query_id, chunk_id, bm25_score, row_number() OVER (PARTITION BY qu
 {rq._fuse_sql(near)},
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, chunk_id) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM fused WHERE query_id IN (SELECT query_id FROM near) QUALIFY rank <= 50),
 z AS (SELECT c.query_id, c.chunk_id, c.hybrid_score, c.rank AS r0, least(n, 50) AS n, round(len(list_intersect({words('query_text')}, {words("coalesce(d.text, '')")})) / greatest(1, len({words('query_text')})), 6) AS s FROM c JOIN q ON q.query_id = c.query_id LEFT JOIN documents d ON d.doc_id = c.chunk_id)
-SELECT query_id, chunk_id, CASE WHEN n > 5 THEN row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) ELSE r0 END AS rank, round(hybrid_score, 5) AS hybrid_score FROM z QUALIFY rank <= 5"""
+SELECT query_id, chunk_id, CASE WHEN n > 5 THEN row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) ELSE r0 END AS rank, round(hybrid_score + 2.5e-7, 5) AS hybrid_score FROM z QUALIFY rank <= 5"""
 
 
 _GUARDED = rf"CASE WHEN {_STRIPPED.format("coalesce(reply, '')")} = '' OR length({_STRIPPED.format("coalesce(reply, '')")}) > 3 * length(query_text) THEN query_text ELSE {_STRIPPED.format("coalesce(reply, '')")} END"
@@ -292,12 +290,12 @@ QUERIES = {
     "rewritten_retrieval": (_retrieved("rewrite"), _retrieved_sql(_GUARDED)),
     "multi_query_retrieval": (multi_query_retrieval, f"""SELECT query_id, chunk_id, rrf_score, appearances, best_rank FROM (
         SELECT query_id // 3 AS query_id, chunk_id, round(sum((CASE WHEN query_id % 3 = 0 AND (query_id // 3) % 2 = 0 THEN 1.5 ELSE 1.0 END)::DOUBLE / (60 + rank - 1)), 6) AS rrf_score, count(*) AS appearances, min(rank - 1) AS best_rank
-        FROM ({rq._knn_sql(30, 10)}) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) <= 6"""),
-    "gap_self_heal": (gap_self_heal, f"SELECT 't' || (vec_id % 8) AS client_slug, vec_id AS position FROM embeddings WHERE vec_id < 200 AND vec_id NOT IN (SELECT query_id FROM ({rq._knn_sql(200, 1, 'e.vec_id <> q.vec_id')}) WHERE distance <= 1.2)"),
+        FROM ({rq._knn_sql(1 << 60, 10, '(q.vec_id // 3) % 100 = 0')}) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) <= 6"""),
+    "gap_self_heal": (gap_self_heal, f"SELECT 't' || (vec_id % 3) AS client_slug, vec_id AS position FROM embeddings WHERE vec_id % 100 = 0 AND vec_id NOT IN (SELECT query_id FROM ({rq._knn_sql(1 << 60, 1, 'e.vec_id <> q.vec_id AND q.vec_id % 100 = 0')}) WHERE distance <= 1.2)"),
     "index_statistics": (index_statistics, """WITH c AS (SELECT coalesce(source, 'none') AS client_slug, coalesce(lang, 'none') AS document_id, doc_id, text, vec_id FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
         p AS (SELECT client_slug, md5(string_agg(left(text, 100), '|' ORDER BY doc_id)) AS previews_md5 FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY client_slug ORDER BY doc_id) <= 50) GROUP BY 1)
         SELECT client_slug, count(DISTINCT document_id) AS n_files, count(*) AS n_chunks, count(vec_id) AS n_embeddings, any_value(previews_md5) AS previews_md5 FROM c JOIN p USING (client_slug) GROUP BY 1"""),
     "active_sessions": (active_sessions, """SELECT strftime(day, '%Y-%m-%d') AS day, count(DISTINCT user_id) FILTER (WHERE ts <= day + INTERVAL 12 HOURS AND ts > day + INTERVAL 690 MINUTES) AS n_active
-        FROM (SELECT DISTINCT date_trunc('day', ts) AS day FROM events ORDER BY 1 LIMIT 5), events GROUP BY 1"""),
+        FROM (SELECT DISTINCT date_trunc('day', ts) AS day FROM events), events GROUP BY 1"""),
     "command_messages": (command_messages, "SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'help' WHEN turn % 4 = 2 THEN 'clear' WHEN lower(trim(text)) IN ('help', '/help') THEN 'help' END AS command FROM conversations WHERE role = 'user'"),
 }

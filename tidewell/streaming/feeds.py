@@ -51,3 +51,9 @@ def active_sessions(events: DataFrame, at: Column, *, key: str = "user_id", minu
     """``(n_active)``: keys with an event in the last ``minutes`` before ``at``."""
     when = F.col("ts").cast("timestamp")
     return events.where((when <= at) & (when > at - F.expr(f"INTERVAL {minutes} MINUTES"))).agg(F.count_distinct(key).alias("n_active"))
+
+
+def active_by(events: DataFrame, at: str, *, key: str = "user_id", minutes: int = DEFAULT.session_minutes) -> DataFrame:
+    """``(<at>, n_active)``: the same for many moments in one pass; each event names the moment that it may count for in ``at``."""
+    when = F.col("ts").cast("timestamp")
+    return events.where((when <= F.col(at)) & (when > F.col(at) - F.expr(f"INTERVAL {minutes} MINUTES"))).groupBy(at).agg(F.count_distinct(key).alias("n_active"))
