@@ -48,11 +48,15 @@ def nested_metadata_filter(spark, d):
     return _R(spark, d, "events").where(j.matches(wrapped, {"meta.k": 7, "meta.kind": "click"})).select("event_id")
 
 
-_REPLIES = """SELECT * FROM (VALUES (1, 'Sure: {"emotion": "angry", "intensity": 9, "wants_human": true} ok'), (2, '{"emotion": "bored", "intensity": 2}'), (3, 'no json'), (4, '{"emotion":"happy"}')) AS r(reply_id, reply)"""
+MOODS = ("neutral", "happy", "confused", "frustrated", "angry", "bored")
 
 
 def mood_replies(spark, d):
-    return spark.sql(_REPLIES).select("reply_id", j.mood_reply(F.col("reply")).alias("m")).select("reply_id", "m.emotion", "m.intensity", "m.wants_human")
+    """A model's reply to every message: moods in turn, one of them unknown, intensities from 0 to 8; every fifth reply is the message itself."""
+    c = _R(spark, d, "conversations")
+    mood = F.get(F.array(*map(F.lit, MOODS)), (F.col("conv_id") % 6).cast("int"))
+    stated = F.concat(F.lit('Sure: {"emotion": "'), mood, F.lit('", "intensity": '), F.col("conv_id") % 9, F.lit(', "wants_human": '), (F.col("turn") % 2 == 0).cast("string"), F.lit("}\nok"))
+    return c.select("conv_id", "turn", j.mood_reply(F.when(F.col("turn") % 5 == 0, F.replace("text", F.lit("{"), F.lit(""))).otherwise(stated)).alias("m")).select("conv_id", "turn", "m.emotion", "m.intensity", "m.wants_human")
 
 
 def rewrite_guard(spark, d):
@@ -63,11 +67,12 @@ def rewrite_guard(spark, d):
     return b.join(other, "item_id", "left").select("item_id", F.md5(said.cast("binary")).alias("said_md5"))
 
 
-_VAR = "SELECT * FROM (VALUES (1, 'data plans', '1. cheap data plans' || chr(10) || '2) Cheap Data Plans' || chr(10) || '3- \"monthly data\"' || chr(10) || 'x' || chr(10) || 'roaming packages'), (2, 'Fees now', '1. fees NOW' || chr(10) || '2. what is due'), (3, 'q', '')) AS v(query_id, query, reply)"
-
-
 def variations_parse(spark, d):
-    return spark.sql(_VAR).select("query_id", F.array_join(models.query_variations(F.col("query"), F.col("reply"), 3), "|").alias("variations"))
+    """Variations of a question for every message: numbered, quoted, repeated in capitals, too short, the question itself; every third reply is empty."""
+    c = _R(spark, d, "conversations")
+    query, n = F.concat(F.lit("Plan "), F.col("conv_id")), F.col("turn")
+    reply = F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("1. more about "), n, F.lit("\n2) MORE About "), n, F.lit("\n\n3- \"best of "), n, F.lit("\"\nx\n4. plan "), F.col("conv_id"), F.lit("\nlast "), n))
+    return c.select("conv_id", "turn", F.array_join(models.query_variations(query, reply, 3), "|").alias("variations"))
 
 
 def topic_chunks(spark, d):
@@ -130,11 +135,12 @@ QUERIES = {
         SELECT p_partkey, md5(concat_ws(chr(10), CASE WHEN p_partkey % 11 <> 0 THEN '📦 ' || p_name END, 'Category: ' || c || {_CATW}, '💰 Price: LKR ' || price || chr(10) || CASE WHEN price < 500 THEN '{j.PRICE_TIERS[0][1]}' WHEN price < 1500 THEN '{j.PRICE_TIERS[1][1]}' ELSE '{j.PRICE_TOP}' END,
         '⏱️ Validity: ' || CASE days WHEN 1 THEN '{j.VALIDITY[1]}' WHEN 7 THEN '{j.VALIDITY[7]}' WHEN 30 THEN '{j.VALIDITY[30]}' ELSE days || ' days' END, '🏷️ Features: ' || {_TAG_SQL}) || chr(10) || chr(10) || repeat('=', 60) || chr(10) || chr(10) || p_type) AS enriched_md5 FROM p"""),
     "nested_metadata_filter": (nested_metadata_filter, "SELECT event_id FROM events WHERE event_id % 2 <> 0 AND (props->>'$.k') = '7' AND event_type = 'click'"),
-    "mood_replies": (mood_replies, "SELECT * FROM (VALUES (1, 'angry', 5, true), (2, 'neutral', 2, false), (3, 'neutral', 1, false), (4, 'happy', 1, false)) AS r(reply_id, emotion, intensity, wants_human)"),
+    "mood_replies": (mood_replies, """SELECT conv_id, turn, CASE WHEN turn % 5 = 0 OR conv_id % 6 = 5 THEN 'neutral' ELSE ['neutral', 'happy', 'confused', 'frustrated', 'angry'][conv_id % 6 + 1] END AS emotion,
+        CASE WHEN turn % 5 = 0 THEN 1 ELSE greatest(least(conv_id % 9, 5), 1) END::INT AS intensity, turn % 5 <> 0 AND turn % 2 = 0 AS wants_human FROM conversations"""),
     "rewrite_guard": (rewrite_guard, r"""SELECT b.item_id, md5(CASE WHEN coalesce(s, '') = '' OR length(s) > 3 * length(asked) THEN asked ELSE s END) AS said_md5
         FROM (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN string_split(text, ' ')[1] ELSE text END AS asked FROM benchmark) b
         LEFT JOIN (SELECT item_id + 1 AS item_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM benchmark) o ON b.item_id = o.item_id"""),
-    "variations_parse": (variations_parse, "SELECT * FROM (VALUES (1, 'data plans|cheap data plans|monthly data|roaming packages'), (2, 'fees NOW|what is due'), (3, 'q')) AS v(query_id, variations)"),
+    "variations_parse": (variations_parse, "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Plan ' || conv_id ELSE 'more about ' || turn || '|best of ' || turn || '|plan ' || conv_id || '|last ' || turn END AS variations FROM conversations"),
     "topic_chunks": (topic_chunks, None),
     "topic_chunk_stats": (topic_chunk_stats, None),
     "parent_child_chunks": (parent_child_chunks, None),
