@@ -199,3 +199,30 @@ def test_pipeline_stage_by_stage(spark, sf, docs):
     assert length == {k: len(library.encode(x, add_special_tokens=False).ids) + 1 for k, x in now.items()}
 
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_packing_as_registered(spark, sf, docs):
+    """Every id of every document in one piece, by the library's own ids; sequences without gaps, each as long as a power of two."""
+    from zlib import crc32
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces, sequences = {}, {}
+    for r in q.op8_packing(spark, sf).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert pieces.keys() == docs.keys()
+    for k, d in docs.items():
+        ids = np.array([*library.encode(d.text or "", add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for r in sorted(pieces[k], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), crc32(ids[at:at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at and length > 0
+            at += length
+        assert at <= 4096 and at & (at - 1) == 0
