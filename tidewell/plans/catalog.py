@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import agent_queries, collection_queries, conversation_queries, event_queries, json_queries, operations_queries, retrieval_queries, service_queries, text_queries, web_queries
+from tidewell.plans import agent_queries, collection_queries, conversation_queries, event_queries, json_queries, layout_queries, operations_queries, retrieval_queries, service_queries, text_queries, web_queries
 
-MODULES = (retrieval_queries, text_queries, conversation_queries, event_queries, web_queries, json_queries, service_queries, operations_queries, collection_queries, agent_queries)
+MODULES = (retrieval_queries, text_queries, conversation_queries, event_queries, web_queries, json_queries, service_queries, operations_queries, collection_queries, agent_queries, layout_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
