@@ -23,6 +23,7 @@ from pyspark.sql.types import StructType
 
 from tidewell.config import DEFAULT, EngineConfig
 from tidewell.operators import retrieval
+from tidewell.operators.sizes import cut, small
 
 #: So many segments of one size class are merged into one of the next.
 FAN_OUT = 4
@@ -33,6 +34,8 @@ BUCKETS = 64
 TERMS = "term string, df long, tf_most long, dl_least int, bucket int"
 #: What no published version names is left alone for so long, as its commit may still be under way.
 UNPUBLISHED_HOURS = 24
+#: Keys of chunks that are broadcast at most; more are joined by a shuffle.
+MOST_KEYS = 200_000
 
 
 @dataclass(frozen=True)
@@ -126,26 +129,31 @@ class Collections:
 
     def replace_documents(self, tenant: str, documents: DataFrame, chunks: DataFrame, *, batch: str | None = None) -> Snapshot:
         """All chunks of ``documents(document_id)`` go and ``chunks`` come, in one version."""
-        ids = documents.select("document_id").distinct()
+        ids = small(documents.select(F.col("document_id").alias("_doc")).distinct(), MOST_KEYS)
         if "document_id" not in chunks.columns:
             raise ValueError("chunks need their document_id")
-        return self._bring(tenant, chunks, None, batch, lambda rows, new: rows.join(
-            ids.select(F.col("document_id").alias("_doc")).unionByName(new.select(F.col("document_id").alias("_doc"))).distinct(), F.col("document_id") == F.col("_doc"), "left_semi").unionByName(
-            rows.join(new.select("chunk_id"), "chunk_id", "left_semi")).dropDuplicates(["segment", "chunk_id"]))
+
+        def replaced(rows: DataFrame, new: DataFrame) -> DataFrame:
+            own = small(new.select(F.col("document_id").alias("_doc")).distinct(), MOST_KEYS)
+            by_document = [rows.join(docs, F.col("document_id") == F.col("_doc"), "left_semi") for docs in (ids, own)]
+            found = by_document[0].unionByName(by_document[1]).unionByName(rows.join(new.select("chunk_id"), "chunk_id", "left_semi"))
+            return found.select("segment", "chunk_id").distinct()
+        return self._bring(tenant, chunks, None, batch, replaced)
 
     def delete(self, tenant: str, keys: DataFrame, key: str = "document_id", *, batch: str | None = None) -> Snapshot:
         """Rows of the given documents, or chunks, go: text, metadata, vector and postings together."""
-        some = keys.select(F.col(key).alias("_key")).distinct()
+        some = small(keys.select(F.col(key).alias("_key")).distinct(), MOST_KEYS)
         return self._commit(tenant, batch, lambda old: self._changed(old, removed=self._rows(old).join(some, F.col(key) == F.col("_key"), "left_semi")))
 
     def update(self, tenant: str, changes: DataFrame, columns: list[str], key: str = "chunk_id", *, batch: str | None = None) -> Snapshot:
         """Values of ``changes(key, *columns)`` that aren't null replace those of the rows; unknown keys change nothing."""
         def change(old: Snapshot) -> Snapshot:
             new = changes.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in columns))
-            hit = self._rows(old).join(new, F.col(key) == F.col("_key"))
+            known = small(new.select("_key"), MOST_KEYS)
+            hit = self._rows(old).join(known, F.col(key) == F.col("_key"), "left_semi").join(new, F.col(key) == F.col("_key"))  # few rows move
             made = hit.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).select(*self._columns(old))
             segment, schema = self._write_rows(old, made)
-            return self._changed(replace(old, schema=schema), removed=self._rows(old).join(new.select("_key"), F.col(key) == F.col("_key"), "left_semi"), added=segment)
+            return self._changed(replace(old, schema=schema), removed=self._rows(old).join(known, F.col(key) == F.col("_key"), "left_semi"), added=segment)
         return self._commit(tenant, batch, change)
 
     def clear(self, tenant: str) -> bool:
@@ -257,7 +265,7 @@ class Collections:
         if not snap.gone:
             return rows
         gone = self._table(snap, "gone", snap.gone, f"of string, gone_id {self._id_type(snap)}").drop("segment")
-        few = sum(p["n"] for p in snap.gone) <= DEFAULT.broadcast_rows
+        few = sum(p["n"] for p in snap.gone) <= MOST_KEYS
         return rows.join(F.broadcast(gone) if few else gone, (F.col("segment") == F.col("of")) & (F.col("chunk_id") == F.col("gone_id")), "left_anti")
 
     def _id_type(self, snap: Snapshot) -> str:
@@ -347,10 +355,12 @@ class Collections:
             gone = self._part(old, "gone", removed.select(F.col("segment").alias("of"), F.col("chunk_id").alias("gone_id")))
         if gone:
             ids = self._table(old, "gone", gone, f"of string, gone_id {self._id_type(old)}").drop("segment")
+            ids = F.broadcast(ids) if gone[0]["n"] <= MOST_KEYS else ids
             taken = self._table(old, "rows", old.segments, _ddl(old.schema)).join(ids, (F.col("segment") == F.col("of")) & (F.col("chunk_id") == F.col("gone_id")), "left_semi")
-            counted = self._texts(taken).select(F.size(retrieval.tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
+            taken = cut(self._texts(taken))
+            counted = taken.select(F.size(retrieval.tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
             rows, texts, words = rows - gone[0]["n"], texts - counted.n, words - counted.words
-            fewer = retrieval.counted_words(self._texts(taken), self.buckets).groupBy("bucket", "term").agg((-F.count(F.lit(1))).alias("df"), F.lit(None).cast("long").alias("tf_most"), F.lit(None).cast("int").alias("dl_least"))
+            fewer = retrieval.counted_words(taken, self.buckets).groupBy("bucket", "term").agg((-F.count(F.lit(1))).alias("df"), F.lit(None).cast("long").alias("tf_most"), F.lit(None).cast("int").alias("dl_least"))
         if added is not None:
             new = self._table(old, "rows", [added], _ddl(old.schema))
             postings = self._write_postings(old, retrieval.counted_words(self._texts(new), self.buckets), added["id"])
