@@ -57,8 +57,8 @@ def crawl(pages: DataFrame, seeds: DataFrame, allowed: Callable[[Column], Column
     """
     one = pages.select(u.normalize(F.col("url")).alias("page"), "url", "html").groupBy("page").agg(F.min_by("html", "url").alias("html"))
     wanted = lambda c: allowed(u.domain(c)) & ~u.is_skipped(c)
-    edges = ordered_links(one.select(F.col("page").alias("url"), "html")).where(wanted(F.col("dst")) & u.is_page(F.col("dst")) & ~u.is_pdf(F.col("dst")))
-    known = one.select("page")
+    edges = cut(ordered_links(one.select(F.col("page").alias("url"), "html")).where(wanted(F.col("dst")) & u.is_page(F.col("dst")) & ~u.is_pdf(F.col("dst"))))  # texts are read once
+    known = cut(one.select("page"))
     first = seeds.select(u.normalize(F.col("url")).alias("url"), "seed_no").groupBy("url").agg(F.min("seed_no").alias("seed_no"))
     frontier = cut(records.numbered(first, ["seed_no", "url"], F.floor(F.col("seed_no") / RUN)).select("url", F.col("nth").cast("long").alias("visit_no"), F.lit(0).alias("depth")))
     seen, total, truncated = frontier.select("url"), 0, False
@@ -66,7 +66,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, allowed: Callable[[Column], Column
     while n := frontier.count():
         truncated = total + n > max_pages
         status = F.when(~allowed(u.domain(F.col("url"))), "offsite").when(u.is_skipped(F.col("url")), "skipped").when(F.col("page").isNull(), "missing").otherwise("page")
-        level = frontier.where(F.col("visit_no") <= max_pages).join(known, F.col("url") == F.col("page"), "left").withColumn("status", status).drop("page")
+        level = cut(frontier.where(F.col("visit_no") <= max_pages).join(known, F.col("url") == F.col("page"), "left").withColumn("status", status).drop("page"))
         levels.append(level)
         total += n
         if truncated:
