@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +54,16 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read again: for long loops, as nothing of its plan stays on the driver.  The files go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/tidewell-kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the checkpoint folder, so that its lineage ends there."""
     spark = df.sparkSession

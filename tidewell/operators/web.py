@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import urls as u
 from tidewell.operators import records
-from tidewell.operators.sizes import cut
+from tidewell.operators.sizes import cut, kept
 
 #: Characters that a curated page has at least.
 MIN_CHARS = 200
@@ -57,16 +57,16 @@ def crawl(pages: DataFrame, seeds: DataFrame, allowed: Callable[[Column], Column
     """
     one = pages.select(u.normalize(F.col("url")).alias("page"), "url", "html").groupBy("page").agg(F.min_by("html", "url").alias("html"))
     wanted = lambda c: allowed(u.domain(c)) & ~u.is_skipped(c)
-    edges = cut(ordered_links(one.select(F.col("page").alias("url"), "html")).where(wanted(F.col("dst")) & u.is_page(F.col("dst")) & ~u.is_pdf(F.col("dst"))))  # texts are read once
-    known = cut(one.select("page"))
+    edges = kept(ordered_links(one.select(F.col("page").alias("url"), "html")).where(wanted(F.col("dst")) & u.is_page(F.col("dst")) & ~u.is_pdf(F.col("dst"))))  # texts are read once
+    known = kept(one.select("page"))
     first = seeds.select(u.normalize(F.col("url")).alias("url"), "seed_no").groupBy("url").agg(F.min("seed_no").alias("seed_no"))
-    frontier = cut(records.numbered(first, ["seed_no", "url"], F.floor(F.col("seed_no") / RUN)).select("url", F.col("nth").cast("long").alias("visit_no"), F.lit(0).alias("depth")))
+    frontier = kept(records.numbered(first, ["seed_no", "url"], F.floor(F.col("seed_no") / RUN)).select("url", F.col("nth").cast("long").alias("visit_no"), F.lit(0).alias("depth")))
     seen, total, truncated = frontier.select("url"), 0, False
     levels: list[DataFrame] = []
     while n := frontier.count():
         truncated = total + n > max_pages
         status = F.when(~allowed(u.domain(F.col("url"))), "offsite").when(u.is_skipped(F.col("url")), "skipped").when(F.col("page").isNull(), "missing").otherwise("page")
-        level = cut(frontier.where(F.col("visit_no") <= max_pages).join(known, F.col("url") == F.col("page"), "left").withColumn("status", status).drop("page"))
+        level = kept(frontier.where(F.col("visit_no") <= max_pages).join(known, F.col("url") == F.col("page"), "left").withColumn("status", status).drop("page"))
         levels.append(level)
         total += n
         if truncated:
@@ -74,8 +74,8 @@ def crawl(pages: DataFrame, seeds: DataFrame, allowed: Callable[[Column], Column
         met = level.where("status = 'page'").join(edges, F.col("url") == F.col("src")).groupBy("dst").agg(F.min(F.struct("visit_no", "link_no")).alias("at"))
         new = met.join(seen.select(F.col("url").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("url"), "at.visit_no", "at.link_no")
         placed = records.numbered(new, ["visit_no", "link_no", "url"], F.floor(F.col("visit_no") / RUN))
-        frontier = cut(placed.select("url", (F.col("nth") + total).alias("visit_no"), F.lit(len(levels)).alias("depth")))
-        seen = cut(seen.unionByName(frontier.select("url")))
+        frontier = kept(placed.select("url", (F.col("nth") + total).alias("visit_no"), F.lit(len(levels)).alias("depth")))
+        seen = kept(seen.unionByName(frontier.select("url")))
     if not levels:
         return Crawl(frontier.withColumn("status", F.lit("")), False)
     return Crawl(reduce(DataFrame.unionByName, levels), truncated)
