@@ -44,7 +44,7 @@ class Crawl:
     truncated: bool
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, allowed: Callable[[Column], Column], max_pages: int) -> Crawl:
+def crawl(pages: DataFrame, seeds: DataFrame, allowed: Callable[[Column], Column], max_pages: int, max_depth: int | None = None) -> Crawl:
     """The first ``max_pages`` addresses that a first-come, first-served crawl from ``seeds(url, seed_no)`` visits, in its order.
 
     ``pages(url, html)`` stand for the sites; addresses without a page are ``missing``.  All that is visited counts, what is
@@ -53,9 +53,11 @@ def crawl(pages: DataFrame, seeds: DataFrame, allowed: Callable[[Column], Column
     links: levels are numbered one after the other, by the place of the parent and of the link, which is the queue's order
     without a queue.  A level past the budget ends the crawl; what is left makes it ``truncated``.  Any budget gives the beginning of a larger one's order.
 
-    Pages of one normalised address count as the first by their own; seeds keep the smallest number.  No seeds give no rows.
+    Pages of one normalised address count as the first by their own, of several with that the one with the smallest ``page_id``,
+    if pages have one, then the smallest text; seeds keep the smallest number.  No seeds give no rows.
     """
-    one = pages.select(u.normalize(F.col("url")).alias("page"), "url", "html").groupBy("page").agg(F.min_by("html", "url").alias("html"))
+    first_of = F.struct("url", *(c for c in ("page_id",) if c in pages.columns), "html")
+    one = pages.select(u.normalize(F.col("url")).alias("page"), first_of.alias("own")).groupBy("page").agg(F.min("own").alias("own")).select("page", "own.html")
     wanted = lambda c: allowed(u.domain(c)) & ~u.is_skipped(c)
     edges = kept(ordered_links(one.select(F.col("page").alias("url"), "html")).where(wanted(F.col("dst")) & u.is_page(F.col("dst")) & ~u.is_pdf(F.col("dst"))))  # texts are read once
     known = kept(one.select("page"))
@@ -69,7 +71,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, allowed: Callable[[Column], Column
         level = kept(frontier.where(F.col("visit_no") <= max_pages).join(known, F.col("url") == F.col("page"), "left").withColumn("status", status).drop("page"))
         levels.append(level)
         total += n
-        if truncated:
+        if truncated or max_depth is not None and len(levels) > max_depth:
             break
         met = level.where("status = 'page'").join(edges, F.col("url") == F.col("src")).groupBy("dst").agg(F.min(F.struct("visit_no", "link_no")).alias("at"))
         new = met.join(seen.select(F.col("url").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("url"), "at.visit_no", "at.link_no")
