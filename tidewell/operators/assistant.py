@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from tidewell import models
 from tidewell.config import DEFAULT, EngineConfig
 from tidewell.operators import retrieval as r
+from tidewell.operators.sizes import cut, small
 
+#: Chunks whose ids are broadcast to look their texts up.
+MOST_PASSAGES = 200_000
 #: Sources named below an answer, chunks previewed after indexing.
 FOOTER_SOURCES, PREVIEWS, PREVIEW_CHARS = 3, 50, 100
 
@@ -43,25 +46,26 @@ def optimised(queries: DataFrame, vector_hits: DataFrame, texts: DataFrame, inde
     found = found.select("query_id", "chunk_id", "rank", "hybrid_score")
     if not use_reranking:
         return found.where(F.col("rank") <= k)
+    found = cut(found)  # used twice, and texts are read only for what it holds
     many = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
     asked = queries.select(F.col("query_id").alias("q_id"), "query_text")
-    passages = texts.select(F.col("chunk_id").alias("t_id"), "text")
+    passages = texts.select(F.col("chunk_id").alias("t_id"), "text").join(small(found.select(F.col("chunk_id").alias("t_id")).distinct(), MOST_PASSAGES), "t_id", "left_semi")
     with_text = many.where(F.col("n") > k).join(passages, F.col("chunk_id") == F.col("t_id"), "left").join(asked, F.col("query_id") == F.col("q_id"))
     better = r.rerank(with_text.select("query_id", "chunk_id", "rank", "hybrid_score", "text", "query_text"), scorer(F.col("query_text"), F.col("text")), k)
     return better.select("query_id", "chunk_id", "rank", "hybrid_score").unionByName(many.where(F.col("n") <= k).select("query_id", "chunk_id", "rank", "hybrid_score"))
 
 
-def retrieved(queries: DataFrame, chunks: DataFrame, index: r.KeywordIndex, k: int, *, mode: str | None = None, use_hybrid: bool = True, use_reranking: bool = True, config: EngineConfig = DEFAULT) -> DataFrame:
+def retrieved(queries: DataFrame, chunks: DataFrame, index: r.KeywordIndex, k: int, *, texts: DataFrame | None = None, mode: str | None = None, use_hybrid: bool = True, use_reranking: bool = True, config: EngineConfig = DEFAULT) -> DataFrame:
     """An assistant's context: ``queries(query_id, query_text, query_vec, reply)`` against ``chunks(chunk_id, vec, text, content_type)``.
 
     Ten times ``k`` nearest chunks, generated questions taken out, none at all beyond the hard cutoff,
-    the others within the threshold; then ``optimised`` to ``k``.
+    the others within the threshold; then ``optimised`` to ``k``.  ``texts(chunk_id, text)`` may stand in a table of their own.
     """
     near = r.knn(queries.select("query_id", "query_vec"), chunks.select("chunk_id", "vec", "content_type"), k * config.candidate_factor)
     kept = without_questions(near)
     ranked = r.top(kept.select("query_id", "chunk_id", "distance"), F.asc("distance"), k * config.candidate_factor)
     gated = r.distance_gate(r.hard_gate(ranked, config), config)
-    found = optimised(queries, gated, chunks.select("chunk_id", "text"), index, mode=mode, use_hybrid=use_hybrid, use_reranking=use_reranking, k=k, config=config)
+    found = optimised(queries, gated, chunks.select("chunk_id", "text") if texts is None else texts, index, mode=mode, use_hybrid=use_hybrid, use_reranking=use_reranking, k=k, config=config)
     # a question whose vectors are all beyond the cutoff gets nothing, whatever its words find
     return found.join(gated.select("query_id").distinct(), "query_id", "left_semi")
 

@@ -158,7 +158,8 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 def _retrieved(mode, **settings):
     def query(spark, d):
-        return assistant.retrieved(_asked(spark, d), _typed(spark, d), rq.keyword_index(spark, d), 5, mode=mode, **settings).select("query_id", "chunk_id", "rank", F.round(F.col("hybrid_score") + 2.5e-7, 5).alias("hybrid_score"))
+        texts = _R(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+        return assistant.retrieved(_asked(spark, d), _typed(spark, d), rq.keyword_index(spark, d), 5, texts=texts, mode=mode, **settings).select("query_id", "chunk_id", "rank", F.round(F.col("hybrid_score") + 2.5e-7, 5).alias("hybrid_score"))
     return query
 
 
