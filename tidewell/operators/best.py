@@ -6,6 +6,7 @@ Values that come out are summed in the order of ``functions.vectors``; matrix pr
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -13,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidewell.operators.sizes import byte_slices
+
 #: Cells of a block of scores; pairs whose values are computed one by one at a time; words of a slice of texts.
 CELLS, PAIRS, WORDS = 1 << 21, 1 << 16, 1 << 21
 #: What is kept beyond a threshold: two roundings to six decimals.
@@ -21,6 +24,9 @@ MARGIN = 2e-6
 TINY, HUGE = 1e-200, 1e200
 #: A term of so large a part of the questions is a row of a dense matrix; so many rows at most.
 DENSE_PART, MOST_DENSE = 16, 512
+#: Which of the first characters are letters, numbers or the underscore; of bytes, only those of one-byte characters.
+WORD_CODES = np.array([c == "_" or unicodedata.category(c)[0] in "LN" for c in map(chr, range(0x180))])
+WORD_BYTES = np.concatenate([WORD_CODES[:128], np.zeros(128, bool)])
 
 
 def half_up(x: np.ndarray, digits: int) -> np.ndarray:
@@ -185,25 +191,94 @@ def _plain(ids: pa.Array) -> np.ndarray:
     return ids.to_numpy(zero_copy_only=False) if pa.types.is_integer(ids.type) and not ids.null_count else np.array([*ids.to_pylist(), None], object)[:-1]
 
 
+def latin_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Runs of letters, digits and underscores of lower-cased texts that aren't ``beyond_latin``: how many a text has, and all in order.
+
+    Bytes of the texts are marked by what their character is; no word is handled on its own.
+    """
+    low = pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), ""))
+    _, at, data = low.buffers()
+    at = np.frombuffer(at, np.int32)[low.offset:low.offset + len(low) + 1]
+    data = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    inside = WORD_BYTES[data]
+    lead = np.flatnonzero((data >= 0xC2) & (data <= 0xC5))
+    inside[lead] = inside[lead + 1] = WORD_CODES[(data[lead].astype(np.int64) & 31) << 6 | data[lead + 1] & 63]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = at[:-1][at[:-1] < len(data)]  # a text's first byte begins a word, whatever the one before ends with
+    begins[first] = inside[first]
+    begins = np.flatnonzero(begins)
+    ends = np.append((np.cumsum(inside)[begins] - 1), inside.sum()).astype(np.int32)
+    return np.diff(np.searchsorted(begins, at)), pa.StringArray.from_buffers(len(begins), pa.py_buffer(ends), pa.py_buffer(data[inside]))
+
+
+def beyond_latin(texts: pa.Array) -> np.ndarray:
+    """Which texts have characters that ``latin_words`` doesn't know: others than Latin letters (but for a capital I with a dot, whose lower case is two characters) and marks of punctuation."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None else np.zeros(0, np.uint8)
+    odd = data >= 0xC6
+    marks, dotted = np.flatnonzero(data == 0xE2), np.flatnonzero(data == 0xC4)
+    odd[marks] = (data[marks + 1] > 0x81) | (data[marks + 1] == 0x81) & (data[marks + 2] >= 0xB0)  # up to U+206F
+    odd[dotted] = data[dotted + 1] == 0xB0
+    out = np.zeros(len(texts), bool)
+    out[np.searchsorted(at - at[0], np.flatnonzero(odd), side="right") - 1] = True
+    return out
+
+
+def counted_latin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``chunk_id, text`` as ``chunk_id, dl, terms, tfs``: each text's different words and how often it has them; without texts beyond Latin."""
+    for part in byte_slices(batches, "text"):
+        part = part.filter(pa.array(~beyond_latin(part.column("text"))))
+        yield _counted(part.column("chunk_id"), *latin_words(part.column("text")))
+
+
+def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of ``chunk_id, text``, the texts beyond Latin."""
+    for batch in batches:
+        yield batch.filter(pa.array(beyond_latin(batch.column("text"))))
+
+
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``chunk_id, words`` as ``chunk_id, dl, terms, tfs``: each text's different words and how often it has them."""
+    """``chunk_id, words`` as ``counted_latin`` gives them."""
     for batch in batches:
         start, ends = 0, np.cumsum(pc.list_value_length(batch.column("words")).to_numpy(zero_copy_only=False))
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + WORDS, side="right")))
             part = batch.slice(start, stop - start)
             words = part.column("words")
-            lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-            coded = words.flatten().dictionary_encode()
-            size = max(1, len(coded.dictionary))
-            found, times = np.unique(np.repeat(np.arange(len(lengths)), lengths) * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-            at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(found // size, minlength=len(lengths)))]).astype(np.int32))
-            terms = coded.dictionary.take(pa.array(found % size))
-            yield pa.RecordBatch.from_arrays([part.column("chunk_id"), pa.array(lengths.astype(np.int32)), pa.ListArray.from_arrays(at, terms), pa.ListArray.from_arrays(at, pa.array(times.astype(np.int64)))],
-                                             ["chunk_id", "dl", "terms", "tfs"])
+            yield _counted(part.column("chunk_id"), pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64), words.flatten())
             start = stop
 
 
+def _counted(ids: pa.Array, lengths: np.ndarray, flat: pa.Array) -> pa.RecordBatch:
+    coded = flat.dictionary_encode()
+    size = max(1, len(coded.dictionary))
+    found, times = np.unique(np.repeat(np.arange(len(lengths)), lengths) * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(found // size, minlength=len(lengths)))]).astype(np.int32))
+    terms = coded.dictionary.take(pa.array(found % size))
+    return pa.RecordBatch.from_arrays([ids, pa.array(lengths.astype(np.int32)), pa.ListArray.from_arrays(at, terms), pa.ListArray.from_arrays(at, pa.array(times.astype(np.int64)))],
+                                      ["chunk_id", "dl", "terms", "tfs"])
+
+
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``dl, terms, tfs`` as ``term, df, tf_most, dl_least``: a row a term of each batch."""
+    for batch in batches:
+        terms, tfs = batch.column("terms"), batch.column("tfs").flatten().to_numpy(zero_copy_only=False)
+        coded = terms.flatten().dictionary_encode()
+        if not len(coded):
+            continue
+        term = coded.indices.to_numpy(zero_copy_only=False)
+        dl = np.repeat(batch.column("dl").to_numpy(zero_copy_only=False), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+        most, least = np.zeros(len(coded.dictionary), np.int64), np.full(len(coded.dictionary), np.iinfo(np.int32).max, np.int32)
+        np.maximum.at(most, term, tfs)
+        np.minimum.at(least, term, dl)
+        df = np.bincount(term, minlength=len(most)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(df), pa.array(most), pa.array(least)], ["term", "df", "tf_most", "dl_least"])
+
+
 class Scored:
     """Batches of ``chunk_id, dl, terms, tfs`` against questions by words: ``query_id, chunk_id, bm25_score``, unrounded, the best ``k`` that are above 0."""
 
