@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import cached_property
+from itertools import pairwise
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.config import DEFAULT
 from tidewell.functions import text as t
 
+#: Keywords of a text.
+MOST_KEYS = 15
+_WORD, _NAME, _STOP = re.compile(r"\b[a-z]{3,}\b"), re.compile(r"\b[A-Z][a-z]+\b"), frozenset(t.STOPWORDS)
+
 
 def segments(docs: DataFrame, *, separator: str = DEFAULT.block_separator) -> DataFrame:
     """``docs(doc_id, text)`` as ``(doc_id, pos, type, content, heading, subheading)``.
@@ -32,13 +42,71 @@ def segments(docs: DataFrame, *, separator: str = DEFAULT.block_separator) -> Da
     return state.select("doc_id", "pos", F.when(head, "paragraph").otherwise(F.col("kind")).alias("type"), content.alias("content"), "heading", "subheading").where("content IS NOT NULL")
 
 
-def adjacent(parts: DataFrame) -> DataFrame:
-    """``segments`` with the one before: ``previous``, keyword ``similarity`` and whether a topic ``boundary`` lies between."""
+def adjacent(parts: DataFrame, *, weighted: bool = False) -> DataFrame:
+    """``segments`` without their content, with the one before: keyword ``similarity`` (or ``weighted``) and whether a topic ``boundary`` lies between.
+
+    Words are counted in one pass over Arrow batches; only contents and headings are shuffled, not their words.
+    """
     order = Window.partitionBy("doc_id").orderBy("pos")
-    now = parts.withColumn("ws", t.words(F.col("content"))).withColumn("keys", t.keywords(F.col("ws")))
-    now = now.withColumns({"previous": F.lag("content").over(order), "prev_ws": F.lag("ws").over(order), "prev_keys": F.lag("keys").over(order), "prev_heading": F.lag("heading").over(order)})
-    now = now.where("previous IS NOT NULL").withColumn("similarity", F.round(t.jaccard(F.col("prev_keys"), F.col("keys")), 6))
-    return now.withColumn("boundary", (F.col("similarity") < 0.15) | ((F.col("prev_heading") != F.col("heading")) & (F.col("heading") != "")))
+    now = parts.withColumns({"previous": F.lag("content").over(order), "prev_heading": F.lag("heading").over(order)}).where("previous IS NOT NULL")
+    kept = [c for c in now.columns if c not in ("content", "previous")]
+    like = weighted_likeness if weighted else keyword_likeness
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, last, said = [], None, None
+            for a, b in zip(batch.column("previous").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                before = said if a == last else Said(a)  # mostly the row above
+                last, said = b, Said(b)
+                found.append(like(before, said))
+            yield batch.select(kept).append_column("similarity", pa.array(found, pa.float64()))
+
+    near = now.mapInArrow(run, ", ".join([*(f"`{c}` {now.schema[c].dataType.simpleString()}" for c in kept), "similarity double"])).withColumn("similarity", F.round("similarity", 6))
+    return near.withColumn("boundary", (F.col("similarity") < 0.15) | ((F.col("prev_heading") != F.col("heading")) & (F.col("heading") != "")))
+
+
+class Said:
+    """A text's ``functions.text.words`` and what is compared of them, each found when it is asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def words(self) -> list[str]:
+        return [w for w in _WORD.findall(self.text.lower()) if w not in _STOP]
+
+    @cached_property
+    def keys(self) -> set[str]:
+        counts: dict[str, int] = {}
+        for w in self.words:
+            counts[w] = counts.get(w, 0) + 1
+        return set(sorted(counts, key=counts.__getitem__, reverse=True)[:MOST_KEYS])
+
+    @cached_property
+    def distinct(self) -> set[str]:
+        return set(self.words)
+
+    @cached_property
+    def pairs(self) -> set[tuple[str, str]]:
+        return set(pairwise(self.words))
+
+    @cached_property
+    def names(self) -> set[str]:
+        return set(_NAME.findall(self.text))
+
+
+def _jaccard(a: set, b: set) -> float:
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def keyword_likeness(a: Said, b: Said) -> float:
+    """``functions.text.jaccard`` of both texts' keywords."""
+    return _jaccard(a.keys, b.keys)
+
+
+def weighted_likeness(a: Said, b: Said) -> float:
+    """``functions.text.weighted_similarity``."""
+    return 0.5 * _jaccard(a.distinct, b.distinct) + 0.3 * _jaccard(a.pairs, b.pairs) + 0.2 * _jaccard(a.names, b.names) if a.text and b.text else 0.0
 
 
 def keyword_counts(docs: DataFrame, most: int = 15) -> DataFrame:

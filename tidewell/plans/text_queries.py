@@ -72,8 +72,7 @@ def topic_boundaries(spark, d):
 
 
 def weighted_similarity(spark, d):
-    near = s.adjacent(s.segments(_docs(spark, d), separator=r"\n"))
-    return near.select("doc_id", "pos", F.round(t.weighted_similarity(F.col("previous"), F.col("content"), F.col("prev_ws"), F.col("ws")), 6).alias("similarity"))
+    return s.adjacent(s.segments(_docs(spark, d), separator=r"\n"), weighted=True).select("doc_id", "pos", "similarity")
 
 
 def sentence_split(spark, d):
