@@ -1,4 +1,4 @@
-"""Collections keep a row a text with its counted words; statistics are summed from a row a term of each batch."""
+"""Collections keep a row a text with its counted words; statistics are summed by term before they move."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidewell.operators import retrieval
-from tidewell.operators.best import bounded, latin_words
+from tidewell.operators.best import latin_words
 from tidewell.sources.collections import Collections
 
 ROWS = "chunk_id string, document_id string, text string, embedding array<float>"
@@ -25,11 +25,9 @@ def test_a_collection_has_a_row_a_text(spark, tmp_path):
     assert not (tmp_path / "chunks/t/postings").exists()  # a row a word and text, shuffled twice
 
 
-def test_statistics_of_a_batch():
-    batch = pa.RecordBatch.from_pydict({"dl": pa.array([3, 1, 0], pa.int32()), "terms": [["red", "fox"], ["fox"], []], "tfs": [[2, 1], [1], []]})
-    rows = pa.Table.from_batches(list(bounded(iter([batch])))).to_pylist()
-    assert rows == [{"term": "red", "df": 1, "tf_most": 2, "dl_least": 3}, {"term": "fox", "df": 2, "tf_most": 1, "dl_least": 1}]
-    assert list(bounded(iter([batch.slice(2)]))) == []
+def test_statistics_of_terms(spark):
+    texts = spark.createDataFrame([(1, 3, ["red", "fox"], [2, 1]), (2, 1, ["fox"], [1]), (3, 0, [], [])], "chunk_id long, dl int, terms array<string>, tfs array<long>")
+    assert sorted(map(tuple, retrieval.term_rows(texts).collect())) == [("fox", 1, 1, 1), ("fox", 1, 1, 3), ("red", 1, 2, 3)]
 
 
 def test_words_of_latin_and_other_texts_are_those_of_the_pattern(spark):

@@ -263,22 +263,6 @@ def _counted(ids: pa.Array, lengths: np.ndarray, flat: pa.Array) -> pa.RecordBat
                                       ["chunk_id", "dl", "terms", "tfs"])
 
 
-def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``dl, terms, tfs`` as ``term, df, tf_most, dl_least``: a row a term of each batch."""
-    for batch in batches:
-        terms, tfs = batch.column("terms"), batch.column("tfs").flatten().to_numpy(zero_copy_only=False)
-        coded = terms.flatten().dictionary_encode()
-        if not len(coded):
-            continue
-        term = coded.indices.to_numpy(zero_copy_only=False)
-        dl = np.repeat(batch.column("dl").to_numpy(zero_copy_only=False), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
-        most, least = np.zeros(len(coded.dictionary), np.int64), np.full(len(coded.dictionary), np.iinfo(np.int32).max, np.int32)
-        np.maximum.at(most, term, tfs)
-        np.minimum.at(least, term, dl)
-        df = np.bincount(term, minlength=len(most)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(df), pa.array(most), pa.array(least)], ["term", "df", "tf_most", "dl_least"])
-
-
 class Scored:
     """Batches of ``chunk_id, dl, terms, tfs`` against questions by words: ``query_id, chunk_id, bm25_score``, unrounded, the best ``k`` that are above 0."""
 
