@@ -9,8 +9,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import vectors
-from tidewell.operators import best
+from tidewell.operators import best, sizes
 from tidewell.operators import retrieval as r
+from tidewell.plans import operations_queries
 
 
 def every_pair(queries, chunks, k, metric, exclude_self):
@@ -51,6 +52,59 @@ def test_a_task_gives_k_rows_a_question():
     assert sorted(zip(out["_q"].to_pylist(), out["chunk_id"].to_pylist()))[-5:] == [(1, i) for i in range(5_000, 5_005)] and len(out) == 10
 
 
+def test_a_threshold_holds_from_the_first_block(monkeypatch):
+    made, x = [], np.random.default_rng(4).normal(size=(3_000, 4))
+
+    class Watched(best.Best):
+        def __init__(self, *a):
+            super().__init__(*a)
+            made.append(self)
+
+    monkeypatch.setattr(best, "Best", Watched)
+    batches = [pa.RecordBatch.from_pydict({"chunk_id": np.arange(i, i + 1_000), "vec": [list(v) for v in x[i:i + 1_000]]}) for i in range(0, len(x), 1_000)]
+    seen = []
+    for metric in ("l2", "cosine"):
+        search = best.Nearest(pa.array([list(v) for v in x[:5]]), pa.array(range(5)), 2, metric, 6, ["chunk_id"])
+        out = pa.Table.from_batches(search(b for b in batches if seen.append(made[-1].limit.max()) or True))
+        assert out.num_rows == 10
+    assert np.isinf(seen[0]) and np.isfinite(seen[1:3] + seen[4:]).all()
+
+
+@pytest.mark.parametrize("far", [0.0, 1e3, 1e16])
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_vectors_too_close_for_single_precision(metric, far):
+    rng = np.random.default_rng(6)
+    x = far + rng.normal(size=(5_000, 6)) * max(1.0, far / 1e6)
+    x[1_000:1_200] = x[0] + rng.integers(-3, 4, (200, 6)) * 1e-3 * max(1.0, far / 1e6)
+    asked = np.arange(0, 5_000, 5)
+    batches = [pa.RecordBatch.from_pydict({"chunk_id": np.arange(i, i + 2_500), "vec": [list(v) for v in x[i:i + 2_500]]}) for i in range(0, len(x), 2_500)]
+    out = pa.Table.from_batches(best.Nearest(pa.array([list(v) for v in x[asked]]), pa.array(asked), 3, metric, 6, ["chunk_id"])(iter(batches)))
+    got = sorted(zip(out["_q"].to_pylist(), out["chunk_id"].to_pylist()))
+    way, want = best._cosine if metric == "cosine" else best._squared_l2, []
+    for q, i in enumerate(asked):
+        value = best.half_up(way(x, np.broadcast_to(x[i], x.shape)), 6)
+        value = -value if metric == "cosine" else value
+        value[i] = np.inf
+        want += [(q, int(c)) for c in np.lexsort((np.arange(len(x)), value))[:3]]
+    assert got == sorted(want)
+
+
+def test_one_large_file_is_spread(spark, odd, tmp_path, monkeypatch):
+    monkeypatch.setattr(sizes, "SPREAD_BYTES", 0)  # any file is a large one
+    spark.createDataFrame(odd, "chunk_id long, vec array<double>, tag string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    chunks = spark.read.parquet(f"{tmp_path}/t")
+    found = r.knn(chunks.where("chunk_id < 9").select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("query_vec")), chunks, 2)
+    assert "RepartitionByExpression" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) or "Repartition " in plan
+    assert found.count() == 18
+
+
+def test_gaps_that_stay_open(spark, tmp_path):
+    near = [[float(i % 7), 1.0, 0.0] for i in range(1, 100)]
+    rows = [(i, v, 0) for i, v in enumerate(near, 1)] + [(100, [9.0, 9.0, 9.0], 0), (200, [3.5, 1.0, 0.0], 0), (300, None, 0), (400, [9.0, 9.0, 8.0], 0), (500, [50.0, 0.0, 0.0], 0), (600, [1.0], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(x.position for x in operations_queries.gap_self_heal(spark, str(tmp_path)).collect()) == [300, 500, 600]
+
+
 def test_no_questions(spark):
     none = spark.createDataFrame([], "query_id long, query_vec array<double>")
     assert r.knn(none, spark.createDataFrame([(1, [1.0])], "chunk_id long, vec array<double>"), 3).count() == 0

@@ -20,8 +20,10 @@ from tidewell.operators.sizes import byte_slices
 CELLS, PAIRS, WORDS = 1 << 21, 1 << 16, 1 << 21
 #: What is kept beyond a threshold: two roundings to six decimals.
 MARGIN = 2e-6
-#: Squared norms outside of these may lose their digits in a matrix product.
-TINY, HUGE = 1e-200, 1e200
+#: Squared norms outside of these may lose their digits in a matrix product; single precision is for those below the third.
+TINY, HUGE, MOST_SINGLE = 1e-200, 1e200, 1e30
+#: Rows and questions of a block of vectors.
+MET, ASKED = 2048, 512
 #: A term of so large a part of the questions is a row of a dense matrix; so many rows at most.
 DENSE_PART, MOST_DENSE = 16, 512
 #: Which of the first characters are letters, numbers or the underscore; of bytes, only those of one-byte characters.
@@ -132,63 +134,87 @@ class Nearest:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(len(self.questions), self.k, self.metric == "cosine", self.digits)
-        sides = {y.shape[1]: (rows, y, null) for rows, y, null in matrices(self.questions)}
-        own = None if self.ids is None else _plain(self.ids)
+        own, codes = None, {}
+        if self.ids is not None:
+            own = np.array([-1 if i is None else codes.setdefault(i, len(codes)) for i in self.ids.to_pylist()], np.int64)
         with np.errstate(all="ignore"):
+            sides = {y.shape[1]: [_Side(rows[b:b + ASKED], y[b:b + ASKED], null[b:b + ASKED], self.metric, own, True) for b in range(0, len(y), ASKED)] for rows, y, null in matrices(self.questions)}
             for batch in batches:
                 table = pa.Table.from_batches([batch]).combine_chunks()
-                ids = None if own is None else _plain(table.column("chunk_id").combine_chunks())
+                ids = None if own is None else np.array([-1 if i is None else codes.get(i, -2) for i in table.column("chunk_id").to_pylist()], np.int64)
                 vectors = table.column("vec").combine_chunks()
                 for rows, x, null in matrices(vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors):
-                    if x.shape[1] in sides:
-                        self._met(best, table.select(self.names), ids, own, rows, x, null, *sides[x.shape[1]])
+                    for a in range(0, len(x) if x.shape[1] in sides else 0, MET):
+                        mine = _Side(rows[a:a + MET], x[a:a + MET], null[a:a + MET], self.metric, ids, False)
+                        for asked in sides[x.shape[1]]:
+                            self._block(best, table.select(self.names), mine, asked)
             done = best.result()
         if done is not None:
             question, value, rows = done
             yield from rows.append_column("_q", pa.array(question.astype(np.int32))).append_column("value", value).to_batches(10_000)
 
-    def _met(self, best, table, ids, own, rows, x, x_null, q_rows, y, y_null) -> None:
-        high = 2048
-        for a in range(0, len(x), high):
-            for b in range(0, len(y), CELLS // high):
-                part, asked = slice(a, a + high), slice(b, b + CELLS // high)
-                self._block(best, table, ids, own, rows[part], x[part], x_null[part], q_rows[asked], y[asked], y_null[asked])
-
-    def _block(self, best, table, ids, own, rows, x, x_null, q_rows, y, y_null) -> None:
+    def _block(self, best: Best, table: pa.Table, mine: _Side, asked: _Side) -> None:
         """Pairs that may be among the best by a matrix product; these get their value one by one."""
-        xx, yy = (x * x).sum(1), (y * y).sum(1)
-        product = y @ x.T
-        slack = 16 * np.finfo(float).eps * (x.shape[1] + 2)
-        if self.metric == "cosine":
-            norms = np.sqrt(yy)[:, None] * np.sqrt(xx)[None, :]
-            key, error = np.where(norms == 0, 0.0, -product / norms), np.full(len(y), slack)
-        else:
-            key = yy[:, None] + xx[None, :] - 2 * product
-            error = slack * (yy + (xx[xx < HUGE].max() if (xx < HUGE).any() else 0.0))
-        odd_x, odd_y = _odd(x, x_null, xx), _odd(y, y_null, yy)
-        key[:, odd_x] = np.inf  # the k-th best of the others is a bound for all
-        key[odd_y] = np.inf
-        allowed = None if own is None else (ids[rows][None, :] != own[q_rows][:, None]) & (ids[rows] != None)[None, :] & (own[q_rows] != None)[:, None]  # noqa: E711
-        if allowed is not None:
-            key[~allowed] = np.inf
-        limit = best.limit[q_rows]
-        if key.shape[1] > self.k and np.isinf(limit).any():
-            limit = np.minimum(limit, np.partition(key, self.k - 1, axis=1)[:, self.k - 1] + MARGIN)
-        chosen = key <= (limit + 2 * error)[:, None]
-        chosen[:, odd_x] = True
-        chosen[odd_y] = True
-        if allowed is not None:
-            chosen &= allowed
-        q, c = np.nonzero(chosen)
+        fine = max(mine.most, asked.most) >= MOST_SINGLE
+        chosen = self._chosen(best, mine, asked, np.float64 if fine else np.float32)
+        if not fine and len(chosen) > max(PAIRS, 4 * self.k * len(asked.x)):  # too close for single precision
+            chosen = self._chosen(best, mine, asked, np.float64)
         way = _cosine if self.metric == "cosine" else _squared_l2
-        for i in range(0, len(q), PAIRS):
-            qi, ci = q[i:i + PAIRS], c[i:i + PAIRS]
-            null = (x_null[ci] | y_null[qi]).any(1)
-            best.add(q_rows[qi], way(x[ci], y[qi]), null, table.take(pa.array(rows[ci])))
-
-
-def _plain(ids: pa.Array) -> np.ndarray:
-    return ids.to_numpy(zero_copy_only=False) if pa.types.is_integer(ids.type) and not ids.null_count else np.array([*ids.to_pylist(), None], object)[:-1]
+        for i in range(0, len(chosen), PAIRS):
+            qi, ci = np.divmod(chosen[i:i + PAIRS], len(mine.x))
+            null = (mine.null[ci] | asked.null[qi]).any(1)
+            best.add(asked.rows[qi], way(mine.x[ci], asked.x[qi]), null, table.take(pa.array(mine.rows[ci])))
+
+    def _chosen(self, best: Best, mine: _Side, asked: _Side, kind: type) -> np.ndarray:
+        """Places of these pairs in the block, question by question.  A question's threshold holds from its first block on."""
+        key = asked.factor(kind) @ mine.factor(kind).T
+        slack = 16 * np.finfo(kind).eps * (mine.x.shape[1] + 2)
+        error, base = (np.full(len(asked.x), slack), 0.0) if self.metric == "cosine" else (slack * (asked.squares + mine.most), asked.squares)
+        twins = None if mine.codes is None else np.flatnonzero(mine.codes >= 0)
+        same = None if twins is None else asked.codes[:, None] == mine.codes[twins][None, :]
+        limit = best.limit[asked.rows]
+        if key.shape[1] > self.k and (kind is np.float64 or np.isinf(limit).any()):
+            plain = key.copy()
+            plain[:, mine.odd | mine.nameless] = np.inf  # the k-th best of the others is a bound for all
+            plain[asked.odd | asked.nameless] = np.inf
+            if same is not None:
+                plain[:, twins] = np.where(same, np.inf, plain[:, twins])
+            plain.partition(self.k - 1, axis=1)
+            limit = best.limit[asked.rows] = np.minimum(limit, plain[:, self.k - 1] + base + error + MARGIN)
+        chosen = key <= (limit + error - base).astype(kind)[:, None]
+        for at, far in ((mine.odd, (slice(None), mine.odd)), (asked.odd, asked.odd)):
+            if at.any():
+                chosen[far] = True
+        if same is not None:
+            chosen[:, twins] &= ~same
+            chosen[:, mine.nameless] = False
+            chosen[asked.nameless] = False
+        return np.flatnonzero(chosen.ravel())
+
+
+class _Side:
+    """Vectors of one length, a side of a block: their places ``rows``, components and what a matrix product takes of them."""
+
+    def __init__(self, rows: np.ndarray, x: np.ndarray, null: np.ndarray, metric: str, codes: np.ndarray | None, asked: bool):
+        self.rows, self.x, self.null, self.metric, self.asked = rows, x, null, metric, asked
+        self.codes = None if codes is None else codes[rows]
+        self.nameless = np.zeros(len(rows), bool) if codes is None else self.codes == -1
+        self.squares = (x * x).sum(1)
+        self.odd = _odd(x, null, self.squares)
+        self.squares[self.odd] = 0.0  # all their pairs are chosen
+        self.most = 0.0 if metric == "cosine" else self.squares.max(initial=0.0)
+        self.made: dict[type, np.ndarray] = {}
+
+    def factor(self, kind: type) -> np.ndarray:
+        """Products of two sides' rows are the negative cosine, or what is added to a question's square to give the squared distance."""
+        if kind not in self.made:
+            x = np.where(self.odd[:, None], 0.0, self.x)
+            if self.metric == "cosine":
+                x /= np.where(self.squares == 0, 1.0, np.sqrt(self.squares))[:, None] * (-1 if self.asked else 1)
+            else:
+                x = np.column_stack([-2 * x, np.ones(len(x))] if self.asked else [x, self.squares])
+            self.made[kind] = x.astype(kind)
+        return self.made[kind]
 
 
 def latin_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:

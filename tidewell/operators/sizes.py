@@ -25,11 +25,11 @@ def small(df: DataFrame, most: int = DEFAULT.broadcast_rows) -> DataFrame:
 SPREAD_BYTES = 32 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` with its rows dealt out over all cores if it is small (so that moving it costs little) and read from fewer files than there are cores; else as it is."""
+def spread(df: DataFrame, most: float | None = None) -> DataFrame:
+    """``df`` with its rows dealt out over all cores if it is read from fewer files than there are cores and small (so that moving it costs little; ``SPREAD_BYTES`` unless ``most`` is given); else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size <= SPREAD_BYTES and 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if size <= (SPREAD_BYTES if most is None else most) and 0 < len(df.inputFiles()) < cores else df
 
 
 def byte_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
