@@ -126,6 +126,31 @@ def _odd(x: np.ndarray, null: np.ndarray, squares: np.ndarray) -> np.ndarray:
     return null.any(1) | ~np.isfinite(x).all(1) | ~((squares == 0) & (x == 0).all(1) | (squares > TINY) & (squares < HUGE))
 
 
+def _told_apart(x: np.ndarray, null: np.ndarray, ids: pa.Array, k: int, own: bool) -> np.ndarray:
+    """Places of rows that can be among the best ``k`` of a question: of equal vectors, those of the ``k`` smallest ids.
+
+    Equal vectors are as far from any question, so their ids decide.  Vectors with a null are equal here, and so are those with
+    NaN, as is what they give.  With ``own``, a question leaves out its own id: of one more id, and of none without a name.
+    """
+    x = np.where(np.isnan(x).any(1)[:, None], np.nan, x)
+    x[null.any(1)] = -np.inf
+    named = np.flatnonzero(pc.is_valid(ids).to_numpy(zero_copy_only=False)) if own else np.arange(len(x))
+    if not x.shape[1] or not len(named):
+        return named
+    marked = np.column_stack([x, null.any(1)])[named]
+    group, many = np.unique(marked.view(np.dtype((np.void, marked.shape[1] * 8))).ravel(), return_inverse=True, return_counts=True)[1:]
+    if many.max() <= k:
+        return named
+    codes = pc.rank(ids.take(pa.array(named)), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+    order = np.lexsort((codes, group))
+    group, codes = group[order], codes[order]
+    new = np.ones(len(order), bool)  # another vector, or with own, another id
+    new[1:] = (group[1:] != group[:-1]) | (codes[1:] != codes[:-1] if own else True)
+    count = np.cumsum(new)
+    place = count - count[np.searchsorted(group, group)]
+    return np.sort(named[order[place < k + own]])
+
+
 class Nearest:
     """Batches of ``chunk_id, vec, ...`` against ``questions``, an Arrow array of vectors: its positions, ``value`` and the batches' other columns."""
 
@@ -144,7 +169,11 @@ class Nearest:
                 ids = None if own is None else np.array([-1 if i is None else codes.get(i, -2) for i in table.column("chunk_id").to_pylist()], np.int64)
                 vectors = table.column("vec").combine_chunks()
                 for rows, x, null in matrices(vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors):
-                    for a in range(0, len(x) if x.shape[1] in sides else 0, MET):
+                    if x.shape[1] not in sides:
+                        continue
+                    told = _told_apart(x, null, pc.take(table.column("chunk_id"), pa.array(rows)).combine_chunks(), self.k, own is not None)
+                    rows, x, null = rows[told], x[told], null[told]
+                    for a in range(0, len(x), MET):
                         mine = _Side(rows[a:a + MET], x[a:a + MET], null[a:a + MET], self.metric, ids, False)
                         for asked in sides[x.shape[1]]:
                             self._block(best, table.select(self.names), mine, asked)
